@@ -127,3 +127,32 @@ def long_form(df: DataFrame, columns: Sequence[str], to: str = "double") -> Data
     return df.select(*[F.col(c).cast(to).alias(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
+
+
+def fill_gaps(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Sequence[str], column: str, name: str
+) -> DataFrame:
+    """Forward fill along the order, then backward fill what precedes the first known value."""
+    group = [*keys, *segment]
+    place = F.struct(*order)
+    known = F.col(column).isNotNull()
+    ends = df.groupBy(*group).agg(
+        F.max_by(F.when(known, F.col(column)), F.when(known, place)).alias("_last"),
+        F.min_by(F.when(known, F.col(column)), F.when(known, place)).alias("_first"),
+    )
+    by = Window.partitionBy(*keys).orderBy(*segment)
+    carry = ends.select(
+        *group,
+        F.last("_last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_from_before"),
+        F.first("_first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_from_after"),
+    )
+    inside = Window.partitionBy(*group).orderBy(*order)
+    rows = df.select(
+        "*",
+        F.last(column, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_back"),
+        F.first(column, ignorenulls=True)
+        .over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        .alias("_ahead"),
+    )
+    filled = F.coalesce("_back", "_from_before", "_ahead", "_from_after")
+    return rows.join(carry, group).select(*df.columns, filled.alias(name))

@@ -4,5 +4,5 @@ import importlib
 
 from freightloom.plans.registry import ORACLE, QUERIES  # noqa: F401
 
-for _name in ("analytics",):
+for _name in ("analytics", "quality"):
     importlib.import_module(f"freightloom.plans.{_name}")

@@ -133,7 +133,7 @@ over_items(
 
 def _diagnostics(d):
     cells = matched_cells(d)
-    last = cells.agg(F.max("period")).scalar()
+    last = cells.where("orders >= 5").agg(F.max("period")).scalar()
     return A.error_diagnostics(
         cells.where(F.col("period") == last).select(
             "category", "region", F.col("orders").alias("order_count"), F.col("forecast").alias("predicted_demand"),
@@ -149,7 +149,7 @@ over_items(
        CASE WHEN late_rate >= 0.55 THEN 'high' WHEN late_rate >= 0.35 THEN 'medium' ELSE 'low' END AS risk_level,
        CASE WHEN late_rate >= 0.55 THEN 'logistics' WHEN late_rate >= 0.35 THEN 'supplier' ELSE 'demand' END AS responsible
        FROM cells WHERE forecast IS NOT NULL AND orders >= 5
-         AND period = (SELECT max(period) FROM cells WHERE forecast IS NOT NULL)
+         AND period = (SELECT max(period) FROM cells WHERE forecast IS NOT NULL AND orders >= 5)
        ORDER BY orders DESC, category, region LIMIT 10""",
     cells=CELLS,
 )

@@ -28,10 +28,15 @@ def running_before(
     order: Sequence[str],
     segment: Sequence[str],
     measures: dict[str, Column],
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Add, per measure, its sum over the rows of the key strictly before the row (0 when none)."""
+    """Add, per measure, its sum over the rows of the key strictly before the row (0 when none).
+
+    `base` holds the same rows before columns were added; the segment totals are read from it, so that a chain of
+    calls does not repeat the work of the earlier ones.
+    """
     group = [*keys, *segment]
-    totals = df.groupBy(*group).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
+    totals = (base or df).groupBy(*group).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
     earlier = Window.partitionBy(*keys).orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1)
     zero = {n: F.lit(0).cast(totals.schema[n].dataType) for n in measures}
     carry = totals.select(

@@ -61,11 +61,26 @@ _COLUMNS = {
     "period": (lambda: F.date_format("o_orderdate", "yyyy-MM"), "orders"),
 }
 
+# Rows a day is allowed to hold before its rows are cut by order id, and the most cuts made.
+SLOT_ROWS = 50_000_000
+MAX_SLOTS = 256
+
+
+def _slot(spark: SparkSession, sf_dir: str):
+    """Number of the order-id range a row falls into; ranges grow in number with the table.
+
+    Within a day the total order goes by order id, so (order_date, slot) follows that order.
+    """
+    size = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey").alias("top"), F.count(F.lit(1)).alias("n"))
+    slots = F.greatest(F.lit(1), F.least(F.lit(MAX_SLOTS), F.ceil(F.col("n") / SLOT_ROWS)))
+    width = size.select(F.ceil((F.col("top") + 1) / slots).alias("width")).scalar()
+    return F.floor(F.col("l_orderkey") / width)
+
 
 def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The canonical order lines with the named columns (all when none is named)."""
     wanted = list(columns) or list(_COLUMNS)
-    needs = {name for c in wanted for name in _COLUMNS[c][1].split()}
+    needs = {name for c in wanted if c != "slot" for name in _COLUMNS[c][1].split()}
     rows = table(spark, sf_dir, "lineitem")
     if "orders" in needs:
         orders = table(spark, sf_dir, "orders")
@@ -85,7 +100,9 @@ def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     if "supplier" in needs:
         supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
         rows = rows.join(supplier, rows.l_suppkey == supplier.s_suppkey)
-    return rows.select(*[_COLUMNS[c][0]().alias(c) for c in wanted])
+    return rows.select(
+        *[(_slot(spark, sf_dir) if c == "slot" else _COLUMNS[c][0]()).alias(c) for c in wanted]
+    )
 
 
 _REAL = "CAST(((date_diff('day', o_orderdate::date, l_shipdate::date) % 7) + 7) % 7 AS INTEGER)"

@@ -94,7 +94,7 @@ def extract_shipments(df: DataFrame) -> DataFrame:
 def extract_customers(df: DataFrame) -> DataFrame:
     g = df.groupBy("customer_id").agg(
         F.min("segment").alias("segment"), F.min("region").alias("region"), rows().alias("total_orders"),
-        rnd(F.avg("sales"), 4).alias("avg_order_value"),
+        rnd(F.avg("sales"), 8).alias("avg_order_value"),
         rnd(F.when(F.sum("sales") > 0, F.sum("profit") / F.sum("sales")).otherwise(0.0)).alias("profit_margin"),
     )
     return g.select(node_id("Customer", "customer_id").alias("node_id"), *g.columns)

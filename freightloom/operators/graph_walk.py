@@ -96,19 +96,17 @@ def weighted_paths(adj: DataFrame, source: DataFrame, max_hops: int) -> DataFram
 
 
 def risky_paths(adj: DataFrame, start: DataFrame, risk: DataFrame, hops: int) -> DataFrame:
-    """Per node and length, the simple path from the start whose summed node risk is largest.
+    """Per node and length, the walk from the start with the largest summed node risk.
 
-    Only the best path per (node, length) is carried on, so the table never exceeds nodes x hops; a longer path
-    is built on the best shorter one that does not already contain the node.
+    The best walk of k edges to a node extends a best walk of k - 1 edges to one of its predecessors, so carrying one walk per
+    (node, length) is exact and the table never exceeds nodes x hops.
     """
     pairs = adj.select("src", "dst").distinct()
     state = checkpoint(start.join(risk, "node_id").select("node_id", F.col("risk").alias("total"), F.array("node_id").alias("path")))
     kept = state
     for _ in range(hops):
-        step = (
-            state.withColumnRenamed("node_id", "src").join(pairs, "src")
-            .where(~F.array_contains("path", F.col("dst")))
-            .groupBy(F.col("dst").alias("node_id")).agg(F.max(F.struct("total", "path")).alias("b"))
+        step = state.withColumnRenamed("node_id", "src").join(pairs, "src").groupBy(F.col("dst").alias("node_id")).agg(
+            F.max(F.struct("total", "path")).alias("b")
         )
         state = checkpoint(step.join(risk, "node_id").select(
             "node_id", (F.col("b.total") + F.col("risk")).alias("total"), F.concat("b.path", F.array("node_id")).alias("path"),

@@ -212,11 +212,11 @@ def critical_dependencies(nodes, edges, label="Supplier"):
 
 
 graph_query(
-    "critical_dependencies", lambda n, e: critical_dependencies(n, e, "Customer"),
+    "critical_dependencies", lambda n, e: critical_dependencies(n, e, "Product"),
     """, near AS (SELECT src AS node_id, count(DISTINCT dst) - 1 AS alt FROM adj GROUP BY src)
        SELECT src AS target_id, node_id, rel_type, strength, alt AS alternatives,
          CASE alt WHEN 0 THEN 'sole_dependency' WHEN 1 THEN 'near_sole_dependency' ELSE 'limited_alternatives' END AS criticality
-       FROM adj JOIN near ON dst = near.node_id WHERE alt <= 2 AND src IN (SELECT node_id FROM nodes WHERE label = 'Customer')""",
+       FROM adj JOIN near ON dst = near.node_id WHERE alt <= 2 AND src IN (SELECT node_id FROM nodes WHERE label = 'Product')""",
 )
 
 
@@ -259,13 +259,13 @@ def node_metrics(nodes, edges):
     d = G.orient(edges).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"), F.sum("strength").alias("w"))
     d = nodes.join(d, "node_id", "left")
     deg, w = F.coalesce("degree", F.lit(0)), F.coalesce("w", F.lit(0.0))
-    return d.select("node_id", "label", deg.cast("long").alias("degree"), r(0.1 + deg * 0.15 + w * 0.05, 4).alias("centrality_score"),
-                    r(0.2 + w * 0.1, 4).alias("dependency_score"), r(100.0 * (1 + F.col("risk") * 0.5), 4).alias("impact_score"))
+    return d.select("node_id", "label", deg.cast("long").alias("degree"), r(0.1 + deg * 0.15 + w * 0.05, 9).alias("centrality_score"),
+                    r(0.2 + w * 0.1, 9).alias("dependency_score"), r(100.0 * (1 + F.col("risk") * 0.5), 9).alias("impact_score"))
 
 
 graph_query(
     "node_metrics", node_metrics,
-    """SELECT node_id, label, coalesce(n, 0) AS degree, round(0.1 + coalesce(n, 0) * CAST(0.15 AS DOUBLE) + coalesce(w, 0) * CAST(0.05 AS DOUBLE), 4) AS centrality_score,
-       round(0.2 + coalesce(w, 0) * CAST(0.1 AS DOUBLE), 4) AS dependency_score, round(100 * (1 + risk * CAST(0.5 AS DOUBLE)), 4) AS impact_score
+    """SELECT node_id, label, coalesce(n, 0) AS degree, round(0.1 + coalesce(n, 0) * CAST(0.15 AS DOUBLE) + coalesce(w, 0) * CAST(0.05 AS DOUBLE), 9) AS centrality_score,
+       round(0.2 + coalesce(w, 0) * CAST(0.1 AS DOUBLE), 9) AS dependency_score, round(100 * (1 + risk * CAST(0.5 AS DOUBLE)), 9) AS impact_score
        FROM nodes LEFT JOIN (SELECT src AS node_id, count(*) AS n, sum(strength) AS w FROM adj GROUP BY src) USING (node_id)""",
 )

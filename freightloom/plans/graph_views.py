@@ -42,7 +42,7 @@ SELECT {nid('Shipment', 'ship_mode')} AS node_id, ship_mode AS mode, round(avg(d
   round(1 - avg(late), 6) AS efficiency, round(avg(late), 6) AS late_rate FROM nm GROUP BY ship_mode"""
 CUSTOMERS = f"""
 SELECT {nid('Customer', 'customer_id')} AS node_id, customer_id, min(segment) AS segment, min(region) AS region,
-  count(*) AS total_orders, round(avg(sales), 4) AS avg_order_value,
+  count(*) AS total_orders, round(avg(sales), 8) AS avg_order_value,
   round(CASE WHEN sum(sales) > 0 THEN sum(profit) / sum(sales) ELSE 0.0 END, 6) AS profit_margin FROM nm GROUP BY customer_id"""
 ORDERS = f"""
 SELECT {nid('Order', 'order_id')} AS node_id, order_id, order_date, round(sales, 2) AS value, qty AS quantity,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freightloom.functions.scalars import node_id, normalize_entity
-from freightloom.session import work_path
+from freightloom.session import stored_table
 from freightloom.sources import TOTAL_ORDER, order_items
 
 LABELS = ("Supplier", "Product", "Warehouse", "Shipment", "Customer", "Order", "CalendarEvent")
@@ -226,17 +226,12 @@ def entity_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-_BUILT: dict[tuple[str, str], str] = {}
-
-
 def load_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a data set, built once per application and kept as tables in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        path = work_path(spark, "graph")
-        lines = named(order_items(spark, sf_dir))
-        all_nodes(lines).write.parquet(f"{path}/nodes")
-        all_edges(lines).write.parquet(f"{path}/edges")
-        _BUILT[key] = path
-    path = _BUILT[key]
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    """Nodes and edges of a data set, kept as tables in the shared folder."""
+    def lines() -> DataFrame:
+        return named(order_items(spark, sf_dir))
+
+    return (
+        stored_table(spark, "nodes", sf_dir, lambda: all_nodes(lines())),
+        stored_table(spark, "edges", sf_dir, lambda: all_edges(lines())),
+    )

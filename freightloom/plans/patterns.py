@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from freightloom.functions.scalars import ratio
 from freightloom.operators import patterns as P
 from freightloom.operators.analytics import r
-from freightloom.plans.registry import over_items
+from freightloom.plans.registry import over_items, register, with_views
+from freightloom.session import stored_table
+from freightloom.sources import order_items
 
 COLS = "order_date category city ship_mode segment qty late"
 
@@ -73,12 +75,17 @@ def pattern_views(p: str, days: int, back: int = 0) -> dict[str, str]:
     }
 
 
+def load_events(spark, sf_dir):
+    """Weekly deviation events, written once; their number is bounded by entities x weeks."""
+    return stored_table(spark, "deviation_events", sf_dir, lambda: P.deviation_events(order_items(spark, sf_dir, *COLS.split())))
+
+
 def over_events(name, run, sql, **views):
-    over_items(name, lambda d: run(P.deviation_events(d)), COLS, sql, **{**BASE, **views})
+    register(name, lambda spark, sf_dir: run(load_events(spark, sf_dir)), with_views(sql, **{**BASE, **views}))
 
 
-over_events("classify_event", lambda e: e.select("entity_type", "entity_id", "ts", "event", r(F.col("deviation"), 4).alias("deviation")),
-            "SELECT entity_type, entity_id, ts, event, round(deviation, 4) AS deviation FROM dev")
+over_items("classify_event", lambda d: P.deviation_events(d).select("entity_type", "entity_id", "ts", "event", r(F.col("deviation"), 4).alias("deviation")), COLS,
+            "SELECT entity_type, entity_id, ts, event, round(deviation, 4) AS deviation FROM dev", **BASE)
 
 
 def _deviation_join(d):
@@ -172,13 +179,18 @@ def evolved(e):
     return P.upsert_edges(old, P.detect_patterns(e, DAYS))
 
 
+def load_edges(spark, sf_dir):
+    return stored_table(spark, "inferred_edges", sf_dir, lambda: evolved(load_events(spark, sf_dir)))
+
+
 def over_edges(name, run, sql, **views):
-    over_events(name, lambda e: run(evolved(e), e), sql, **{**EDGES, **views})
+    """Register a query over the inferred edge table and the events behind it."""
+    register(name, lambda spark, sf_dir: run(load_edges(spark, sf_dir), load_events(spark, sf_dir)), with_views(sql, **{**EDGES, **views}))
 
 
 KEYS = P.EDGE_KEY
 K = ", ".join(KEYS)
-over_edges("pattern_upsert", lambda d, e: d.withColumn("history_len", F.size("history")).drop("history"), "SELECT * FROM ed")
+over_events("pattern_upsert", lambda e: evolved(e).withColumn("history_len", F.size("history")).drop("history"), "SELECT * FROM ed", **EDGES)
 over_edges(
     "edge_strengthen",
     lambda d, e: d.where("action = 'edge_strengthened'").select(*KEYS, "weight_before", "weight", "frequency", "repetitions", "status"),

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that results depend on (time zone) or that plans rely on at scale.
@@ -70,3 +72,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table a job writes and reads back."""
     return f"{shared_folder(spark).rstrip('/')}/freightloom-work/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_table(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table several jobs read: written once per application to the shared folder, then read back."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _STORED:
+        path = work_path(spark, name)
+        make().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

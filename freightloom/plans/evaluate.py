@@ -149,8 +149,9 @@ FCELLS = """SELECT category, region, n AS order_count, round(sr, 6) AS supplier_
   round(d * price, 2) AS predicted_revenue, round((sr + lr) / 2, 6) AS combined_risk,
   CASE WHEN (sr + lr) / 2 >= 0.65 THEN 'high' WHEN (sr + lr) / 2 >= 0.35 THEN 'medium' ELSE 'low' END AS risk_level
   FROM (SELECT category, region, count(*) AS n, avg(p_sup) AS sr, avg(p_route) AS lr, avg(p_qty) AS q, avg(sales) AS d, avg(product_price) AS price
-    FROM scored WHERE period = (SELECT max(period) FROM scored) GROUP BY category, region HAVING count(*) >= {f})"""
-over_scores("auto_forecast_cells", lambda s: E.forecast_cells(s, 2), FCELLS.format(f=2))
+    FROM scored WHERE period = (SELECT max(period) FROM scored WHERE period < '2001-08') GROUP BY category, region HAVING count(*) >= {f})"""
+# The last month of the data holds a single day, so the month before it is the template.
+over_scores("auto_forecast_cells", lambda s: E.forecast_cells(s.where("period < '2001-08'")), FCELLS.format(f=5))
 
 
 def graph_aware(s):
@@ -424,7 +425,7 @@ over_forecasts(
 
 
 def alert_rules(f):
-    """Forecast rows to alerts, without those of entities whose alert of the month before was dismissed (even months)."""
+    """Forecast rows to alerts, without entities whose alerts are dismissed (here: once predicted below 0.2)."""
     name = (
         F.when((F.col("entity_type") == "Product") & (F.col("predicted") > 25.5), "Demand Spike")
         .when((F.col("entity_type") == "Shipment") & ((F.col("risk_flag") == 1) | (F.col("confidence") < 0.65)), "Late Delivery Risk")

@@ -185,7 +185,7 @@ def load_edges(spark, sf_dir):
 
 def over_edges(name, run, sql, **views):
     """Register a query over the inferred edge table and the events behind it."""
-    register(name, lambda spark, sf_dir: run(load_edges(spark, sf_dir), load_events(spark, sf_dir)), with_views(sql, **{**EDGES, **views}))
+    register(name, lambda spark, sf_dir: run(load_edges(spark, sf_dir), load_events(spark, sf_dir)), with_views(sql, **{**BASE, **EDGES, **views}))
 
 
 KEYS = P.EDGE_KEY

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freightloom.functions.scalars import node_id, normalize_entity
 from freightloom.session import stored_table
-from freightloom.sources import TOTAL_ORDER, order_items
+from freightloom.sources import TOTAL_ORDER, order_lines
 
 LABELS = ("Supplier", "Product", "Warehouse", "Shipment", "Customer", "Order", "CalendarEvent")
 RELATIONS = ("SUPPLIES", "STORED_IN", "SHIPS_VIA", "DELIVERED_TO", "PLACED", "CONTAINS", "INFLUENCES")
@@ -229,7 +229,7 @@ def entity_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def load_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a data set, kept as tables in the shared folder."""
     def lines() -> DataFrame:
-        return named(order_items(spark, sf_dir))
+        return named(order_lines(spark, sf_dir))
 
     return (
         stored_table(spark, "nodes", sf_dir, lambda: all_nodes(lines())),

@@ -10,12 +10,12 @@ from freightloom.functions.scalars import ratio, risk_label
 from freightloom.operators import evaluate as E
 from freightloom.operators import features as X
 from freightloom.operators.analytics import r
+from freightloom.operators.forecasts import matched_cells, monthly_cells
 from freightloom.plans.features import KEY, KEYS, frame_sql, rate_sql
 from freightloom.plans.registry import over_items, register, with_views
-from freightloom.plans.views import CELLS, ORDER_BY, cells_sql
-from freightloom.operators.forecasts import matched_cells, monthly_cells
+from freightloom.plans.views import CELLS, ORDER_BY
 from freightloom.session import stored_table
-from freightloom.sources import TOTAL_ORDER, order_items
+from freightloom.sources import TOTAL_ORDER, order_lines
 
 _COLS = [*TOTAL_ORDER, "slot", "period", "department", "category", "region", "ship_mode", "qty", "late", "sales", "product_price", "days_sched", "days_real"]
 
@@ -28,7 +28,7 @@ def score(d):
 
 
 def load_scores(spark, sf_dir):
-    return stored_table(spark, "scores", sf_dir, lambda: score(order_items(spark, sf_dir, *_COLS)))
+    return stored_table(spark, "scores", sf_dir, lambda: score(order_lines(spark, sf_dir).select(*_COLS)))
 
 
 SCORED = f"""SELECT *, coalesce({frame_sql('avg(qty)', 7)}, 0.0) AS p_qty, coalesce({frame_sql('avg(qty)', 30)}, 0.0) AS p_qty30,

@@ -40,6 +40,9 @@ over_named("edges_stored_in", B.edges_stored_in, V.STORED_IN)
 over_named("edges_ships_via", B.edges_ships_via, V.SHIPS_VIA)
 over_named("edges_delivered_to", B.edges_delivered_to, V.DELIVERED_TO)
 over_named("edges_placed", B.edges_per_order, V.PER_ORDER)
+for _rel in ("CONTAINS", "INFLUENCES"):
+    over_named(f"edges_{_rel.lower()}", lambda d, rel=_rel: B.edges_per_order(d).where(F.col("rel_type") == rel),
+               f"SELECT * FROM ({V.PER_ORDER}) WHERE rel_type = '{_rel}'")
 graph_query(
     "entity_edge_extract", lambda n, e: B.entity_edges(e, n.where("label <> 'Order' OR risk > 0")).groupBy("rel_type").agg(
         F.count(F.lit(1)).alias("n")),

@@ -7,6 +7,7 @@ from freightloom.operators import graph_walk as G
 from freightloom.operators.analytics import monthly_trend, r
 from freightloom.plans.evaluate import MEMORY, _MC, agent_memory
 from freightloom.plans.graph_build import graph_query
+from freightloom.plans.joins import upsert
 from freightloom.plans.registry import over_items, query, register, with_views
 from freightloom.plans.views import CELLS
 from freightloom.session import work_path
@@ -151,6 +152,17 @@ def graph_export(n, e):
 graph_query("graph_export", graph_export, "SELECT label AS kind, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT rel_type, count(*) FROM edges GROUP BY rel_type")
 
 
+def graph_import(n, e):
+    """Reload a dump and merge it into the node table: known nodes are updated, none is doubled."""
+    spark, path = n.sparkSession, work_path(n.sparkSession, "import")
+    n.where("label <> 'Order'").withColumn("risk", F.col("risk") + 1).write.parquet(path)
+    return upsert(n, spark.read.parquet(path), "node_id").groupBy("label", "state").agg(F.count(F.lit(1)).alias("n"), r(F.sum("risk"), 4).alias("risk"))
+
+
+graph_query("graph_import", graph_import, """SELECT label, CASE WHEN label = 'Order' THEN 'kept' ELSE 'updated' END AS state, count(*) AS n,
+  round(sum(risk + CASE WHEN label = 'Order' THEN 0 ELSE 1 END), 4) AS risk FROM nodes GROUP BY label""")
+
+
 def snapshot_version(n, e):
     """Three snapshots under version numbers; version 3 is activated, then rolled back to 2."""
     spark, path = n.sparkSession, work_path(n.sparkSession, "versions")

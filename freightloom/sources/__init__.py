@@ -2,5 +2,6 @@ from freightloom.sources.canonical import (  # noqa: F401
     ORDER_ITEMS_SQL,
     TOTAL_ORDER,
     order_items,
+    order_lines,
     table,
 )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightloom.session import prepare
+from freightloom.session import prepare, stored_table
 
 TOTAL_ORDER = ["order_date", "order_id", "line_no", "product_id", "supplier_id", "l_shipdate"]
 
@@ -105,6 +105,15 @@ def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     )
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table with all columns and the slot, joined once per application and kept in the shared folder.
+
+    For jobs that read the lines many times (graph building, scoring); a job that reads them once should name its columns
+    in order_items instead and let the scan be pruned.
+    """
+    return stored_table(spark, "order_lines", sf_dir, lambda: order_items(spark, sf_dir, *_COLUMNS, "slot"))
+
+
 _REAL = "CAST(((date_diff('day', o_orderdate::date, l_shipdate::date) % 7) + 7) % 7 AS INTEGER)"
 _SCHED = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 ELSE 4 END"
 

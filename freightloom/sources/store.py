@@ -60,7 +60,11 @@ class CumulativeStore:
         fresh = df.join(self.manifest().select("period"), "period", "left_anti")
         columns = sorted(c for c in df.columns if c != "period")
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(f"{self.path}/increments")
-        written = self.spark.read.schema(df.schema).parquet(f"{self.path}/increments").join(self.manifest().select("period"), "period", "left_anti")
+        written = (
+            self.spark.read.schema(df.schema).parquet(f"{self.path}/increments")
+            .join(df.select("period").distinct(), "period", "left_semi")
+            .join(self.manifest().select("period"), "period", "left_anti")
+        )
         manifest_of(written, columns).write.mode("overwrite").parquet(f"{self.path}/accepted")
         accepted = self.spark.read.parquet(f"{self.path}/accepted")
         self._log(accepted, removed=False)

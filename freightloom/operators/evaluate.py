@@ -92,7 +92,7 @@ def folds(n: Column, splits: int = 5, min_train: float = 0.5, test: float = 0.1)
 def walk_forward_rows(df: DataFrame, order: list[str], segment: list[str]) -> DataFrame:
     """Rows of each fold's test range: every row gets the folds it is tested in, so no fold rescans the table."""
     n = df.agg(rows()).scalar()
-    placed = with_position(df, [], order, segment).withColumn("_f", F.explode(folds(n)))
+    placed = with_position(df, [], order, segment).withColumn("_n", n).withColumn("_f", F.explode(folds(F.col("_n"))))
     return placed.where((F.col("pos") >= F.col("_f.train_end")) & (F.col("pos") < F.col("_f.test_end"))).select(
         *df.columns, "_f.fold", "_f.train_end"
     )
@@ -103,10 +103,10 @@ def mutual_information(df: DataFrame, features: list[str], y: str, bins: int = 2
     span = df.agg(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in features])).scalar()
 
     def bin_of(c):
-        lo, hi = span[c]["lo"], span[c]["hi"]
+        lo, hi = F.col(f"_span.{c}.lo"), F.col(f"_span.{c}.hi")
         return F.when(hi > lo, F.least(F.floor((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins), F.lit(bins - 1))).otherwise(0)
 
-    cells = df.select(y, *[bin_of(c).cast("int").alias(c) for c in features]).unpivot(y, features, "feature", "bin")
+    cells = df.withColumn("_span", span).select(y, *[bin_of(c).cast("int").alias(c) for c in features]).unpivot(y, features, "feature", "bin")
     g = cells.groupBy("feature", "bin", y).agg(rows().alias("n"))
     w = Window.partitionBy("feature")
     d = g.select("feature", "n", F.sum("n").over(w).alias("t"), F.sum("n").over(Window.partitionBy("feature", "bin")).alias("x"),

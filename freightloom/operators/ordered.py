@@ -91,9 +91,7 @@ def quantiles(values: DataFrame, name: str, value: str, probs: Sequence[float],
     Returns one row per name: name, n, q0, q1, ... in the order of `probs`.
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(name, value).agg(F.count(F.lit(1)).alias("_c"))
-    span = values.groupBy(name).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("n")
-    )
+    span = counted.groupBy(name).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("n"))
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * slots)).otherwise(F.lit(0))
     placed = running_before(

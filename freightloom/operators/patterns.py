@@ -102,7 +102,7 @@ def deviation_events(df: DataFrame) -> DataFrame:
 def window_filter(events: DataFrame, days: int, back: int = 0) -> DataFrame:
     """Events within `days` before the reference, which lies `back` days before the latest event."""
     ref = F.date_sub(events.agg(F.max("ts")).scalar(), back)
-    return events.where((F.col("ts") >= F.date_sub(ref, days)) & (F.col("ts") <= ref))
+    return events.withColumn("_ref", ref).where("ts >= date_sub(_ref, %d) AND ts <= _ref" % days).drop("_ref")
 
 
 def interval_pairs(events: DataFrame, lag: int = LAG_DAYS) -> DataFrame:

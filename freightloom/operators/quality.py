@@ -256,8 +256,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     row = bounds.agg(*[
         F.max(F.when(F.col("column_name") == c, F.struct("lo", "hi"))).alias(c) for c in columns
     ]).select(F.struct(*columns)).scalar()
-    outside = df.agg(*[
-        F.count_if((F.col(c) < row[c]["lo"]) | (F.col(c) > row[c]["hi"])).alias(c) for c in columns
+    outside = df.withColumn("_b", row).agg(*[
+        F.count_if((F.col(c) < F.col(f"_b.{c}.lo")) | (F.col(c) > F.col(f"_b.{c}.hi"))).alias(c) for c in columns
     ]).unpivot([], list(columns), "column_name", "outlier_count")
     return outside.join(bounds, "column_name").where("outlier_count > 0").select(
         "column_name", "outlier_count", F.round(F.col("outlier_count") / F.col("n") * 100, 6).alias("outlier_pct"),

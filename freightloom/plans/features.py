@@ -7,7 +7,7 @@ from freightloom.functions.scalars import change_pct
 from freightloom.operators import features as X
 from freightloom.operators.analytics import r
 from freightloom.operators.ordered import with_position
-from freightloom.plans.registry import over_items
+from freightloom.plans.registry import over_items, over_lines
 from freightloom.plans.views import ORDER_BY
 from freightloom.sources import TOTAL_ORDER
 
@@ -54,7 +54,7 @@ def rounded(d, *columns, digits=6):
 def feature(name, run, columns, outputs, sql_outputs, source="oi", digits=6, **views):
     """Register a per-row feature query; `sql_outputs` lists the SQL of the outputs in the same order."""
     listed = ", ".join(f"round({s}, {digits}) AS {o}" for o, s in zip(outputs, sql_outputs, strict=True))
-    over_items(
+    over_lines(
         name, lambda d: rounded(run(d), *outputs, digits=digits), " ".join(dict.fromkeys((BASE + columns).split())),
         f"SELECT {KEYS}, {listed} FROM {source}", **views,
     )
@@ -96,7 +96,7 @@ feature(
      f"CASE WHEN m7 IS NULL THEN 1.0 ELSE greatest(least(m7 / {SAFE30}, 3.0), 0.0) END"],
     "frames", frames=FRAMES,
 )
-over_items(
+over_lines(
     "demand_spike_flag", lambda d: X.demand_signals(X.demand_frames(d)).select(*KEY, "demand_spike_flag"),
     BASE + "category region qty",
     f"SELECT {KEYS}, CASE WHEN prev > m7 + 2 * s14 THEN 1 ELSE 0 END AS demand_spike_flag FROM frames", frames=FRAMES,
@@ -204,7 +204,7 @@ def first_last(d):
     return latest.join(first, "category")
 
 
-over_items(
+over_lines(
     "first_last_n", first_last, BASE + "category qty",
     f"""SELECT category, round(avg(qty) FILTER (b <= 7), 6) AS last_7, round(avg(qty) FILTER (b <= 30), 6) AS last_30,
         round(avg(qty) FILTER (a <= 7), 6) AS first_7
@@ -329,7 +329,7 @@ def chronological_split(d, share: float = 0.8):
     )
 
 
-over_items(
+over_lines(
     "chronological_split", lambda d: chronological_split(d).select(*KEY, "pos", "part"), BASE,
     f"""SELECT {KEYS}, i AS pos, CASE WHEN i < floor(n * 0.8) THEN 'train' ELSE 'test' END AS part
         FROM (SELECT *, row_number() OVER (ORDER BY {ORDER_BY}) - 1 AS i, count(*) OVER () AS n FROM oi)""",

@@ -6,7 +6,7 @@ from freightloom.operators import graph_build as B
 from freightloom.operators import graph_walk as G
 from freightloom.operators.analytics import r
 from freightloom.plans import graph_views as V
-from freightloom.plans.registry import over_items, register, with_views
+from freightloom.plans.registry import over_items, over_lines, register, with_views
 
 ALL = ("order_id line_no order_date days_real days_sched late department category ship_mode region city customer_id "
        "segment qty sales profit product_id supplier_id l_shipdate period")
@@ -16,6 +16,10 @@ def over_named(name, run, sql, columns=ALL, **views):
     over_items(name, lambda d: run(B.named(d)), columns, sql, **{**V.BASE, **views})
 
 
+def over_named_lines(name, run, sql, columns=ALL, **views):
+    over_lines(name, lambda d: run(B.named(d)), columns, sql, **{**V.BASE, **views})
+
+
 def graph_query(name, run, sql=None, **views):
     """Register a query over the stored node and edge tables."""
     register(name, lambda spark, sf_dir: run(*B.load_graph(spark, sf_dir)), None if sql is None else with_views(sql, **{**V.GRAPH, **views}))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freightloom.sources import ORDER_ITEMS_SQL, order_items
+from freightloom.sources import ORDER_ITEMS_SQL, order_items, order_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,3 +43,12 @@ def over_items(name: str, run: Callable[[DataFrame], DataFrame], columns: str, s
         lambda spark, sf_dir: run(order_items(spark, sf_dir, *columns.split())),
         None if sql is None else with_views(sql, **views),
     )
+
+
+def over_lines(name: str, run: Callable[[DataFrame], DataFrame], columns: str, sql: str | None = None, **views: str) -> None:
+    """Like over_items for jobs that read the lines several times: they read the joined table kept in the shared folder."""
+    register(
+        name,
+        lambda spark, sf_dir: run(order_lines(spark, sf_dir).select(*columns.split())),
+        None if sql is None else with_views(sql, **views),
+    )

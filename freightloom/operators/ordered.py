@@ -87,16 +87,31 @@ def rolling(
 def quantiles(values: DataFrame, name: str, value: str, probs: Sequence[float], slots: int = 256) -> DataFrame:
     """Exact interpolated quantiles per `name` of a long (name, value) table.
 
-    Values are counted first, so sorting works on distinct values, cut into `slots` value ranges.
+    The value range is cut into slots, which are only counted; just the values of the few slots that hold a wanted
+    rank are then counted one by one and ranked in finer slots. No pass shuffles more than those.
     Returns one row per name: name, n, q0, q1, ... in the order of `probs`.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(name, value).agg(F.count(F.lit(1)).alias("_c"))
-    span = counted.groupBy(name).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("n"))
+    known = values.where(F.col(value).isNotNull())
+    span = known.groupBy(name).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("n"))
     width = F.col("_hi") - F.col("_lo")
-    slot = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * slots)).otherwise(F.lit(0))
-    placed = running_before(
-        counted.join(span, name).withColumn("_slot", slot.cast("int")),
-        [name], [value], ["_slot"], {"_before": F.col("_c")},
+
+    def slot(parts: int) -> Column:
+        return F.when(width > 0, F.floor(F.try_divide(F.col(value) - F.col("_lo"), width) * parts)).otherwise(F.lit(0))
+
+    placed = known.join(span, name).withColumn("_slot", slot(slots))
+    ranks = [f((F.col("n") - 1) * F.lit(float(p))) for p in probs for f in (F.floor, F.ceil)]
+    upto = F.sum("_c").over(Window.partitionBy(name).orderBy("_slot"))
+    wanted = (
+        placed.groupBy(name, "_slot", "n").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_base", upto - F.col("_c"))
+        .where(F.array_contains(F.transform(F.array(*ranks), lambda k: (F.col("_base") <= k) & (k < F.col("_base") + F.col("_c"))), True))
+        .select(name, "_slot", "_base")
+    )
+    counted = placed.join(wanted, [name, "_slot"]).withColumn("_fine", slot(slots * slots)).groupBy(
+        name, "_slot", "_fine", "_base", "n", value
+    ).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_before(counted, [name, "_slot"], [value], ["_fine"], {"_in": F.col("_c")}).withColumn(
+        "_before", F.col("_base") + F.col("_in")
     )
     picks = []
     for i, p in enumerate(probs):
@@ -108,7 +123,7 @@ def quantiles(values: DataFrame, name: str, value: str, probs: Sequence[float],
             F.max(F.when(covers(high), F.col(value))).alias(f"_h{i}"),
             F.max(at - low).alias(f"_f{i}"),
         ]
-    found = placed.groupBy(name).agg(F.max("n").alias("n"), *picks)
+    found = ranked.groupBy(name).agg(F.max("n").alias("n"), *picks)
     return found.select(
         name, "n",
         *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(f"q{i}")

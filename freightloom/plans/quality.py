@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from freightloom.operators import quality as Q
 from freightloom.operators.ordered import fill_gaps
-from freightloom.plans.registry import over_items
+from freightloom.plans.registry import over_items, over_lines
 from freightloom.plans.views import ORDER_BY
 from freightloom.sources import TOTAL_ORDER
 
@@ -46,9 +46,9 @@ FROM oi
 ALL = "product_price late order_date segment sales "
 
 
-def over_dirty(name, run, columns, sql):
+def over_dirty(name, run, columns, sql, register=over_items):
     columns = " ".join(dict.fromkeys((ALL + KEY + " " + columns).split()))
-    over_items(name, lambda d: run(dirty(d)), columns, sql, dirty=DIRTY_SQL)
+    register(name, lambda d: run(dirty(d)), columns, sql, dirty=DIRTY_SQL)
 
 
 over_items(
@@ -154,6 +154,7 @@ over_items(
 over_dirty(
     "impute_median", lambda d: Q.impute_median(d.select(*KEY.split(), "sales_n"), ["sales_n"]).withColumn("sales_n", F.round("sales_n", 4)), "",
     f"""SELECT {KEYS}, round(coalesce(sales_n, (SELECT quantile_cont(sales_n, 0.5) FROM dirty)), 4) AS sales_n FROM dirty""",
+    over_lines,
 )
 over_dirty(
     "impute_mode", lambda d: Q.impute_mode(d.select(*KEY.split(), "segment_n"), ["segment_n"]), "",
@@ -219,7 +220,7 @@ over_dirty(
        UNION ALL SELECT 'duplicates_removed', count(*) - count(DISTINCT (order_id, line_no)) FROM dirty""",
 )
 _NUM = ["qty", "sales", "discount", "profit", "days_real"]
-over_items(
+over_lines(
     "numeric_profile", lambda d: Q.numeric_profile(d, _NUM), " ".join(_NUM),
     " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
@@ -234,7 +235,7 @@ over_items(
     + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM oi GROUP BY {c}" for c in _TXT)
     + ")) WHERE rank <= 5",
 )
-over_items(
+over_lines(
     "iqr_outliers", lambda d: Q.iqr_outliers(d, _NUM), " ".join(_NUM),
     "SELECT * FROM (" + " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count(*) FILTER ({c} < lo OR {c} > hi) AS outlier_count,

@@ -20,10 +20,16 @@ RUNTIME_CONF = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every job of this package assumes."""
+    """Apply the runtime settings every job of this package assumes.
+
+    A cluster chooses its own number of shuffle partitions; a local master gets no more than it has cores.
+    """
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and int(spark.conf.get("spark.sql.shuffle.partitions")) > context.defaultParallelism:
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 

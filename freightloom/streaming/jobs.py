@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from freightloom.session import work_path
+from freightloom.session import prepare, work_path
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
@@ -33,19 +33,19 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process all available input into a parquet table and return the table."""
-    spark = stream.sparkSession
+    spark = prepare(stream.sparkSession)
     path = work_path(spark, name)
-    job = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option(
-        "checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    job.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option(
+        "checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
 def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    spark = stream.sparkSession
-    job = stream.writeStream.outputMode(mode).foreachBatch(handle).option(
-        "checkpointLocation", f"{work_path(spark, name)}/checkpoint").trigger(availableNow=True).start()
-    job.awaitTermination()
+    spark = prepare(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option(
+        "checkpointLocation", f"{work_path(spark, name)}/checkpoint").trigger(availableNow=True)
+    writer.start().awaitTermination()
 
 
 def ingest_increments(stream: DataFrame, target: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """N-gram Jaccard join: classes of documents linked by a similarity of 0.8 or more of their sets of five-word shingles.
 
 1. Equal sets become one, represented by their smallest doc_id.
-2. All shingles have one order: by hash, except that shingles seen often (the `FREQUENT` most seen ones, counted over windows of all documents)
-   come last, the most seen at the very end. Any order gives the same result; this one keeps the index lists short. Two sets with the similarity share
+2. All shingles have one order: by hash, except that shingles seen often (the `FREQUENT` most seen ones, counted over all
+   documents) come last, the most seen at the very end. Any order gives the same result; this one keeps the index lists short. Two sets with the similarity share
    a shingle in their prefixes of n - ceil(0.8 n) + 1, and at the first shared one their positions add up to (n + m) / 9 at most.
 3. An index list (the sets that have a shingle in their prefix, with sizes and positions) is cut in two blocks, head (position up to n / 9)
    and tail. Pairs within the tail cannot meet the position bound, so the tail block is never joined with itself.
-4. First each list's first head set is compared with the list's others (a star). Links join sets to components. For the other pairs of a list the
-   answers follow from the star's: with overlaps a and b to the star's centre, sets of sizes n and m have at least a + b - |centre| and at most
+4. In a few turns each list has one head set as its centre, and each set is compared with the centre it meets most often, if that is in another
+   component. Links join sets to components. For the other pairs of a list the
+   answers follow from the first turn's: with overlaps a and b to the star's centre, sets of sizes n and m have at least a + b - |centre| and at most
    min(a, b) + min(n - a, m - b) shingles in common. What that decides is not compared, nor are pairs already in one component.
 5. The rest is compared, and the components are completed. Pairs within a component are never all made.
 
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from freightloom.llm.common import LOWER, documents, kept_table, mix, prefix_hash, shingles_of, substring_hash, text_chunks, words_of
 from freightloom.session import checkpoint
 
-FREQUENT = 1 << 15
-OFTEN = 16
-WINDOW = 2_000_000  # shingles a task counts together
+FREQUENT = 1 << 18
+OFTEN = 8
+WINDOW = 2_000_000
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +58,8 @@ def _signatures(h: np.ndarray, r: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """The shingles seen most often, rarest first: sums over the windows that saw one three times in different sets."""
+def _seen_together(docs: DataFrame) -> DataFrame:
+    """token, n: shingles that a task saw in three different sets of a window of WINDOW shingles; of any place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -66,15 +67,14 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
         size = 0
 
         def out() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             keep = counts >= 3
             return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["token", "n"])
 
         for part, data, offsets in text_chunks(batches):
             h, r = sets_of(data, offsets)
-            a, b = _signatures(h, r, part.num_rows)
             fresh = np.zeros(part.num_rows, bool)
-            for k, pair in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            for k, pair in enumerate(zip(*[x.tolist() for x in _signatures(h, r, part.num_rows)], strict=True)):
                 if pair not in seen:
                     seen.add(pair)
                     fresh[k] = True
@@ -85,13 +85,24 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
                 held, seen, size = [], set(), 0
         yield out()
 
-    seen = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = seen.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(most).collect()
-    return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
+    return docs.select("text").mapInArrow(run, "token long, n long")
+
+
+def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
+    """The shingles seen most often, rarest first.
+
+    Two counts: exact ones of those that stand first by hash in a document (half as many again as a prefix has), and, for the rest, sums
+    over windows. What both miss costs time, never a link.
+    """
+    early = prefixes(docs, np.zeros(0, np.uint64), 1.5).select(F.explode("prefix").alias("token"))
+    exact = early.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    near = _seen_together(docs).groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    rows = exact.unionByName(near).groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    return rows.column("token").to_numpy()[::-1].copy().view(np.uint64)
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, s1, s2 (signature of the set), prefix."""
+def prefixes(docs: DataFrame, frequent: np.ndarray, share: float = 1.0) -> DataFrame:
+    """doc_id, n, s1, s2 (signature of the set), prefix (`share` times its needed length)."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
@@ -107,7 +118,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 by = np.lexsort((h, late, r))
                 h, r = h[by], r[by]
             place = np.arange(len(h)) - (np.cumsum(n) - n)[r]
-            size = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+            size = np.where(n > 0, np.minimum(n, (share * (n - (4 * n + 4) // 5 + 1)).astype(np.int64)), 0)
             keep = place < size[r]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -139,6 +150,32 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
 
 
+def promising(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share enough of their prefixes. held: rep, n, tokens (the prefix shingles that other sets have as well).
+
+    Take the set whose prefix ends first: shared shingles up to that end are in both prefixes, later ones among its n - prefix others.
+    """
+    side = lambda x: held.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    later = F.expr("greatest(int((4 * na + 4) / 5), int((4 * nb + 4) / 5)) - 1")
+    return joined.filter(9 * (shared + later) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): for each set b the centre a it meets in most lists, of another component. Each list has one centre, a head set drawn anew each turn."""
+    centre = rows.filter("9 * pos <= n").groupBy("token").agg(F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("draw"), "rep", "n", "pos", "label")).alias("x"))
+    centre = centre.select("token", F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa"), F.col("x.label").alias("la"))
+    met = rows.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "label").join(kept_table(centre, "op5-centre"), "token")
+    met = met.filter(f"label <> la and {SIZES} and {PLACES}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
+
+
+def _sets_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    wanted = kept_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "op5-wanted")
+    return kept_table(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")), "op5-sets")
+
+
 LINKED = "100 * both >= 80 * (na + nb - both)"
 SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 PLACES = "9 * (pa + pb) <= na + nb"
@@ -166,39 +203,44 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id. rounds: how often stars are compared before pairs are."""
     heads = kept_table(prefixes(docs, frequent_shingles(docs)), "op5-prefix")
     classes = heads.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     classes = kept_table(classes, "op5-classes")
     first = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
     index = heads.join(first, ["doc_id", "n", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
-    # Lists with two sets at least, each with its centre: the first set of its head block.
-    ranged = index.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.when(F.expr("9 * pos <= n"), F.struct("rep", "n", "pos"))).alias("centre"))
-    lists = kept_table(index.join(ranged.filter("lo < hi and centre is not null").select("token", "centre"), "token"), "op5-lists")
-    star = lists.select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"), F.col("centre.n").alias("na"), F.col("n").alias("nb"), F.col("centre.pos").alias("pa"), F.col("pos").alias("pb"))
-    star = star.filter(f"a <> b and {SIZES} and {PLACES}").select("a", "b").distinct()
-    wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
-    sets = kept_table(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")), "op5-sets")
-    answers = kept_table(overlaps(star, sets), "op5-answers")
-    label = components(answers.filter(LINKED))
-    # What the stars leave open: pairs of a list in different components.
-    known = answers.select(F.col("a").alias("c"), F.col("b").alias("rep"), F.col("na").alias("nc"), F.col("both").alias("o"))
-    rows = lists.select("token", "rep", "n", "pos", F.col("centre.rep").alias("c")).join(known, ["c", "rep"], "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = rows.withColumns({"label": F.coalesce("label", "rep"), "o": F.when(F.col("c") == F.col("rep"), F.col("n")).otherwise(F.col("o"))})
-    mixed = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
-    rows = kept_table(rows.join(mixed, "token", "left_semi"), "op5-open")
-    left = rows.filter("9 * pos <= n").select("token", *[F.col(x).alias(y) for x, y in (("rep", "a"), ("n", "na"), ("pos", "pa"), ("o", "oa"), ("label", "la"), ("c", "c"))])
-    right = rows.select("token", *[F.col(x).alias(y) for x, y in (("rep", "b"), ("n", "nb"), ("pos", "pb"), ("o", "ob"), ("label", "lb"), ("nc", "nc"))])
+    # Lists with two sets at least. Most shingles are in one set only: they are told by a count, so each row is dealt by its shingle once.
+    again = kept_table(index.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "op5-again")
+    shared = kept_table(index.join(again, "token"), "op5-shared")
+    held = kept_table(shared.groupBy("rep", "n").agg(F.collect_list("token").alias("tokens")), "op5-held")
+    rows, links, label, known = shared.withColumn("label", F.col("rep")), None, None, None
+    for k in range(rounds):
+        pairs = kept_table(promising(_stars(rows, k), held), "op5-star")
+        answers = kept_table(overlaps(pairs, _sets_for(docs, pairs)), "op5-answers")
+        found = answers.filter(LINKED).select("a", "b")
+        known = answers if known is None else known
+        links = found if links is None else links.unionByName(found)
+        if k and not found.limit(1).count():
+            break
+        label = kept_table(components(links), "op5-labels")
+        # Lists in which components are still to be told apart.
+        now = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        mixed = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
+        rows = kept_table(now.join(kept_table(mixed, "op5-mixed"), "token"), "op5-open")
+    # All pairs of a list in different components, but for those that follow from the overlaps with a common centre.
+    centred = known.select(F.col("b").alias("rep"), F.col("a").alias("c"), F.col("na").alias("nc"), F.col("both").alias("o"))
+    rows = rows.select("token", "rep", "n", "pos", "label").join(centred, "rep", "left")
+    left = rows.filter("9 * pos <= n").select("token", *[F.col(x).alias(y) for x, y in (("rep", "a"), ("n", "na"), ("pos", "pa"), ("o", "oa"), ("label", "la"), ("c", "ca"))])
+    right = rows.select("token", *[F.col(x).alias(y) for x, y in (("rep", "b"), ("n", "nb"), ("pos", "pb"), ("o", "ob"), ("label", "lb"), ("c", "cb"), ("nc", "nc"))])
     most = "least(oa, ob) + least(na - oa, nb - ob)"
     once = "(a < b or 9 * pb > nb)"
-    open_pairs = left.join(right, "token").filter(
-        f"la <> lb and a <> c and b <> c and {once} and {SIZES} and {PLACES} and (oa is null or ob is null or 9 * ({most}) >= 4 * (na + nb))"
-    )
-    open_pairs = open_pairs.select("a", "b", F.expr("coalesce(9 * (oa + ob - nc) >= 4 * (na + nb), false)").alias("sure")).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    open_pairs = kept_table(open_pairs, "op5-pairs")
-    rest = overlaps(open_pairs.filter("not sure"), sets).filter(LINKED)
-    links = answers.filter(LINKED).select("a", "b").unionByName(open_pairs.filter("sure").select("a", "b")).unionByName(rest.select("a", "b"))
+    open_pairs = left.join(right, "token").filter(f"la <> lb and {once} and {SIZES} and {PLACES} and (ca is null or cb is null or ca <> cb or 9 * ({most}) >= 4 * (na + nb))")
+    open_pairs = open_pairs.select("a", "b", F.expr("coalesce(ca = cb and 9 * (oa + ob - nc) >= 4 * (na + nb), false)").alias("sure")).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    open_pairs = kept_table(open_pairs, "op5-open-pairs")
+    unsure = kept_table(promising(open_pairs.filter("not sure"), held), "op5-unsure")
+    rest = overlaps(unsure, _sets_for(docs, unsure)).filter(LINKED)
+    links = links.unionByName(open_pairs.filter("sure").select("a", "b")).unionByName(rest.select("a", "b"))
     final = kept_table(components(links), "op5-labels")
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"))
     out = heads.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")

@@ -242,7 +242,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """_id, th, spans (array of start, end): the bytes to remove, for texts that have some. docs: _id, th, text."""
     found = kept_table(anchor_table(docs, length), "op9-anchors")
-    again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
+    again = kept_table(found.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash"), "op9-hashes")
     occurrences = kept_table(found.join(again, "hash"), "op9-again")
     first = F.min(F.struct("_id", "th", "start", "n")).alias("at")
     distinct = kept_table(occurrences.groupBy("hash", "ch").agg(F.count(F.lit(1)).alias("weight"), first), "op9-contexts")

@@ -1,9 +1,9 @@
 """BPE encoding and decoding with forced boundaries.
 
 A byte pair that stands inside no token of the vocabulary can never be merged over, so text is cut there for certain and the fragments are
-encoded one by one and concatenated. Two uses of that: (a) a space after a character other than white space is such a pair and also an edge of
-the pre-tokenizer's pieces, so a text is cut into space-led fragments, which repeat and are remembered; (b) inside each pre-token the forced
-cuts of all other pairs bound the merge loop by the longest stretch without a cut.
+encoded one by one and concatenated. Two uses of that: (a) a space after a character other than white space is an edge of the pre-tokenizer's
+pieces (and such a pair, but after the one byte that also ends a no-break space), so a text is cut into space-led fragments, which repeat and
+are remembered; (b) inside each pre-token the forced cuts of all pairs bound the merge loop by the longest stretch without a cut.
 
 Null text is empty text. Empty text has no ids. Special token strings in a text become their ids, as in the library. Rows are independent:
 repeated rows give repeated results, long texts need memory in proportion to their own length, other columns are ignored.
@@ -62,8 +62,6 @@ class Vocabulary:
             inside[list(t[:-1]), list(t[1:])] = True
         self.cut = [bytes(np.flatnonzero(~inside[a])) for a in range(256)]  # after byte a, a cut is certain before these
         self.cuts = [frozenset(c) for c in self.cut]
-        # Uses (a): every pair (byte, space) must be a cut, but for bytes that may end white space.
-        self.space_cuts = all(32 in self.cuts[a] for a in [*range(33, 127), *range(128, 192)])
 
 
 def merged(word: bytes, v: Vocabulary) -> list[int]:
@@ -115,7 +113,9 @@ class Fragments(dict):
         ids: list[int] = []
         for word in self.split(self.lead + fragment):
             ids += self.word(word.encode())
-        out = self[fragment] = np.array(ids, "<u4").tobytes()
+        out = np.array(ids, "<u4").tobytes()
+        if len(fragment) < 100:
+            self[fragment] = out
         return out
 
     def word(self, word: bytes) -> list[int]:
@@ -154,8 +154,6 @@ class Codec:
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.v.space_cuts:
-            return self.first[text]
         if self.white_space(text) is None:
             head, *rest = text.split(" ")
             return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, rest))

@@ -77,6 +77,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 texts = [(SPACE.split(t) if SEPARATORS(t) else t.split()) if t else [] for t in part.column("text").to_pylist()]
                 known.learn([w for t in texts for w in t])
                 ids = [b"".join(map(known.__getitem__, t)) + end for t in texts]
+                if len(known) > REMEMBERED:
+                    known.clear()
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<u4").astype(np.int32))], ["doc_id", "ids"])
 

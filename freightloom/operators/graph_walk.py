@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from freightloom.session import checkpoint
 
-MAX_DEPTH = 5
 # Trust in an edge by its type; anything else counts 0.5.
 EDGE_TRUST = {
     "SUPPLIES": 1.0, "STORED_IN": 1.0, "SHIPS_VIA": 1.0, "DELIVERED_TO": 1.0, "PLACED": 1.0, "CONTAINS": 1.0,
@@ -41,7 +40,7 @@ def reach(adj: DataFrame, sources: DataFrame, max_depth: int = 3) -> DataFrame:
     hop = adj.select("src", "dst", edge_trust().alias("trust"))
     frontier = checkpoint(sources.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(1.0).alias("trust")))
     seen = frontier
-    for depth in range(1, min(max_depth, MAX_DEPTH) + 1):
+    for depth in range(1, max_depth + 1):
         found = frontier.select(F.col("node_id").alias("src")).join(hop, "src").groupBy(F.col("dst").alias("node_id")).agg(
             F.max("trust").alias("trust")
         )

@@ -15,9 +15,9 @@ ORACLE: dict[str, str] = {}
 
 
 def with_views(sql: str, **views: str) -> str:
-    """Prefix a statement with the order-line view and further named views it uses."""
-    named = {"oi": ORDER_ITEMS_SQL, **views}
-    return "WITH " + ", ".join(f"{n} AS ({body})" for n, body in named.items()) + " " + sql
+    """Prefix a statement with the order-line view and further named views it uses; those are computed once each."""
+    named = [f"oi AS ({ORDER_ITEMS_SQL})", *[f"{n} AS MATERIALIZED ({body})" for n, body in views.items()]]
+    return "WITH " + ", ".join(named) + " " + sql
 
 
 def register(name: str, run: Query, sql: str | None = None) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from freightloom.llm.common import documents
 from freightloom.session import work_path
 
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 # str.split() also cuts at four control characters that are no white space to the tokenizer; texts with them take the pattern.
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -74,7 +74,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                texts = [(SPACE.split(t) if SEPARATORS(t) else t.split()) if t else [] for t in part.column("text").to_pylist()]
+                # The tokenizer ignores case; A-Z are lowered here so that a word is remembered once. Special tokens' strings keep their case.
+                plain = [t if t is None or "<|" in t else t.encode().lower().decode() for t in part.column("text").to_pylist()]
+                texts = [(SPACE.split(t) if SEPARATORS(t) else t.split()) if t else [] for t in plain]
                 known.learn([w for t in texts for w in t])
                 ids = [b"".join(map(known.__getitem__, t)) + end for t in texts]
                 if len(known) > REMEMBERED:

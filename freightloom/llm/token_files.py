@@ -11,25 +11,31 @@ An empty table writes no document. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from freightloom.llm.common import documents
+from freightloom.llm.common import LOWER, documents, text_chunks
 from freightloom.session import work_path
 
 REMEMBERED = 1_000_000
-# str.split() also cuts at four control characters that are no white space to the tokenizer; texts with them take the pattern.
-SEPARATORS = re.compile("[\x1c-\x1f]").search
-SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+WIDE_SPACES = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # white space of the tokenizer beyond ASCII
+BREAK = "\x01"  # stands between the words of one call; the byte occurs in no other character, and words that hold it are encoded alone
+SLICE = 8 << 20  # bytes of text whose distinct words are looked up together
+A_CALL = 200  # words of one call
+# Bytes between whose kinds the tokenizer's own pattern always cuts. The apostrophe and the signs of special tokens are of no kind.
+PART = np.zeros(256, np.int8)
+PART[97:123] = 1
+PART[48:58] = 2
+PART[list(b'.,;:!?()[]{}"-_/*#+=%&$@')] = 3
 WRITER = {  # fixed values of the file format
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "false",
@@ -50,14 +56,28 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.breaks = self.library.encode(BREAK, add_special_tokens=False).ids
 
-    def learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self))
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Words are encoded many to a call, with a break between any two that has an id of its own."""
+        new = list(words.difference(self))
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            new = list(words)
+        alone = new if len(self.breaks) != 1 else [w for w in new if BREAK in w]
+        for w, ids in zip(alone, self.ids(alone), strict=True):
+            self[w] = ids.tobytes()
+        if len(self.breaks) != 1:
+            return
+        joined = [w for w in new if BREAK not in w]
+        calls = [joined[k : k + A_CALL] for k in range(0, len(joined), A_CALL)]
+        for call, ids in zip(calls, self.ids([f" {BREAK} ".join(c) for c in calls]), strict=True):
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.breaks[0]) * 4).tolist()
+            for w, first, last in zip(call, [0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True):
+                self[w] = data[first:last]
 
 
 @lru_cache(maxsize=2)
@@ -65,24 +85,50 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.LargeStringArray:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data))
+
+
+def split(data: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """The words of each text, cut further between letters, digits and marks of ASCII.
+
+    The tokenizer ignores case; A-Z are lowered here so that a word is remembered once. Special tokens' strings keep their case.
+    """
+    low = LOWER[data]
+    part = PART[low]
+    cuts = np.flatnonzero((part[:-1] != part[1:]) & (part[:-1] > 0) & (part[1:] > 0)) + 1
+    moved = offsets + np.searchsorted(cuts, offsets)
+    plain = _strings(np.insert(low, cuts, 32), moved)
+    special = pc.match_substring(plain, "<|")
+    if pc.any(special).as_py():
+        plain = pc.if_else(special, _strings(np.insert(data, cuts, 32), moved), plain)
+    if pc.any(pc.match_substring_regex(plain, WIDE_SPACES)).as_py():
+        plain = pc.replace_substring_regex(plain, WIDE_SPACES, " ")
+    return pc.ascii_split_whitespace(plain)
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids. The tokenizer drops white space and never joins across it, so words are encoded one by one."""
+    """doc_id, ids. The tokenizer drops white space and never joins across it, so words are encoded one by one, each distinct one of a slice once."""
     path = tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = word_ids(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                # The tokenizer ignores case; A-Z are lowered here so that a word is remembered once. Special tokens' strings keep their case.
-                plain = [t if t is None or "<|" in t else t.encode().lower().decode() for t in part.column("text").to_pylist()]
-                texts = [(SPACE.split(t) if SEPARATORS(t) else t.split()) if t else [] for t in plain]
-                known.learn([w for t in texts for w in t])
-                ids = [b"".join(map(known.__getitem__, t)) + end for t in texts]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<u4").astype(np.int32))], ["doc_id", "ids"])
+        known = word_ids(path)
+        for part, data, offsets in text_chunks(batches, SLICE):
+            words = split(data, offsets)
+            coded = words.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            known.learn(set(distinct))
+            ids = [known[w] for w in distinct]
+            # One row of ids for each distinct word, and the end id as one more word behind each document.
+            size = np.array([len(x) // 4 for x in ids] + [1])
+            pool = np.frombuffer(b"".join(ids) + np.array([end_id], "<u4").tobytes(), "<u4")
+            ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+            order = np.insert(coded.indices.to_numpy(), ends[1:], len(ids))
+            n = size[order]
+            last = np.cumsum(n)
+            out = pool[np.repeat((np.cumsum(size) - size)[order] - last + n, n) + np.arange(n.sum())]
+            bounds = np.concatenate([[0], last])[ends + np.arange(len(ends))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(bounds, out.astype(np.int32))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from freightloom.llm.common import LOWER, documents, text_chunks
 from freightloom.session import work_path
 
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 WIDE_SPACES = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # white space of the tokenizer beyond ASCII
 BREAK = "\x01"  # stands between the words of one call; the byte occurs in no other character, and words that hold it are encoded alone
-SLICE = 8 << 20  # bytes of text whose distinct words are looked up together
+SLICE = 4 << 20  # bytes of text whose distinct words are looked up together
 A_CALL = 200  # words of one call
 # Bytes between whose kinds the tokenizer's own pattern always cuts. The apostrophe and the signs of special tokens are of no kind.
 PART = np.zeros(256, np.int8)

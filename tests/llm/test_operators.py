@@ -112,6 +112,21 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_pieces_keep_the_ids():
+    """Every kind of cut and white space: the ids of the pieces one after another are those of the whole text."""
+    library, known = Tokenizer.from_file(WORD_BPE), token_files.WordIds(WORD_BPE)
+    texts = [
+        "", " ", "A\x01b \x01 \x01\x01 c", "A\x1cB c\x85d\u3000e\u00a0f", "<|endoftext|> HELLO<|startoftext|>x.y", "I'm we'RE 'r5 '.s ',s don't. (e.g., 12.5%)",
+        "a\u0301, .\u0301a 1\u0301 =\u0338b a.\u0301", "\u00dcber, Stra\u00dfe. \u0130STANBUL \u01c5", "x" * 3000 + ".,;" * 500 + "\u00e9" * 900, "item12b-c_d/e@f",
+    ]
+    coded = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
+    words = token_files.split(np.frombuffer(b"".join(coded), np.uint8), offsets).to_pylist()
+    known.learn({w for row in words for w in row})
+    for t, row in zip(texts, words, strict=True):
+        assert np.frombuffer(b"".join(known[w] for w in row), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_language_id(docs, rows, empty):
     got = by_id(language.identify(docs, language.prototypes(docs)))
     for i, t, lang, *_ in rows:

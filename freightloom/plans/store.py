@@ -181,12 +181,6 @@ graph_query(
     """SELECT 1 AS version, count(*) AS n_edges, 0 AS is_active FROM edges WHERE rel_type IN ('SUPPLIES', 'CONTAINS')
        UNION ALL SELECT 2, count(*), 1 FROM edges WHERE rel_type <> 'INFLUENCES' UNION ALL SELECT 3, count(*), 0 FROM edges""",
 )
-QUESTIONS = {
-    "high_risk_suppliers": "Which suppliers have the highest delivery risk?", "warehouse_stress": "Which warehouses are under the most stress?",
-    "late_modes": "Which shipping modes are late most often?", "product_risk": "Which categories are hardest to forecast?",
-    "hub_products": "Which categories connect the most of the network?", "hub_modes": "Which shipping modes carry the most orders?",
-    "busy_months": "Which months bring the most orders?", "active_customers": "Which customers place the most orders?",
-}
 _TOPICS = (("high_risk_suppliers", "Supplier", "risk"), ("warehouse_stress", "Warehouse", "risk"), ("late_modes", "Shipment", "risk"), ("product_risk", "Product", "risk"),
            ("hub_products", "Product", "degree"), ("hub_modes", "Shipment", "degree"), ("busy_months", "CalendarEvent", "degree"), ("active_customers", "Customer", "degree"))
 
@@ -197,16 +191,16 @@ def corpus_export(n, e):
     d, out = n.join(G.degrees(e).select("node_id", F.col("degree").cast("double").alias("degree")), "node_id"), None
     for topic, label, measure in _TOPICS:
         top = d.where(F.col("label") == label).orderBy(F.desc(measure), "node_id").limit(10).select(
-            F.lit(topic).alias("topic"), F.lit(QUESTIONS[topic]).alias("question"), "name", r(F.col(measure), 4).alias("value"))
+            F.lit(topic).alias("topic"), "name", r(F.col(measure), 4).alias("value"))
         out = top if out is None else out.unionByName(top)
-    lead = out.groupBy("topic", "question").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top_value"))
-    lead.select(F.to_json(F.struct("topic", "question", F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" rows.")).alias("answer"), "top_value")).alias("value")).write.text(path)
-    return spark.read.schema("topic string, question string, answer string, top_value double").json(path)
+    lead = out.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top_value"))
+    lead.select(F.to_json(F.struct("topic", F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" rows.")).alias("answer"), "top_value")).alias("value")).write.text(path)
+    return spark.read.schema("topic string, answer string, top_value double").json(path)
 
 
 graph_query(
     "corpus_export", corpus_export,
     " UNION ALL ".join(
-        f"""SELECT '{t}' AS topic, '{QUESTIONS[t]}' AS question, 'Found ' || count(*) || ' rows.' AS answer, round(max(v), 4) AS top_value FROM (
+        f"""SELECT '{t}' AS topic, 'Found ' || count(*) || ' rows.' AS answer, round(max(v), 4) AS top_value FROM (
           SELECT CAST({m} AS DOUBLE) AS v FROM nodes JOIN deg USING (node_id) WHERE label = '{lb}' ORDER BY v DESC LIMIT 10)""" for t, lb, m in _TOPICS),
 )

@@ -10,6 +10,8 @@
    component. Links join sets to components. For the other pairs of a list the
    answers follow from the first turn's: with overlaps a and b to the star's centre, sets of sizes n and m have at least a + b - |centre| and at most
    min(a, b) + min(n - a, m - b) shingles in common. What that decides is not compared, nor are pairs already in one component.
+   Each set also has PARITY bits, each telling whether an odd number of its shingles fall on it. A shingle of one of two sets only flips one bit,
+   so the sets differ in as many shingles as bits at least; with more than (n + m) / 9 they are no link and the list's join does not emit the pair.
 5. The rest is compared, and the components are completed. Pairs within a component are never all made.
 
 Shingle hashes have 64 bits; overlaps are counted between the two sets' hashes. Words are lower-cased in A-Z and cut at ASCII white space.
@@ -32,6 +34,7 @@ from freightloom.session import checkpoint
 FREQUENT = 1 << 18
 OFTEN = 8
 WINDOW = 2_000_000
+PARITY = 512
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +61,14 @@ def _signatures(h: np.ndarray, r: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
+def _parity(h: np.ndarray, r: np.ndarray, rows: int) -> pa.ListArray:
+    """PARITY bits of each row's set, as 64-bit integers: whether an odd number of its shingles fall on the bit."""
+    bit = (mix(h ^ np.uint64(0x2F9E3C51)) % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(r * PARITY + bit, minlength=rows * PARITY) & 1).astype(np.uint8)
+    words = PARITY // 64
+    return pa.ListArray.from_arrays(np.arange(0, words * rows + 1, words, dtype=np.int32), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def _seen_together(docs: DataFrame) -> DataFrame:
     """token, n: shingles that a task saw in three different sets of a window of WINDOW shingles; of any place in the order."""
 
@@ -102,7 +113,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, share: float = 1.0) -> DataFrame:
-    """doc_id, n, s1, s2 (signature of the set), prefix (`share` times its needed length)."""
+    """doc_id, n, s1, s2 (signature of the set), bits (of parity), prefix (`share` times its needed length)."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
@@ -111,6 +122,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, share: float = 1.0) -> DataF
             h, r = sets_of(data, offsets)
             n = np.bincount(r, minlength=part.num_rows)
             s1, s2 = _signatures(h, r, part.num_rows)
+            bits = _parity(h, r, part.num_rows)
             late = np.zeros(len(h), np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, h), len(values) - 1)
@@ -122,11 +134,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, share: float = 1.0) -> DataF
             keep = place < size[r]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(ends, pa.array(h[keep].view(np.int64)))],
-                ["doc_id", "n", "s1", "s2", "prefix"],
+                [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), bits, pa.ListArray.from_arrays(ends, pa.array(h[keep].view(np.int64)))],
+                ["doc_id", "n", "s1", "s2", "bits", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, bits array<long>, prefix array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -179,6 +191,7 @@ def _sets_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 LINKED = "100 * both >= 80 * (na + nb - both)"
 SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 PLACES = "9 * (pa + pb) <= na + nb"
+FLIPS = "9 * (" + " + ".join(f"bit_count(xa[{k}] ^ xb[{k}])" for k in range(PARITY // 64)) + ") <= na + nb"
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,12 +243,15 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
         rows = kept_table(now.join(kept_table(mixed, "op5-mixed"), "token"), "op5-open")
     # All pairs of a list in different components, but for those that follow from the overlaps with a common centre.
     centred = known.select(F.col("b").alias("rep"), F.col("a").alias("c"), F.col("na").alias("nc"), F.col("both").alias("o"))
-    rows = rows.select("token", "rep", "n", "pos", "label").join(centred, "rep", "left")
-    left = rows.filter("9 * pos <= n").select("token", *[F.col(x).alias(y) for x, y in (("rep", "a"), ("n", "na"), ("pos", "pa"), ("o", "oa"), ("label", "la"), ("c", "ca"))])
-    right = rows.select("token", *[F.col(x).alias(y) for x, y in (("rep", "b"), ("n", "nb"), ("pos", "pb"), ("o", "ob"), ("label", "lb"), ("c", "cb"), ("nc", "nc"))])
+    bits = heads.join(first, ["doc_id", "n", "s1", "s2"], "left_semi").groupBy(F.col("doc_id").alias("rep"))
+    # A doc_id repeated with different texts has several sets: no bits, so nothing is told from them.
+    bits = bits.agg(F.when(F.min("s1") == F.max("s1"), F.first("bits")).alias("bits"))
+    rows = rows.select("token", "rep", "n", "pos", "label").join(centred, "rep", "left").join(bits, "rep")
+    left = rows.filter("9 * pos <= n").select("token", *[F.col(x).alias(y) for x, y in (("rep", "a"), ("n", "na"), ("pos", "pa"), ("o", "oa"), ("label", "la"), ("c", "ca"), ("bits", "xa"))])
+    right = rows.select("token", *[F.col(x).alias(y) for x, y in (("rep", "b"), ("n", "nb"), ("pos", "pb"), ("o", "ob"), ("label", "lb"), ("c", "cb"), ("nc", "nc"), ("bits", "xb"))])
     most = "least(oa, ob) + least(na - oa, nb - ob)"
     once = "(a < b or 9 * pb > nb)"
-    open_pairs = left.join(right, "token").filter(f"la <> lb and {once} and {SIZES} and {PLACES} and (ca is null or cb is null or ca <> cb or 9 * ({most}) >= 4 * (na + nb))")
+    open_pairs = left.join(right, "token").filter(f"la <> lb and {once} and {SIZES} and {PLACES} and coalesce({FLIPS}, true) and (ca is null or cb is null or ca <> cb or 9 * ({most}) >= 4 * (na + nb))")
     open_pairs = open_pairs.select("a", "b", F.expr("coalesce(ca = cb and 9 * (oa + ob - nc) >= 4 * (na + nb), false)").alias("sure")).groupBy("a", "b").agg(F.max("sure").alias("sure"))
     open_pairs = kept_table(open_pairs, "op5-open-pairs")
     unsure = kept_table(promising(open_pairs.filter("not sure"), held), "op5-unsure")

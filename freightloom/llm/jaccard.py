@@ -216,6 +216,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def extended(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label of the links (a, b) and those that `label` already stands for: only the links between its components are followed anew."""
+    if label is None:
+        return components(links)
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = label.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return moved.unionByName(more.join(label, "node", "left_anti").select("node", "label"))
+
+
 def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id. rounds: how often stars are compared before pairs are."""
     heads = kept_table(prefixes(docs, frequent_shingles(docs)), "op5-prefix")
@@ -227,16 +238,15 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
     again = kept_table(index.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "op5-again")
     shared = kept_table(index.join(again, "token"), "op5-shared")
     held = kept_table(shared.groupBy("rep", "n").agg(F.collect_list("token").alias("tokens")), "op5-held")
-    rows, links, label, known = shared.withColumn("label", F.col("rep")), None, None, None
+    rows, label, known = shared.withColumn("label", F.col("rep")), None, None
     for k in range(rounds):
         pairs = kept_table(promising(_stars(rows, k), held), "op5-star")
         answers = kept_table(overlaps(pairs, _sets_for(docs, pairs)), "op5-answers")
         found = answers.filter(LINKED).select("a", "b")
         known = answers if known is None else known
-        links = found if links is None else links.unionByName(found)
         if k and not found.limit(1).count():
             break
-        label = kept_table(components(links), "op5-labels")
+        label = kept_table(extended(label, found), "op5-labels")
         # Lists in which components are still to be told apart.
         now = shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         mixed = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
@@ -256,8 +266,8 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
     open_pairs = kept_table(open_pairs, "op5-open-pairs")
     unsure = kept_table(promising(open_pairs.filter("not sure"), held), "op5-unsure")
     rest = overlaps(unsure, _sets_for(docs, unsure)).filter(LINKED)
-    links = links.unionByName(open_pairs.filter("sure").select("a", "b")).unionByName(rest.select("a", "b"))
-    final = kept_table(components(links), "op5-labels")
+    links = open_pairs.filter("sure").select("a", "b").unionByName(rest.select("a", "b"))
+    final = kept_table(extended(label, links), "op5-labels")
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"))
     out = heads.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

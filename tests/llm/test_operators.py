@@ -290,3 +290,22 @@ def test_null_ids_and_repeated_rows(spark):
     assert simhash.with_next(df, 3).count() == 5 and rules.statistics(df).count() == 5
     assert bpe.round_trip(df, BYTE_BPE).count() == 5 and language.identify(df, language.prototypes(df)).count() == 5
     assert lm.score(df.withColumn("train", F.lit(True))).count() == 5
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for size, changed in ((0, 0), (3, 1), (200, 9), (200, 200), (5000, 40)):
+        first = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        second = np.unique(np.concatenate([first[changed:], rng.integers(0, 2**64, changed, dtype=np.uint64)]))
+        h, r = np.concatenate([first, second]), np.repeat([0, 1], [len(first), len(second)])
+        a, b = (np.array(x, np.int64) for x in jaccard._parity(h, r, 2).to_pylist())
+        flipped = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+        differ = len(np.setxor1d(first, second))
+        assert flipped <= differ and (flipped - differ) % 2 == 0
+        assert len(a) == jaccard.PARITY // 64
+
+
+def test_components_extended_by_links(spark):
+    label = jaccard.extended(None, spark.createDataFrame([(1, 2), (3, 2), (7, 8), (20, 21)], "a long, b long"))
+    got = jaccard.extended(label, spark.createDataFrame([(8, 3), (9, 10), (21, 20), (10, 11)], "a long, b long")).collect()
+    assert sorted((r["node"], r["label"]) for r in got) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (9, 9), (10, 9), (11, 9), (20, 20), (21, 20)]

@@ -149,9 +149,15 @@ FCELLS = """SELECT category, region, n AS order_count, round(sr, 6) AS supplier_
   round(d * price, 2) AS predicted_revenue, round((sr + lr) / 2, 6) AS combined_risk,
   CASE WHEN (sr + lr) / 2 >= 0.65 THEN 'high' WHEN (sr + lr) / 2 >= 0.35 THEN 'medium' ELSE 'low' END AS risk_level
   FROM (SELECT category, region, count(*) AS n, avg(p_sup) AS sr, avg(p_route) AS lr, avg(p_qty) AS q, avg(sales) AS d, avg(product_price) AS price
-    FROM scored WHERE period = (SELECT max(period) FROM scored WHERE period < '2001-08') GROUP BY category, region HAVING count(*) >= {f})"""
-# The last month of the data holds a single day, so the month before it is the template.
-over_scores("auto_forecast_cells", lambda s: E.forecast_cells(s.where("period < '2001-08'")), FCELLS.format(f=5))
+    FROM scored WHERE period = (SELECT max(period) FROM scored WHERE period < (SELECT strftime(max(order_date) + INTERVAL 1 DAY, '%Y-%m') FROM scored)) GROUP BY category, region HAVING count(*) >= {f})"""
+
+
+def complete_months(s):
+    """Rows of the months that the data cover to their last day: the newest of them is the template of a forecast."""
+    return s.where(F.col("period") < s.agg(F.date_format(F.date_add(F.max("order_date"), 1), "yyyy-MM")).scalar())
+
+
+over_scores("auto_forecast_cells", lambda s: E.forecast_cells(complete_months(s)), FCELLS.format(f=5))
 
 
 def graph_aware(s):

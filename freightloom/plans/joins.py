@@ -66,8 +66,9 @@ over_items("except_unmatched", lambda d: d.where(F.col("order_date") >= CUT).joi
 
 
 def compare_category_region(d):
-    """Forecast cells against uploaded actuals; a cell without actuals gets an even share of the uploaded total."""
-    cells = matched_cells(d).where("period = '2001-07'")
+    """Forecast cells of the newest complete month against uploaded actuals; a cell without actuals gets an even share of the uploaded total."""
+    running = d.agg(F.date_format(F.date_add(F.max("order_date"), 1), "yyyy-MM")).scalar()
+    cells = matched_cells(d).where(F.col("period") == d.where(F.col("period") < running).agg(F.max("period")).scalar())
     uploaded = cells.where("orders >= 25").select("category", "region", "actual")
     share = uploaded.agg(F.sum("actual")).scalar() / cells.agg(F.count(F.lit(1))).scalar()
     c = cells.select("category", "region", "forecast").join(uploaded, ["category", "region"], "left")
@@ -77,8 +78,8 @@ def compare_category_region(d):
 
 
 over_items(
-    "compare_category_region", compare_category_region, "category region period qty late sales",
-    """, c AS (SELECT * FROM cells WHERE forecast IS NOT NULL AND period = '2001-07'), u AS (SELECT * FROM c WHERE orders >= 25)
+    "compare_category_region", compare_category_region, "category region period qty late sales order_date",
+    """, c AS (SELECT * FROM cells WHERE forecast IS NOT NULL AND period = (SELECT max(period) FROM oi WHERE period < (SELECT strftime(max(order_date) + INTERVAL 1 DAY, '%Y-%m') FROM oi))), u AS (SELECT * FROM c WHERE orders >= 25)
        SELECT c.category, c.region, round(c.forecast, 6) AS forecast, round(a, 6) AS actual, CASE WHEN u.actual IS NULL THEN 1 ELSE 0 END AS estimated,
          round((a - c.forecast) / c.forecast * 100, 4) AS variance_pct
        FROM c LEFT JOIN u ON c.category = u.category AND c.region = u.region,

@@ -281,6 +281,33 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix_to_targets(empty, labels).count() == 0
 
 
+def test_mixing_rare_domain_gets_near_its_target(spark):
+    """A domain with target 0 goes, however few tokens it has."""
+    for rare in (20, 2):
+        q = [[0.0, 0.0, 1.0] if i < rare else [0.0, 1.0, 0.0] if i % 9 == 0 else [1.0, 0.0, 0.0] for i in range(2000)]
+        table = spark.createDataFrame([(i, 100, x) for i, x in enumerate(q)], "doc_id long, n_tokens long, q array<double>")
+        solution = mixing.solve(table, np.array([0.95, 0.05, 0.0]))
+        rated = mixing.with_rates(table, solution, 3).collect()
+        assert all(r["rate"] < 0.01 for r in rated if r["doc_id"] < rare)
+        assert np.abs(solution.reached - [0.95, 0.05, 0.0]).max() < 1e-3 and not solution.missed(["high", "low", "toxic"])
+
+
+def test_mixing_settles_on_the_least_squares_solution(spark, monkeypatch):
+    """With soft posteriors and the rates written down between, the steps end where no gradient is left, or at a bound."""
+    rnd = np.random.default_rng(8)
+    q = np.concatenate([rnd.dirichlet([6, 1, 0.3], 300), rnd.dirichlet([1, 3, 0.3], 60), rnd.dirichlet([0.5, 0.5, 2], 8)])
+    t, targets = rnd.integers(1, 400, len(q)), np.array([0.95, 0.05, 0.0])
+    table = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(t, q, strict=True))], "doc_id long, n_tokens long, q array<double>")
+    monkeypatch.setattr(mixing, "AT_ONCE", 4)
+    for once in (False, True):
+        solution = mixing.solve(table, targets, once=once)
+        r = np.array([x["rate"] for x in mixing.with_rates(table, solution, 3).orderBy("doc_id").collect()])
+        w, x = t / t.sum(), q - targets if once else q
+        slope = x @ (((w * r) @ x - (0 if once else targets)) / (w @ q)) + 0.004 * (r - 1)
+        stuck = np.abs(r - np.clip(r - slope, 0, 1 if once else None))
+        assert len(solution.steps) > 8 and stuck.max() < 1e-3, (once, len(solution.steps), stuck.max())
+
+
 def test_null_ids_and_repeated_rows(spark):
     long = " ".join(f"word{k}" for k in range(200))
     df = spark.createDataFrame([(None, long, "en"), (None, None, None), (5, long, "en"), (5, long, "en"), (7, "a b", None)], "doc_id long, text string, lang string")

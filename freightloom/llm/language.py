@@ -16,13 +16,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightloom.llm.common import documents, fold, kind, text_chunks
 
 WIDTH = 512
 CHUNK = 1 << 20
+SPREAD_TEXTS = 2_000  # texts of a language from which the spread of its scores is taken
+OPENINGS = (1, 2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64)  # words of such a text
 MAX_LANGUAGES = 10_000  # more values than that are no language codes
 
 
@@ -128,6 +130,37 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], width: int = WIDTH
     return docs.select(*keep).mapInArrow(run, "".join(f"`{c}` {kind(docs, c)}, " for c in keep) + "lang_pred string, score double")
 
 
+def size_class(text: Column) -> Column:
+    """1 and up by the number of trigrams: two classes to a doubling."""
+    trigrams = F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", " ")))
+    return (F.floor(2 * F.log2(F.greatest(trigrams, F.lit(1)))) + 1).cast("int")
+
+
+def least_likeness(docs: DataFrame, learned: dict[str, np.ndarray], most: float, texts: int = SPREAD_TEXTS) -> DataFrame:
+    """lang, limits: for each size class the score below which text of that size is clearly not of the language, at most `most`.
+
+    The limit is four standard deviations below the mean score of openings of that size, taken from about `texts` texts of the language chosen by
+    a hash (a documented bound). A class with fewer than 30 openings has the limit of the next shorter one, or 0: scores grow with the size."""
+    known = docs.filter("lang is not null and text is not null").select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    chosen = known.join(F.broadcast(sizes.limit(MAX_LANGUAGES)), "lang").filter(F.pmod(F.xxhash64("text", F.lit("spread")), F.lit(1_000_000)) * F.col("n") < F.lit(texts * 1_000_000))
+    words = chosen.select("lang", F.split(F.trim(F.substring("text", 1, 2_000)), r"\s+", OPENINGS[-1] + 1).alias("w"))
+    cut = words.select("lang", "w", F.explode(F.array(*[F.lit(n) for n in OPENINGS])).alias("n")).filter("size(w) >= n")
+    openings = cut.select("lang", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("text"))
+    scored = identify(openings, learned).filter("lang_pred != 'und'").withColumn("size", size_class(F.col("text")))
+    spread = scored.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), (F.avg("score") - 4 * F.stddev_pop("score")).alias("limit")).filter("n >= 30")
+    found: dict[str, dict[int, float]] = {}
+    for r in spread.collect():
+        found.setdefault(r["lang"], {})[r["size"]] = min(max(r["limit"], 0.0), most)
+    rows = []
+    for lang, by_size in found.items():
+        limits = [0.0]
+        for c in range(1, max(by_size) + 1):
+            limits.append(by_size.get(c, limits[-1]))
+        rows.append((lang, limits[1:]))
+    return docs.sparkSession.createDataFrame(rows, "lang string, limits array<double>")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = fold(4) == 2

@@ -266,6 +266,18 @@ def test_lm_spelling_is_a_probability():
     assert abs((10.0 ** model.word_scores(bits, 512)[::2]).sum() - 1) < 1e-9
 
 
+def test_lm_long_words_cost_all_their_bytes(spark):
+    """An unseen run without spaces is spelled to its end: twice the bytes, about twice the cost, and never dearer prose."""
+    rnd = random.Random(4)
+    blob = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    prose = [" ".join(rnd.choice(["reason", "matter", "winter", "answer", "thing"]) for _ in range(60)) for _ in range(40)]
+    rows = [(i, t, "en", True) for i, t in enumerate(prose)] + [(100 + n, blob[:n], None, False) for n in (100, 1_000, 10_000, 20_000)] + [(99, prose[0], "en", False)]
+    got = by_id(lm.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, train boolean")))
+    cost = {n: -got[100 + n]["score"] for n in (100, 1_000, 10_000, 20_000)}
+    assert cost[1_000] > 5 * cost[100] and cost[10_000] > 9 * cost[1_000] and 1.9 < cost[20_000] / cost[10_000] < 2.1
+    assert cost[20_000] > 20_000 and cost[1_000] > -got[99]["score"]
+
+
 def test_mixing(spark, docs, rows, empty):
     rnd = random.Random(6)
     q = [[0.9, 0.1] if rnd.random() < 0.7 else [0.2, 0.8] for _ in range(400)]

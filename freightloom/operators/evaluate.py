@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightloom.functions.scalars import clip, ratio, risk_label_3
-from freightloom.operators.ordered import running_before, with_position
+from freightloom.operators.ordered import ranked, with_position
 
 
 def r(c: Column, digits: int = 6) -> Column:
@@ -44,9 +44,9 @@ def classification_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5
 
 
 def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Area under the curve by ranks: scores are counted first, then ranked in score ranges."""
+    """Area under the curve by ranks: scores are counted first, then ranked over ranges of about equally many scores, however crowded these lie."""
     g = df.groupBy(F.col(p).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    g = running_before(g.withColumn("slot", F.floor(F.col("s") * 1000)), [], ["s"], ["slot"], {"below": F.col("neg")})
+    g = ranked(g, ["s"], {"below": F.col("neg")})
     return g.agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
         r(ratio(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg"))).alias("auc"),

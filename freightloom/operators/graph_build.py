@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freightloom.functions.scalars import node_id, normalize_entity
+from freightloom.operators.ordered import bottom_k
 from freightloom.session import stored_table
 from freightloom.sources import TOTAL_ORDER, order_lines
 
@@ -117,8 +118,7 @@ def extract_orders(df: DataFrame, strategy: str = "all", size: int = 5000, recen
         d = d.withColumn("month", F.date_format("order_date", "yyyy-MM"))
         per_month = F.greatest(F.lit(1), F.floor(F.lit(size) / d.agg(F.count_distinct("month")).scalar()))
         digest = F.md5(F.concat_ws("|", F.col("order_id").cast("string"), F.lit("42")).cast("binary"))
-        rn = F.row_number().over(Window.partitionBy("month").orderBy(digest))
-        d = d.withColumn("rn", rn).where(F.col("rn") <= per_month)
+        d = bottom_k(d, ["month"], per_month, digest)
     elif strategy != "all":
         raise ValueError(f"unknown strategy {strategy}")
     return d.select(

@@ -19,9 +19,27 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightloom.session import written
+
 CHUNK_ROWS = 65536
 
 
+def in_ranges(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df dealt into ranges of `order` of about equal row count, with the number of its range; ranges follow the order.
+
+    Bounds come from a sample, so the result has to be written before it is used twice. Rows equal in all of `order` stay together: end it with a key.
+    """
+    return df.repartitionByRange(*order).withColumn(name, F.spark_partition_id())
+
+
+def ranked(df: DataFrame, order: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+    """df with, per measure, its sum over all rows before the row in one order over the whole table.
+
+    The rows are cut into ranges, which are written; the totals of the ranges are summed up to offsets, and rows are sorted within a range only.
+    """
+    return running_before(written(in_ranges(df, order, "_range"), "ranges"), [], order, ["_range"], measures).drop("_range")
+
+
 def running_before(
     df: DataFrame,
     keys: Sequence[str],
@@ -84,46 +102,59 @@ def rolling(
     return framed.where(F.col("_pos") >= F.col("_chunk")).select(*df.columns, *frames)
 
 
-def quantiles(values: DataFrame, name: str, value: str, probs: Sequence[float], slots: int = 256) -> DataFrame:
-    """Exact interpolated quantiles per `name` of a long (name, value) table.
+def bottom_k(df: DataFrame, strata: Sequence[str], k: Column, digest: Column) -> DataFrame:
+    """The k rows of each stratum with the smallest digest (a hex string of even spread, without ties), no stratum sorted whole.
 
-    The value range is cut into slots, which are only counted; just the values of the few slots that hold a wanted
-    rank are then counted one by one and ranked in finer slots. No pass shuffles more than those.
+    The digests below a threshold a little above k of the n rows are candidates; only they are sorted. A stratum whose candidates fall short,
+    which the counts show, is taken whole instead. Strata must not be null.
+    """
+    names = df.columns
+    placed = df.withColumn("_digest", digest)
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.least(k, F.col("_n")))
+    share = (F.col("_k") + 6 * F.sqrt("_k") + 10) / F.col("_n")
+    point = F.conv(F.substring("_digest", 1, 12), 16, 10).cast("double") / float(16**12)
+    below = written(placed.join(sizes, list(strata)).where(point <= share).drop("_n"), "sample-candidates")
+    found = below.groupBy(*strata).agg(F.count(F.lit(1)).alias("_found"))
+    short = sizes.join(found, list(strata), "left").where(F.coalesce("_found", F.lit(0)) < F.col("_k")).select(*strata, "_k")
+    if not short.isEmpty():
+        below = below.join(short.drop("_k"), list(strata), "left_anti").unionByName(placed.join(short, list(strata)).select(*below.columns))
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy("_digest"))
+    return below.withColumn("_place", place).where(F.col("_place") <= F.col("_k")).select(*names)
+
+
+def quantiles(values: DataFrame, name: str, value: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles per `name` of a long (name, value) table; names must be few (columns), values may be any in number and shape.
+
+    Selection in three steps. A mergeable sketch of ranks gives each wanted rank bounds some 4 / accuracy of the rows apart, whatever the values
+    are: an outlier or a long tail does not widen them. One pass counts the rows in the gaps between bounds and, one by one, the values inside them. These few
+    values are ranked exactly. A rank that the sketch missed, which the counts show, is sought again between the least and the largest value.
     Returns one row per name: name, n, q0, q1, ... in the order of `probs`.
     """
     known = values.where(F.col(value).isNotNull())
-    span = known.groupBy(name).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("n"))
-    width = F.col("_hi") - F.col("_lo")
-
-    def slot(parts: int) -> Column:
-        return F.when(width > 0, F.floor(F.try_divide(F.col(value) - F.col("_lo"), width) * parts)).otherwise(F.lit(0))
-
-    placed = known.join(span, name).withColumn("_slot", slot(slots))
-    ranks = [f((F.col("n") - 1) * F.lit(float(p))) for p in probs for f in (F.floor, F.ceil)]
-    upto = F.sum("_c").over(Window.partitionBy(name).orderBy("_slot"))
-    wanted = (
-        placed.groupBy(name, "_slot", "n").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_base", upto - F.col("_c"))
-        .where(F.array_contains(F.transform(F.array(*ranks), lambda k: (F.col("_base") <= k) & (k < F.col("_base") + F.col("_c"))), True))
-        .select(name, "_slot", "_base")
-    )
-    counted = placed.join(wanted, [name, "_slot"]).withColumn("_fine", slot(slots * slots)).groupBy(
-        name, "_slot", "_fine", "_base", "n", value
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_before(counted, [name, "_slot"], [value], ["_fine"], {"_in": F.col("_c")}).withColumn(
-        "_before", F.col("_base") + F.col("_in")
-    )
+    near = [min(max(p + side * 2 / accuracy, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    sketch = known.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, near, accuracy).alias("_near"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    bounds = written(sketch.select(name, "n", "_lo", "_hi", F.transform(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: F.struct(
+        F.element_at("_near", 2 * i + 1).alias("lo"), F.element_at("_near", 2 * i + 2).alias("hi"))).alias("_b")), "quantile-bounds")
+    counts = _between(known, name, value, bounds)
+    at = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    # A wanted rank lies inside its bounds if fewer rows are below them than the rank, and more rows up to their end.
+    held = [F.min(F.when(F.col(value) >= F.col("_b")[i]["lo"], F.col("_before"))).alias(f"_s{i}") for i in range(len(probs))]
+    ends = [F.max(F.when(F.col(value) <= F.col("_b")[i]["hi"], F.col("_before") + F.col("_c"))).alias(f"_e{i}") for i in range(len(probs))]
+    missed = F.array(*[(F.coalesce(F.col(f"_s{i}") > F.floor(at(p)), F.lit(True)) | F.coalesce(F.col(f"_e{i}") <= F.floor(at(p)), F.lit(True))) for i, p in enumerate(probs)])
+    check = counts.groupBy(name, "n").agg(*held, *ends).select(name, missed.alias("_missed"))
+    if not check.where(F.array_contains("_missed", True)).isEmpty():
+        wide = bounds.join(check, name).withColumn("_b", F.transform("_b", lambda b, i: F.when(
+            F.element_at("_missed", i + 1), F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))).otherwise(b)))
+        counts = _between(known, name, value, written(wide.drop("_missed"), "quantile-bounds"))
     picks = []
     for i, p in enumerate(probs):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.floor(at), F.ceil(at)
-        covers = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
+        low, high = F.floor(at(p)), F.ceil(at(p))
+        upto = F.col("_before") + F.col("_c")
+        # The rank after `low` may be the first value beyond the bounds, which is the least of its gap.
         picks += [
-            F.max(F.when(covers(low), F.col(value))).alias(f"_l{i}"),
-            F.max(F.when(covers(high), F.col(value))).alias(f"_h{i}"),
-            F.max(at - low).alias(f"_f{i}"),
+            F.min(F.when(upto > low, F.col(value))).alias(f"_l{i}"), F.min(F.when(upto > high, F.col(value))).alias(f"_h{i}"), F.max(at(p) - low).alias(f"_f{i}"),
         ]
-    found = ranked.groupBy(name).agg(F.max("n").alias("n"), *picks)
+    found = counts.groupBy(name).agg(F.max("n").alias("n"), *picks)
     return found.select(
         name, "n",
         *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(f"q{i}")
@@ -131,6 +162,18 @@ def quantiles(values: DataFrame, name: str, value: str, probs: Sequence[float],
     )
 
 
+def _between(known: DataFrame, name: str, value: str, bounds: DataFrame) -> DataFrame:
+    """Values inside any bounds with their number `_c`, and one row for each gap between bounds with its least value; `_before` counts the rows before, per name."""
+    v = F.col(value)
+    inside = F.exists("_b", lambda b: (v >= b["lo"]) & (v <= b["hi"]))
+    gap = F.size(F.filter("_b", lambda b: v > b["hi"]))
+    # Bounds are one row a name (a column of the table), so they are small for certain.
+    rows = known.join(F.broadcast(bounds), name).select(name, "n", "_b", value, gap.alias("_gap"), F.when(inside, v).alias("_one"))
+    counted = rows.groupBy(name, "_gap", "_one").agg(F.count(F.lit(1)).alias("_c"), F.min(value).alias(value), F.first("n").alias("n"), F.first("_b").alias("_b"))
+    placed = written(in_ranges(counted, [name, value], "_range"), "quantile-values")
+    return running_before(placed, [name], [value], ["_range"], {"_before": F.col("_c")})
+
+
 def modes(values: DataFrame, name: str, value: str) -> DataFrame:
     """Most frequent value per name; ties go to the smallest value."""
     counted = values.where(F.col(value).isNotNull()).groupBy(name, value).agg(F.count(F.lit(1)).alias("_c"))

@@ -1,7 +1,7 @@
 """Deviation events, "A then B" patterns and the life cycle of the edges inferred from them.
 
-Events are weekly deviations of entities taken from dimensions of fixed size (categories, cities, shipping modes, segments, the whole
-business), so the number of entity pairs is bounded by the catalogue and does not grow with the order lines.
+Events are weekly deviations of entities: suppliers, whose number grows, and dimensions of fixed size (categories, cities, shipping modes,
+segments, the whole business). Events follow each other along the edges of a network of entities, so pairs are bounded by edges times events.
 """
 
 from __future__ import annotations
@@ -60,19 +60,55 @@ def lookup(table: dict, keys: list[Column], default: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws("|", *keys)), default)
 
 
+# Entity types of fixed size with the column that names the entity and the measure of a week; the whole business is one entity.
+CATALOGUE = {"Product": ("category", "qty"), "Warehouse": ("city", "qty"), "Shipment": ("ship_mode", "late"), "Customer": ("segment", "qty"), "Order": (None, "qty")}
+ENTITY_TYPES = ["Supplier", *CATALOGUE]
+WHOLE = "all"
+
+
+def _entity_id(entity_type: str) -> Column:
+    column = CATALOGUE[entity_type][0]
+    return F.col(column) if column else F.lit(WHOLE)
+
+
+def fill_weeks(weeks: DataFrame) -> DataFrame:
+    """Weeks without activity between an entity's first and last one, with the measure 0: each row is followed by the empty weeks after it."""
+    after = F.lead("ts").over(Window.partitionBy("entity_type", "entity_id").orderBy("ts"))
+    until = F.coalesce(F.date_sub("_after", 7), F.col("ts"))
+    each = weeks.withColumn("_after", after).withColumn("week", F.explode(F.sequence(F.col("ts"), until, F.expr("INTERVAL 7 DAYS"))))
+    return each.select("entity_type", "entity_id", F.col("week").alias("ts"), F.when(F.col("week") == F.col("ts"), F.col("actual")).otherwise(0.0).alias("actual"))
+
+
 def entity_weeks(df: DataFrame) -> DataFrame:
-    """Weekly measure per entity: late lines for shipping modes, quantity for all others.
+    """Weekly measure per entity from its first to its last week: late lines for suppliers and shipping modes, quantity for all others.
 
-    Lines are grouped once at the finest grain; the five entity types are read off the grouped rows.
+    Lines are grouped once at the finest grain of the catalogue, from which its five entity types are read off; suppliers grow in number with the
+    business and are grouped by themselves.
     """
-    week = F.date_trunc("week", "order_date").cast("date")
-    g = df.groupBy(week.alias("ts"), "category", "city", "ship_mode", "segment").agg(F.sum("qty").alias("q"), F.sum("late").cast("double").alias("l"))
-    one = lambda t, i, v: F.struct(F.lit(t).alias("entity_type"), i.alias("entity_id"), F.col(v).alias("v"))
-    kinds = F.array(
-        one("Product", F.col("category"), "q"), one("Warehouse", F.col("city"), "q"), one("Shipment", F.col("ship_mode"), "l"),
-        one("Customer", F.col("segment"), "q"), one("Order", F.lit("all"), "q"),
-    )
-    return g.select("ts", F.explode(kinds).alias("e")).groupBy("e.entity_type", "e.entity_id", "ts").agg(F.sum("e.v").alias("actual"))
+    week = F.date_trunc("week", "order_date").cast("date").alias("ts")
+    g = df.groupBy(week, "category", "city", "ship_mode", "segment").agg(F.sum("qty").alias("qty"), F.sum("late").cast("double").alias("late"))
+    one = lambda t, v: F.struct(F.lit(t).alias("entity_type"), _entity_id(t).alias("entity_id"), F.col(v).alias("v"))
+    kinds = F.array(*[one(t, v) for t, (_, v) in CATALOGUE.items()])
+    small = g.select("ts", F.explode(kinds).alias("e")).groupBy("e.entity_type", "e.entity_id", "ts").agg(F.sum("e.v").alias("actual"))
+    suppliers = df.groupBy(F.lit("Supplier").alias("entity_type"), F.col("department").alias("entity_id"), week).agg(F.sum("late").cast("double").alias("actual"))
+    return fill_weeks(small.unionByName(suppliers))
+
+
+def entity_network(df: DataFrame) -> DataFrame:
+    """Undirected edges x - y between entities of different types, y from the catalogue: x_type, x_id, y_type, y_id.
+
+    Entities of the catalogue are linked if they share order lines. A supplier is linked with its main partner of each type, the one it shares most
+    lines with (the first by name on a tie): its lines reach nearly the whole catalogue, so any shared line would link all with all. Edges grow with the
+    suppliers, by five each, and not with the lines.
+    """
+    named = [(t, _entity_id(t)) for t in CATALOGUE]
+    pair = lambda x, y: F.struct(F.lit(x[0]).alias("x_type"), x[1].alias("x_id"), F.lit(y[0]).alias("y_type"), y[1].alias("y_id"))
+    pairs = F.array(*[pair(x, y) for i, x in enumerate(named) for y in named[i + 1 :]])
+    shared = df.select("category", "city", "ship_mode", "segment").distinct().select(F.inline(pairs)).distinct()
+    partners = F.array(*[F.struct(F.lit(t).alias("y_type"), i.alias("y_id")) for t, i in named])
+    counts = df.select(F.col("department").alias("x_id"), F.inline(partners)).groupBy("x_id", "y_type", "y_id").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("x_id", "y_type").agg(F.min_by("y_id", F.struct(-F.col("n"), F.col("y_id"))).alias("y_id"))
+    return shared.unionByName(main.select(F.lit("Supplier").alias("x_type"), "x_id", "y_type", "y_id"))
 
 
 def with_forecast(weeks: DataFrame) -> DataFrame:
@@ -105,34 +141,54 @@ def window_filter(events: DataFrame, days: int, back: int = 0) -> DataFrame:
     return events.withColumn("_ref", ref).where("ts >= date_sub(_ref, %d) AND ts <= _ref" % days).drop("_ref")
 
 
-def interval_pairs(events: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
-    """Pairs of events of different entities, the second within (ts, ts + lag days].
+EVENT = ["entity_type", "entity_id", "event", "ts"]
+
+
+def time_slot(ts: str, lag: int) -> Column:
+    """Buckets as wide as the lag: what follows within the lag lies in the same bucket or the next."""
+    return F.floor(F.datediff(ts, F.lit("1970-01-01").cast("date")) / lag)
+
 
-    Both sides are put into buckets as wide as the lag; the first event looks into its own bucket and the next, so the range join becomes
-    an equi-join with a filter.
+def interval_pairs(events: DataFrame, network: DataFrame | None = None, lag: int = LAG_DAYS) -> DataFrame:
+    """Pairs of events of entities linked in the network, the second within (ts, ts + lag days] of the first.
+
+    An event is dealt to its entity's edges, so pairs are bounded by edges times events. The dealt side is the x side of the edges, whose entities have few
+    edges each; the join that follows finds the events of y by entity and time bucket and serves both directions. Without a network all
+    entities but the event's own are linked, which only suits few events.
+    """
+    if network is None:
+        slot = time_slot("ts", lag)
+        a = events.select(*[F.col(c).alias(f"a_{c}") for c in EVENT], F.explode(F.array(slot, slot + 1)).alias("slot"))
+        b = events.select(*[F.col(c).alias(f"b_{c}") for c in EVENT], slot.alias("slot"))
+        near = (F.col("b_ts") > F.col("a_ts")) & (F.col("b_ts") <= F.date_add("a_ts", lag)) & (F.col("a_entity_id") != F.col("b_entity_id"))
+        return a.join(b, "slot").where(near).drop("slot")
+    x = events.select(F.col("entity_type").alias("x_type"), F.col("entity_id").alias("x_id"), F.col("event").alias("x_event"), F.col("ts").alias("x_ts"))
+    y = events.select(F.col("entity_type").alias("y_type"), F.col("entity_id").alias("y_id"), F.col("event").alias("y_event"), F.col("ts").alias("y_ts"), time_slot("ts", lag).alias("slot"))
+    slot = time_slot("x_ts", lag)
+    dealt = x.join(network, ["x_type", "x_id"]).withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
+    gap = F.datediff("y_ts", "x_ts")
+    both = dealt.join(y, ["y_type", "y_id", "slot"]).where((F.abs(gap) <= lag) & (gap != 0))
+    first = lambda c, other: F.when(gap > 0, F.col(c)).otherwise(F.col(other))
+    sides = (("entity_type", "type"), ("entity_id", "id"), ("event", "event"), ("ts", "ts"))
+    return both.select(*[first(f"x_{c}", f"y_{c}").alias(f"a_{n}") for n, c in sides], *[first(f"y_{c}", f"x_{c}").alias(f"b_{n}") for n, c in sides])
+
+
+STEP = [f"{side}_{c}" for side in "ab" for c in EVENT]
+
+
+def chain_states(steps: DataFrame, length: int) -> DataFrame:
+    """Chains of `length` events along the network by their last step: the step's columns, seen, head_event, chains.
+
+    A chain takes each step within the lag of the one before and meets no entity type twice. Chains are never written out: a state is a step with the
+    set of types met (bits) and the kind of the first event, and `chains` is how many chains end in it. A turn adds up the states that end in an event and
+    hands the sum to every step that starts there, so states are bounded by steps times a fixed number of sets and kinds.
     """
-    slot = F.floor(F.datediff("ts", F.lit("1970-01-01").cast("date")) / lag)
-    cols = ["entity_type", "entity_id", "event", "ts"]
-    a = events.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.explode(F.array(slot, slot + 1)).alias("slot"))
-    b = events.select(*[F.col(c).alias(f"b_{c}") for c in cols], slot.alias("slot"))
-    near = (F.col("b_ts") > F.col("a_ts")) & (F.col("b_ts") <= F.date_add("a_ts", lag)) & (F.col("a_entity_id") != F.col("b_entity_id"))
-    return a.join(b, "slot").where(near).drop("slot")
-
-
-def interval_chains(events: DataFrame, length: int, lag: int = LAG_DAYS) -> DataFrame:
-    """Chains of events of pairwise different entities, each within the lag of the one before: entities, events, stamps."""
-    slot = F.floor(F.datediff("ts", F.lit("1970-01-01").cast("date")) / lag)
-    base = events.select(F.concat_ws(":", "entity_type", "entity_id").alias("entity"), "event", "ts", slot.alias("slot"))
-    chain = base.select(F.array("entity").alias("entities"), F.array("event").alias("events"), F.array("ts").alias("stamps"), "slot")
-    for _ in range(length - 1):
-        left = chain.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1)))
-        last = F.element_at("stamps", -1)
-        ok = (F.col("ts") > last) & (F.col("ts") <= F.date_add(last, lag)) & ~F.array_contains("entities", F.col("entity"))
-        chain = left.join(base, "slot").where(ok).select(
-            F.concat("entities", F.array("entity")).alias("entities"), F.concat("events", F.array("event")).alias("events"),
-            F.concat("stamps", F.array("ts")).alias("stamps"), "slot",
-        )
-    return chain.drop("slot")
+    bit = lambda side: lookup({t: 1 << k for k, t in enumerate(ENTITY_TYPES)}, [F.col(f"{side}_entity_type")], F.lit(0))
+    state = steps.select(*STEP, (bit("a") + bit("b")).alias("seen"), F.col("a_event").alias("head_event"), F.lit(1).cast("long").alias("chains"))
+    for _ in range(length - 2):
+        ends = state.groupBy(*[F.col(f"b_{c}").alias(f"a_{c}") for c in EVENT], "seen", "head_event").agg(F.sum("chains").alias("chains"))
+        state = steps.join(ends, [f"a_{c}" for c in EVENT]).where(F.col("seen").bitwiseAND(bit("b")) == 0).withColumn("seen", F.col("seen") + bit("b"))
+    return state
 
 
 SEQUENCE = ["a_event", "b_event", "a_entity_type", "a_entity_id", "b_entity_type", "b_entity_id"]
@@ -150,9 +206,9 @@ def regularity(hits: DataFrame, keys: list[str], ts: str, window_days: int = WIN
     return g.select(*keys, r(score).alias("temporal_score"), "first_seen", "last_seen")
 
 
-def sequence_counts(events: DataFrame, lag: int = LAG_DAYS, window_days: int = WINDOW_DAYS) -> DataFrame:
+def sequence_counts(events: DataFrame, network: DataFrame | None = None, lag: int = LAG_DAYS, window_days: int = WINDOW_DAYS) -> DataFrame:
     """Per (A, B, entities): pairs, A events followed by a B, all A events, P(B given A) and regularity."""
-    hits = interval_pairs(events, lag).groupBy(*SEQUENCE, "a_ts").agg(F.count(F.lit(1)).alias("pairs"))
+    hits = interval_pairs(events, network, lag).groupBy(*SEQUENCE, "a_ts").agg(F.count(F.lit(1)).alias("pairs"))
     n = hits.groupBy(*SEQUENCE).agg(F.count(F.lit(1)).alias("frequency"), F.sum("pairs").alias("pair_count"))
     total = events.groupBy(
         F.col("event").alias("a_event"), F.col("entity_type").alias("a_entity_type"), F.col("entity_id").alias("a_entity_id")
@@ -161,19 +217,26 @@ def sequence_counts(events: DataFrame, lag: int = LAG_DAYS, window_days: int = W
     return d.join(regularity(hits, SEQUENCE, "a_ts", window_days), SEQUENCE)
 
 
-def chain_counts(events: DataFrame, lengths=(2, 3, 4), lag: int = LAG_DAYS) -> DataFrame:
-    """Frequency of event and entity chains; the probability relates to all events of the first entity and kind."""
+CHAIN = ["length", "head_event", *SEQUENCE]
+
+
+def chain_counts(steps: DataFrame, events: DataFrame, lengths=(2, 3, 4), window_days: int = WINDOW_DAYS) -> DataFrame:
+    """Chains by length, kind of the first event and last step (events and entities): how many there are, how many of the chains up to A are followed by B, their
+    share (the probability of B after such a chain) and the regularity of the days of A."""
     out = None
     for n in lengths:
-        c = interval_chains(events, n, lag)
-        out = c if out is None else out.unionByName(c)
-    g = out.groupBy(F.array_join("events", ">").alias("events"), F.array_join("entities", ">").alias("entities")).agg(
-        F.count(F.lit(1)).alias("frequency"), F.count_distinct(F.element_at("stamps", 1)).alias("head_events"), F.min(F.size("events")).alias("length"))
-    head = events.groupBy(F.concat_ws(":", "entity_type", "entity_id").alias("h_entity"), F.col("event").alias("h_event")).agg(
-        F.count(F.lit(1)).alias("source_total"))
-    on = (F.substring_index("entities", ">", 1) == F.col("h_entity")) & (F.substring_index("events", ">", 1) == F.col("h_event"))
-    return g.join(head, on).select("events", "entities", "length", "frequency", "head_events", "source_total",
-                                   r(F.col("head_events") / F.col("source_total")).alias("probability"))
+        state = chain_states(steps, n)
+        hits = state.groupBy(*SEQUENCE, "head_event", "a_ts").agg(F.sum("chains").alias("chains"), F.count_distinct("b_ts").alias("ends")).withColumn("length", F.lit(n))
+        # chains counts each chain up to A once for every B that follows; all B of an entity and kind follow the same chains.
+        hits = hits.withColumn("followed", (F.col("chains") / F.col("ends")).cast("long"))
+        if n == 2:
+            before = events.groupBy(*[F.col(c).alias(f"a_{c}") for c in EVENT[:3]]).agg(F.count(F.lit(1)).alias("source_total")).withColumn("head_event", F.col("a_event"))
+        else:
+            before = chain_states(steps, n - 1).groupBy(*[F.col(f"b_{c}").alias(f"a_{c}") for c in EVENT[:3]], "head_event").agg(F.sum("chains").alias("source_total"))
+        one = hits.groupBy(*CHAIN).agg(F.sum("chains").alias("frequency"), F.sum("followed").alias("followed"))
+        one = one.join(before, ["a_entity_type", "a_entity_id", "a_event", "head_event"]).join(regularity(hits, CHAIN, "a_ts", window_days), CHAIN)
+        out = one if out is None else out.unionByName(one)
+    return out.select(*CHAIN, "frequency", "followed", "source_total", r(F.col("followed") / F.col("source_total")).alias("probability"), "temporal_score", "first_seen", "last_seen")
 
 
 def causal_label(a: Column, b: Column) -> Column:
@@ -181,11 +244,11 @@ def causal_label(a: Column, b: Column) -> Column:
 
 
 def detect_patterns(
-    events: DataFrame, window_days: int = WINDOW_DAYS, back: int = 0,
+    events: DataFrame, network: DataFrame | None = None, window_days: int = WINDOW_DAYS, back: int = 0,
     min_frequency: int = MIN_FREQUENCY, min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
     """Sequences past both gates with weight 0.40 P + 0.35 frequency / max + 0.25 regularity."""
-    s = sequence_counts(window_filter(events, window_days, back), window_days=window_days).where(
+    s = sequence_counts(window_filter(events, window_days, back), network, window_days=window_days).where(
         (F.col("frequency") >= min_frequency) & (F.col("probability") >= min_confidence)
     )
     top = s.agg(F.max("frequency")).scalar()

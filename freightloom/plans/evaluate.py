@@ -28,7 +28,7 @@ def score(d):
 
 
 def load_scores(spark, sf_dir):
-    return stored_table(spark, "scores", sf_dir, lambda: score(order_lines(spark, sf_dir).select(*_COLS)))
+    return stored_table(spark, "scores", sf_dir, lambda: score(order_lines(spark, sf_dir, *_COLS)))
 
 
 SCORED = f"""SELECT *, coalesce({frame_sql('avg(qty)', 7)}, 0.0) AS p_qty, coalesce({frame_sql('avg(qty)', 30)}, 0.0) AS p_qty30,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from freightloom.functions.scalars import change_pct
 from freightloom.operators import features as X
 from freightloom.operators.analytics import r
-from freightloom.operators.ordered import with_position
+from freightloom.operators.ordered import bottom_k, with_position
 from freightloom.plans.registry import over_items, over_lines
 from freightloom.plans.views import ORDER_BY
 from freightloom.sources import TOTAL_ORDER
@@ -178,9 +178,7 @@ def seeded_sample(d, size: int = 5000, seed: int = 42):
     """The same number of rows from each month, picked by a seeded digest of their key."""
     months = d.agg(F.count_distinct("period").alias("m")).scalar()
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in KEY], F.lit(str(seed))).cast("binary"))
-    w = Window.partitionBy("period").orderBy("_digest")
-    d = d.withColumn("_digest", digest).withColumn("_rn", F.row_number().over(w))
-    return d.where(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.lit(size) / months))).drop("_digest", "_rn")
+    return bottom_k(d, ["period"], F.greatest(F.lit(1), F.floor(F.lit(size) / months)), digest)
 
 
 over_items(

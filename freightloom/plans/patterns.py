@@ -6,10 +6,10 @@ from freightloom.functions.scalars import ratio
 from freightloom.operators import patterns as P
 from freightloom.operators.analytics import r
 from freightloom.plans.registry import over_items, register, with_views
-from freightloom.session import stored_table
+from freightloom.session import checkpoint, stored_table
 from freightloom.sources import order_items
 
-COLS = "order_date category city ship_mode segment qty late"
+COLS = "order_date department category city ship_mode segment qty late"
 
 
 def case_sql(table, key, default):
@@ -18,25 +18,39 @@ def case_sql(table, key, default):
 
 
 _WK = "date_trunc('week', order_date)::date"
-WEEKS = " UNION ALL ".join(
+_IDS = {t: c or f"'{P.WHOLE}'" for t, (c, _) in P.CATALOGUE.items()}
+ACTIVE_WEEKS = " UNION ALL ".join(
     f"SELECT '{t}' AS entity_type, {i} AS entity_id, {_WK} AS ts, CAST(sum({v}) AS DOUBLE) AS actual FROM oi GROUP BY ALL"
-    for t, i, v in (("Product", "category", "qty"), ("Warehouse", "city", "qty"), ("Shipment", "ship_mode", "late"),
-                    ("Customer", "segment", "qty"), ("Order", "'all'", "qty"))
+    for t, i, v in [("Supplier", "department", "late"), *[(t, _IDS[t], v) for t, (_, v) in P.CATALOGUE.items()]]
 )
+WEEKS = """SELECT entity_type, entity_id, ts, coalesce(actual, 0.0) AS actual FROM (
+  SELECT entity_type, entity_id, unnest(generate_series(min(ts), max(ts), INTERVAL 7 DAY))::date AS ts FROM active GROUP BY entity_type, entity_id)
+LEFT JOIN active USING (entity_type, entity_id, ts)"""
+_TYPES = list(P.CATALOGUE)
+NETWORK = " UNION ALL ".join(
+    f"SELECT DISTINCT '{x}' AS x_type, {_IDS[x]} AS x_id, '{y}' AS y_type, {_IDS[y]} AS y_id FROM oi" for k, x in enumerate(_TYPES) for y in _TYPES[k + 1 :]
+) + " UNION ALL " + " UNION ALL ".join(
+    f"""SELECT 'Supplier', department, '{t}', {i} FROM oi GROUP BY department, {i}
+    QUALIFY row_number() OVER (PARTITION BY department ORDER BY count(*) DESC, {i}) = 1""" if P.CATALOGUE[t][0] else f"SELECT DISTINCT 'Supplier', department, '{t}', {i} FROM oi"
+    for t, i in _IDS.items()
+)
+LINKS = "SELECT x_type AS a_type, x_id AS a_id, y_type AS b_type, y_id AS b_id FROM net UNION ALL SELECT y_type, y_id, x_type, x_id FROM net"
 DEV = f"""
 SELECT *, {case_sql(P.EVENT_NAMES, "(entity_type || '|' || CASE WHEN deviation > 0 THEN 'over' ELSE 'under' END)", "'DEVIATION'")} AS event FROM (
   SELECT *, actual - predicted AS deviation, abs((actual - predicted) / nullif(predicted, 0)) AS deviation_pct
   FROM (SELECT *, CASE WHEN count(actual) OVER w = 3 THEN avg(actual) OVER w END AS predicted FROM weeks
         WINDOW w AS (PARTITION BY entity_type, entity_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE predicted IS NOT NULL)
 WHERE deviation_pct >= 0.10"""
-BASE = {"weeks": WEEKS, "dev": DEV}
+BASE = {"active": ACTIVE_WEEKS, "weeks": WEEKS, "dev": DEV, "net": NETWORK, "links": LINKS}
 SEQ = "a_event, b_event, a_entity_type, a_entity_id, b_entity_type, b_entity_id"
 
 
 def pairs_sql(events: str) -> str:
     return f"""SELECT a.entity_type AS a_entity_type, a.entity_id AS a_entity_id, a.event AS a_event, a.ts AS a_ts,
       b.entity_type AS b_entity_type, b.entity_id AS b_entity_id, b.event AS b_event, b.ts AS b_ts
-      FROM {events} a JOIN {events} b ON b.ts > a.ts AND b.ts <= a.ts + 7 AND a.entity_id <> b.entity_id"""
+      FROM (SELECT *, unnest([0, 1]) + date_diff('day', DATE '1970-01-01', ts) // 7 AS slot FROM {events}) a JOIN links ON a_type = a.entity_type AND a_id = a.entity_id
+      JOIN (SELECT *, date_diff('day', DATE '1970-01-01', ts) // 7 AS slot FROM {events}) b ON b.entity_type = b_type AND b.entity_id = b_id AND b.slot = a.slot
+      WHERE b.ts > a.ts AND b.ts <= a.ts + 7"""
 
 
 def window_sql(days: int, back: int = 0) -> str:
@@ -80,10 +94,20 @@ def load_events(spark, sf_dir):
     return stored_table(spark, "deviation_events", sf_dir, lambda: P.deviation_events(order_items(spark, sf_dir, *COLS.split())))
 
 
+def load_network(spark, sf_dir):
+    """The edges events may follow, written once; five a supplier besides those of the catalogue."""
+    return stored_table(spark, "entity_network", sf_dir, lambda: P.entity_network(order_items(spark, sf_dir, *COLS.split())))
+
+
 def over_events(name, run, sql, **views):
     register(name, lambda spark, sf_dir: run(load_events(spark, sf_dir)), with_views(sql, **{**BASE, **views}))
 
 
+def over_network(name, run, sql, **views):
+    """Register a query over the events and the network they follow."""
+    register(name, lambda spark, sf_dir: run(load_events(spark, sf_dir), load_network(spark, sf_dir)), with_views(sql, **{**BASE, **views}))
+
+
 over_items("classify_event", lambda d: P.deviation_events(d).select("entity_type", "entity_id", "ts", "event", r(F.col("deviation"), 4).alias("deviation")), COLS,
             "SELECT entity_type, entity_id, ts, event, round(deviation, 4) AS deviation FROM dev", **BASE)
 
@@ -98,61 +122,58 @@ over_items("deviation_join", _deviation_join, COLS,
            "SELECT entity_type, entity_id, ts, round(predicted, 4) AS predicted, actual, round(deviation_pct, 6) AS deviation_pct FROM dev", **BASE)
 over_events("window_filter", lambda e: P.window_filter(e, 30).select("entity_type", "entity_id", "ts", "event"),
             f"SELECT entity_type, entity_id, ts, event FROM ({window_sql(30)})")
-over_events("interval_join_lag", P.interval_pairs, pairs_sql("dev"))
-SMALL = ("Shipment", "Customer", "Order")
-
-
-def few(e):
-    """Event kinds whose entities are a fixed handful, so that chains of four stay bounded."""
-    return P.window_filter(e.where(F.col("entity_type").isin(*SMALL)), 364)
-
-
-FEW = "SELECT * FROM dev WHERE entity_type IN ('Shipment', 'Customer', 'Order') AND ts >= (SELECT max(ts) FROM dev WHERE entity_type IN ('Shipment', 'Customer', 'Order')) - 364"
-
-
-def chain_sql(n: int) -> str:
-    names = "abcd"[:n]
-    steps = []
-    for i, x in enumerate(names):
-        if i == 0:
-            steps.append("ce a")
-            continue
-        y = names[i - 1]
-        differ = " AND ".join(f"{x}.k <> {z}.k" for z in names[:i])
-        steps.append(f"JOIN ce {x} ON {x}.ts > {y}.ts AND {x}.ts <= {y}.ts + 7 AND {differ}")
-    j = lambda c: " || '>' || ".join(f"{x}.{c}" for x in names)
-    return f"SELECT {j('event')} AS events, {j('k')} AS entities, a.ts AS head, {names[-1]}.ts AS tail, {n} AS length FROM " + " ".join(steps)
-
-
-CHAINS = {**BASE, "few": FEW, "ce": "SELECT *, entity_type || ':' || entity_id AS k FROM few"}
-
-
-def _chain_rows(e):
-    c = few(e)
-    rows = P.interval_chains(c, 3).unionByName(P.interval_chains(c, 4))
-    return rows.select(F.array_join("events", ">").alias("events"), F.array_join("entities", ">").alias("entities"),
-                       F.element_at("stamps", 1).alias("head"), F.element_at("stamps", -1).alias("tail"), F.size("events").alias("length"))
-
-
-over_events("interval_chain_join", _chain_rows, f"{chain_sql(3)} UNION ALL {chain_sql(4)}", **CHAINS)
-over_events(
-    "sequence_count_multi", lambda e: P.chain_counts(few(e)),
-    f"""SELECT events, entities, length, frequency, head_events, source_total, round(head_events / source_total, 6) AS probability
-        FROM (SELECT events, entities, min(length) AS length, count(*) AS frequency, count(DISTINCT head) AS head_events
-              FROM ({chain_sql(2)} UNION ALL {chain_sql(3)} UNION ALL {chain_sql(4)}) GROUP BY events, entities)
-        JOIN (SELECT k, event, count(*) AS source_total FROM ce GROUP BY k, event)
-          ON k = split_part(entities, '>', 1) AND event = split_part(events, '>', 1)""",
-    **CHAINS,
-)
-over_events("sequence_count", lambda e: P.sequence_counts(P.window_filter(e, 364), window_days=364).drop("temporal_score", "first_seen", "last_seen"),
-            f"SELECT {SEQ}, frequency, pair_count, source_total, probability FROM sseq", **sequence_views("s", 364))
-over_events("temporal_regularity", lambda e: P.sequence_counts(P.window_filter(e, 364), window_days=364).select(*P.SEQUENCE, "temporal_score", "first_seen", "last_seen"),
-            f"SELECT {SEQ}, temporal_score, first_seen, last_seen FROM sseq", **sequence_views("s", 364))
+over_network("interval_join_lag", P.interval_pairs, pairs_sql("dev"))
+# Chains by joining steps with steps, counted per last step and kind of the first event. Events get numbers, so that the joins are on integers.
+CHAINS = {
+    **BASE, "numbered": "SELECT *, row_number() OVER (ORDER BY entity_type, entity_id, ts) AS id FROM dev", "pairs": pairs_sql("dev"),
+    "steps": """SELECT p.*, a.id AS a, b.id AS b, a_entity_type AS ta, b_entity_type AS tb FROM pairs p
+        JOIN numbered a ON a.entity_type = a_entity_type AND a.entity_id = a_entity_id AND a.ts = a_ts JOIN numbered b ON b.entity_type = b_entity_type AND b.entity_id = b_entity_id AND b.ts = b_ts""",
+    "n2": "SELECT a, b, a_event AS head_event, 1 AS chains FROM steps",
+    "n3": "SELECT s2.a, s2.b, s1.a_event AS head_event, count(*) AS chains FROM steps s1 JOIN steps s2 ON s1.b = s2.a WHERE s1.ta <> s2.tb GROUP BY ALL",
+    "n4": """SELECT s3.a, s3.b, s1.a_event AS head_event, count(*) AS chains FROM steps s1 JOIN steps s2 ON s1.b = s2.a JOIN steps s3 ON s2.b = s3.a
+        WHERE s1.ta <> s2.tb AND s2.ta <> s3.tb AND s1.ta <> s3.tb GROUP BY ALL""",
+    **{f"c{n}": f"SELECT s.*, head_event, chains FROM n{n} JOIN steps s USING (a, b)" for n in (2, 3, 4)},
+}
+STEP = ", ".join(P.STEP)
+
+
+def chain_rows(e, net):
+    """Chains of three and four events by their last step."""
+    steps = checkpoint(P.interval_pairs(e, net))
+    per = lambda n: P.chain_states(steps, n).groupBy(*P.STEP).agg(F.sum("chains").alias("chains")).withColumn("length", F.lit(n))
+    return per(3).unionByName(per(4))
+
+
+over_network("interval_chain_join", chain_rows,
+             " UNION ALL ".join(f"SELECT {STEP}, CAST(sum(chains) AS BIGINT) AS chains, {n} AS length FROM c{n} GROUP BY ALL" for n in (3, 4)), **CHAINS)
+
+
+def chain_count_sql() -> str:
+    parts = []
+    for n in (2, 3, 4):
+        before = "SELECT entity_type AS a_entity_type, entity_id AS a_entity_id, event AS a_event, event AS head_event, count(*) AS source_total FROM dev GROUP BY ALL" if n == 2 else (
+            f"SELECT b_entity_type AS a_entity_type, b_entity_id AS a_entity_id, b_event AS a_event, head_event, CAST(sum(chains) AS BIGINT) AS source_total FROM c{n - 1} GROUP BY ALL")
+        parts.append(f"""SELECT * FROM (
+          SELECT {n} AS length, head_event, {SEQ}, CAST(sum(chains) AS BIGINT) AS frequency, CAST(sum(chains // ends) AS BIGINT) AS followed, count(*) AS n, avg(gap) AS m, stddev_pop(gap) AS sd,
+            date_diff('day', min(a_ts), max(a_ts)) AS span, min(a_ts) AS first_seen, max(a_ts) AS last_seen
+          FROM (SELECT *, date_diff('day', lag(a_ts) OVER (PARTITION BY head_event, {SEQ} ORDER BY a_ts), a_ts) AS gap FROM (
+            SELECT head_event, {SEQ}, a_ts, CAST(sum(chains) AS BIGINT) AS chains, count(DISTINCT b_ts) AS ends FROM c{n} GROUP BY ALL)) GROUP BY ALL)
+          JOIN ({before}) USING (a_entity_type, a_entity_id, a_event, head_event)""")
+    return f"""SELECT length, head_event, {SEQ}, frequency, followed, source_total, round(followed / source_total, 6) AS probability,
+      round(CASE WHEN n < 2 THEN 0.5 WHEN m = 0 THEN 1.0 ELSE least(1 / (1 + sd / m) + least(span / 60, 0.2), 1.0) END, 6) AS temporal_score, first_seen, last_seen
+      FROM ({" UNION ALL BY NAME ".join(parts)})"""
+
+
+over_network("sequence_count_multi", lambda e, net: P.chain_counts(checkpoint(P.interval_pairs(e, net)), e), chain_count_sql(), **CHAINS)
+over_network("sequence_count", lambda e, net: P.sequence_counts(P.window_filter(e, 364), net, window_days=364).drop("temporal_score", "first_seen", "last_seen"),
+             f"SELECT {SEQ}, frequency, pair_count, source_total, probability FROM sseq", **sequence_views("s", 364))
+over_network("temporal_regularity", lambda e, net: P.sequence_counts(P.window_filter(e, 364), net, window_days=364).select(*P.SEQUENCE, "temporal_score", "first_seen", "last_seen"),
+             f"SELECT {SEQ}, temporal_score, first_seen, last_seen FROM sseq", **sequence_views("s", 364))
 DAYS = 90
-over_events("pattern_gate_score", lambda e: P.detect_patterns(e, DAYS), "SELECT * FROM npat", **pattern_views("n", DAYS))
-over_events(
+over_network("pattern_gate_score", lambda e, net: P.detect_patterns(e, net, DAYS), "SELECT * FROM npat", **pattern_views("n", DAYS))
+over_network(
     "causal_label",
-    lambda e: P.interval_pairs(P.window_filter(e, DAYS)).select("a_event", "b_event").distinct().withColumn(
+    lambda e, net: P.interval_pairs(P.window_filter(e, DAYS), net).select("a_event", "b_event").distinct().withColumn(
         "rel_type", P.causal_label(F.col("a_event"), F.col("b_event"))),
     f"SELECT DISTINCT a_event, b_event, {LABEL} AS rel_type FROM ({pairs_sql('wev')})", wev=window_sql(DAYS),
 )
@@ -174,13 +195,13 @@ FROM onew o FULL OUTER JOIN nnew n USING (source_type, source_id, target_type, t
 EDGES = {**LIFE, "ed": UPSERT}
 
 
-def evolved(e):
-    old = P.new_edges(P.detect_patterns(e, DAYS, OLD))
-    return P.upsert_edges(old, P.detect_patterns(e, DAYS))
+def evolved(e, net):
+    old = P.new_edges(P.detect_patterns(e, net, DAYS, OLD))
+    return P.upsert_edges(old, P.detect_patterns(e, net, DAYS))
 
 
 def load_edges(spark, sf_dir):
-    return stored_table(spark, "inferred_edges", sf_dir, lambda: evolved(load_events(spark, sf_dir)))
+    return stored_table(spark, "inferred_edges", sf_dir, lambda: evolved(load_events(spark, sf_dir), load_network(spark, sf_dir)))
 
 
 def over_edges(name, run, sql, **views):
@@ -190,7 +211,7 @@ def over_edges(name, run, sql, **views):
 
 KEYS = P.EDGE_KEY
 K = ", ".join(KEYS)
-over_events("pattern_upsert", lambda e: evolved(e).withColumn("history_len", F.size("history")).drop("history"), "SELECT * FROM ed", **EDGES)
+over_network("pattern_upsert", lambda e, net: evolved(e, net).withColumn("history_len", F.size("history")).drop("history"), "SELECT * FROM ed", **EDGES)
 over_edges(
     "edge_strengthen",
     lambda d, e: d.where("action = 'edge_strengthened'").select(*KEYS, "weight_before", "weight", "frequency", "repetitions", "status"),

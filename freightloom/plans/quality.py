@@ -163,10 +163,11 @@ over_dirty(
 )
 over_dirty(
     "impute_ffill_bfill",
-    lambda d: fill_gaps(d.select(*TOTAL_ORDER, "date_n"), [], TOTAL_ORDER, ["order_date"], "date_n", "date_filled"), "",
+    lambda d: fill_gaps(d.select(*TOTAL_ORDER, "slot", "date_n"), [], TOTAL_ORDER, ["order_date", "slot"], "date_n", "date_filled").drop("slot"), "slot",
     f"""SELECT order_date, {KEYS}, date_n, coalesce(last_value(date_n IGNORE NULLS) OVER (ORDER BY {ORDER_BY}
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(date_n IGNORE NULLS) OVER (ORDER BY {ORDER_BY}
          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS date_filled FROM dirty""",
+    over_lines,
 )
 over_dirty(
     "drop_null_target", lambda d: Q.drop_null_target(d.select(*KEY.split(), "late_n"), ["late_n", "order_id"]), "",

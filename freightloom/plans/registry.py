@@ -49,6 +49,6 @@ def over_lines(name: str, run: Callable[[DataFrame], DataFrame], columns: str, s
     """Like over_items for jobs that read the lines several times: they read the joined table kept in the shared folder."""
     register(
         name,
-        lambda spark, sf_dir: run(order_lines(spark, sf_dir).select(*columns.split())),
+        lambda spark, sf_dir: run(order_lines(spark, sf_dir, *columns.split())),
         None if sql is None else with_views(sql, **views),
     )

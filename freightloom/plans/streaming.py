@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from freightloom.operators import patterns as P
 from freightloom.operators.analytics import r
 from freightloom.plans.evaluate import MEMORY, _MC, agent_memory
-from freightloom.plans.patterns import BASE, COLS, load_events
+from freightloom.plans.patterns import BASE, COLS, LABEL, load_events, load_network, pairs_sql
 from freightloom.plans.registry import query, register, with_views
 from freightloom.plans.views import CELLS
 from freightloom.session import work_path
@@ -21,14 +21,48 @@ def landed(df, name, partitions=4):
     return path
 
 
+def landed_in_order(df, name, ts, parts=4):
+    """Write a table as the files a stream will find, one part after the other by time, each with files of its own."""
+    path = work_path(df.sparkSession, f"landing-{name}")
+    days = df.agg(F.struct(F.min(F.to_date(ts)).alias("lo"), F.max(F.to_date(ts)).alias("hi"))).scalar()
+    width = F.datediff(days["hi"], days["lo"]) + 1
+    placed = df.withColumn("_part", F.floor(F.datediff(F.to_date(ts), days["lo"]) * parts / width))
+    for k in range(parts):
+        placed.where(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{path}/part={k}")
+    return path
+
+
+def ingested(spark, sf_dir):
+    """All months arrive; then the first three arrive again, and the last with other rows. The same stream goes on over both deliveries."""
+    d = order_items(spark, sf_dir, "period", "order_id", "line_no", "sales")
+    landing, target, checkpoint = (work_path(spark, n) for n in ("landing-months", "ingested", "ingest-checkpoint"))
+    run = lambda: J.ingest_increments(J.stream_table(spark, f"{landing}/*", d.schema), target, checkpoint=f"{checkpoint}/stream")
+    d.write.parquet(f"{landing}/first")
+    run()
+    months = d.select("period").distinct()
+    old, new = months.orderBy("period").limit(3), months.orderBy(F.desc("period")).limit(1)
+    again = d.join(old, "period", "left_semi").unionByName(d.join(new, "period", "left_semi").withColumn("sales", F.col("sales") + 1))
+    again.write.parquet(f"{landing}/second")
+    return run()
+
+
 @query("stream_ingest_increments", sql=with_views("SELECT period, count(*) AS n_rows, round(sum(sales), 2) AS sales FROM oi GROUP BY period"))
 def stream_ingest_increments(spark, sf_dir):
-    d = order_items(spark, sf_dir, "period", "order_id", "line_no", "sales")
-    stream = J.stream_table(spark, landed(d, "months"), d.schema, files_per_trigger=2)
-    got = J.ingest_increments(stream, work_path(spark, "ingested"))
+    """What was delivered twice is stored once."""
+    got, _ = ingested(spark, sf_dir)
     return got.groupBy("period").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("sales"), 2).alias("sales"))
 
 
+@query("stream_ingest_manifest", sql=with_views(
+    """SELECT period, 'first' AS delivery, 'accepted' AS status, count(*) AS n_rows FROM oi GROUP BY period
+       UNION ALL SELECT period, 'second', CASE WHEN period = (SELECT max(period) FROM oi) THEN 'conflict' ELSE 'replayed' END, count(*) FROM oi
+         WHERE period IN (SELECT DISTINCT period FROM oi ORDER BY period LIMIT 3) OR period = (SELECT max(period) FROM oi) GROUP BY period"""))
+def stream_ingest_manifest(spark, sf_dir):
+    """What became of each delivery of each month."""
+    _, manifest = ingested(spark, sf_dir)
+    return manifest.select("period", F.element_at(F.split("delivery", "/"), -1).alias("delivery"), "status", "n_rows")
+
+
 @query("stream_dedup", sql="SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_dedup(spark, sf_dir):
     """Every event sent twice arrives once."""
@@ -75,39 +109,59 @@ register("stream_deviation_join", stream_deviation_join,
          with_views("SELECT entity_type, entity_id, ts, round(predicted, 4) AS predicted, actual, round(deviation_pct, 6) AS deviation_pct FROM dev", **BASE))
 
 
-def _few(spark, sf_dir):
-    return load_events(spark, sf_dir).where("entity_type IN ('Shipment', 'Customer', 'Order')").select("entity_id", "event", F.col("ts").cast("timestamp").alias("ts"))
-
-
 def stream_sequence_join(spark, sf_dir):
-    e = _few(spark, sf_dir)
+    e = load_events(spark, sf_dir).select("entity_type", "entity_id", "event", F.col("ts").cast("timestamp").alias("ts"))
     path = landed(e, "events")
-    got = J.run_to_table(J.sequence_join(J.stream_table(spark, path, e.schema), J.stream_table(spark, path, e.schema)), "sequences")
+    got = J.run_to_table(J.sequence_join(J.stream_table(spark, path, e.schema), J.stream_table(spark, path, e.schema), load_network(spark, sf_dir)), "sequences")
     return got.groupBy("a_event", "b_event", "a_entity", "b_entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 register("stream_sequence_join", stream_sequence_join, with_views(
-    """SELECT a.event AS a_event, b.event AS b_event, a.entity_id AS a_entity, b.entity_id AS b_entity, count(*) AS n FROM f a JOIN f b
-       ON b.ts > a.ts AND b.ts <= a.ts + 7 AND a.entity_id <> b.entity_id GROUP BY ALL""",
-    **BASE, f="SELECT * FROM dev WHERE entity_type IN ('Shipment', 'Customer', 'Order')"))
+    f"SELECT a_event, b_event, a_entity_id AS a_entity, b_entity_id AS b_entity, count(*) AS n FROM ({pairs_sql('dev')}) GROUP BY ALL", **BASE))
+
+_NAMED = " OR ".join(f"(a_event = '{a}' AND b_event = '{b}')" for a, b in P.CAUSAL_NAMES)
+EDGE_HITS = f"""SELECT a_entity_id || '>' || {LABEL} || '>' || b_entity_id AS edge, date_diff('day', DATE '1970-01-01', a_ts) AS day, count(*) AS n
+  FROM ({pairs_sql('dev')}) WHERE {_NAMED} GROUP BY ALL"""
+DELAY_DAYS = 14
+_LEFT = """CASE WHEN month(DATE '1970-01-01' + CAST(to_day AS INTEGER)) IN (11, 12) THEN greatest(weight * power(CAST(0.975 AS DOUBLE), to_day - s.day), CAST(0.40 AS DOUBLE))
+  ELSE weight * power(CAST(0.95 AS DOUBLE), to_day - s.day) END"""
+EDGE_LIFE = f"""
+WITH RECURSIVE hits AS (SELECT *, lead(day) OVER (PARTITION BY edge ORDER BY day) AS nxt FROM edge_hits),
+last_day AS (SELECT max(day) - {DELAY_DAYS} AS wm FROM edge_hits),
+life AS (
+  SELECT edge, CAST(day AS BIGINT) AS day, 'edge_created' AS action, CAST(NULL AS DOUBLE) AS weight_before, CAST(0.4 AS DOUBLE) AS weight, CAST(n AS BIGINT) AS hits, CAST(nxt AS BIGINT) AS nxt
+  FROM hits QUALIFY row_number() OVER (PARTITION BY edge ORDER BY day) = 1
+  UNION ALL
+  SELECT edge, to_day, CASE WHEN hit AND gone THEN 'edge_created' WHEN hit THEN 'edge_strengthened' WHEN rest < 0.1 THEN 'edge_removed' ELSE 'edge_decayed' END,
+    CASE WHEN hit AND gone THEN NULL ELSE weight END,
+    CASE WHEN hit AND gone THEN 0.4 WHEN hit THEN least(rest * (CAST(1 AS DOUBLE) - CAST(0.4 AS DOUBLE)) + CAST(0.4 AS DOUBLE), 1.0) WHEN rest < 0.1 THEN 0.0 ELSE rest END,
+    CASE WHEN hit AND gone THEN n WHEN hit THEN hits + n ELSE hits END, CASE WHEN hit THEN after ELSE nxt END
+  FROM (
+    SELECT s.*, {_LEFT} AS rest, h.n, h.nxt AS after FROM (
+      SELECT *, action = 'edge_removed' AS gone, nxt IS NOT NULL AND (action = 'edge_removed' OR nxt <= day + 30) AS hit,
+        CAST(CASE WHEN nxt IS NOT NULL AND (action = 'edge_removed' OR nxt <= day + 30) THEN nxt ELSE day + 30 END AS BIGINT) AS to_day FROM life) s
+    LEFT JOIN hits h ON h.edge = s.edge AND h.day = s.to_day AND s.hit)
+  WHERE hit OR (NOT gone AND to_day < (SELECT wm FROM last_day)) OR (NOT gone AND nxt IS NOT NULL))
+SELECT edge, day, action, round(weight_before, 4) AS weight_before, round(weight, 4) AS weight, hits FROM life"""
+
+
+def edge_log(spark, sf_dir, parts=4):
+    """The life of the causal edges over batches of hits that arrive by time."""
+    steps = P.interval_pairs(load_events(spark, sf_dir), load_network(spark, sf_dir))
+    a, b = F.col("a_event"), F.col("b_event")
+    named = steps.where(F.concat_ws("|", a, b).isin(*["|".join(k) for k in P.CAUSAL_NAMES]))
+    edge = F.concat_ws(">", "a_entity_id", P.causal_label(a, b), "b_entity_id").alias("edge")
+    day = F.datediff("a_ts", F.lit("1970-01-01").cast("date")).cast("long").alias("day")
+    hits = named.groupBy(edge, day, F.col("a_ts").cast("timestamp").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    stream = J.stream_table(spark, f"{landed_in_order(hits, 'hits', 'ts', parts)}/*", hits.schema, files_per_trigger=1)
+    return J.run_to_table(J.edge_life(stream, f"{DELAY_DAYS} days"), "edge-life")
 
 
-@query("stream_edge_state")
 def stream_edge_state(spark, sf_dir):
-    """Weights of event-to-event edges kept in state over batches of hits; the newest row per edge is the result."""
-    e = load_events(spark, sf_dir)
-    day = F.datediff("a_ts", F.lit("1970-01-01").cast("date")).cast("long")
-    hits = P.interval_pairs(e).groupBy(F.concat_ws(">", "a_event", "b_event").alias("edge"), day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    state = J.edge_state(J.stream_table(spark, landed(hits, "hits"), hits.schema))
-    target = work_path(spark, "edge-state")
-
-    def keep(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/b={batch_id}")
-
-    J.run_batches(state, "edges", keep, mode="update")
-    rows = spark.read.parquet(target)
-    newest = Window.partitionBy("edge").orderBy(F.desc("batch"))
-    return rows.withColumn("rn", F.row_number().over(newest)).where("rn = 1").select("edge", r(F.col("weight")).alias("weight"), "hits", "last_day")
+    return edge_log(spark, sf_dir).select("edge", "day", "action", r(F.col("weight_before"), 4).alias("weight_before"), r(F.col("weight"), 4).alias("weight"), "hits")
+
+
+register("stream_edge_state", stream_edge_state, with_views(f"SELECT * FROM ({EDGE_LIFE})", **BASE, edge_hits=EDGE_HITS))
 
 
 def stream_memory_accuracy(spark, sf_dir):

@@ -80,6 +80,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/freightloom-work/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it back: later jobs, and tasks run again after a lost executor, start from the files."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freightloom.operators.ordered import in_ranges
 from freightloom.session import prepare, stored_table
 
 TOTAL_ORDER = ["order_date", "order_id", "line_no", "product_id", "supplier_id", "l_shipdate"]
@@ -61,26 +62,10 @@ _COLUMNS = {
     "period": (lambda: F.date_format("o_orderdate", "yyyy-MM"), "orders"),
 }
 
-# Rows a day is allowed to hold before its rows are cut by order id, and the most cuts made.
-SLOT_ROWS = 50_000_000
-MAX_SLOTS = 256
-
-
-def _slot(spark: SparkSession, sf_dir: str):
-    """Number of the order-id range a row falls into; ranges grow in number with the table.
-
-    Within a day the total order goes by order id, so (order_date, slot) follows that order.
-    """
-    size = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey").alias("top"), F.count(F.lit(1)).alias("n"))
-    slots = F.greatest(F.lit(1), F.least(F.lit(MAX_SLOTS), F.ceil(F.col("n") / SLOT_ROWS)))
-    width = size.select(F.ceil((F.col("top") + 1) / slots).alias("width")).scalar()
-    return F.floor(F.col("l_orderkey") / width)
-
-
 def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The canonical order lines with the named columns (all when none is named)."""
     wanted = list(columns) or list(_COLUMNS)
-    needs = {name for c in wanted if c != "slot" for name in _COLUMNS[c][1].split()}
+    needs = {name for c in wanted for name in _COLUMNS[c][1].split()}
     rows = table(spark, sf_dir, "lineitem")
     if "orders" in needs:
         orders = table(spark, sf_dir, "orders")
@@ -100,18 +85,26 @@ def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     if "supplier" in needs:
         supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
         rows = rows.join(supplier, rows.l_suppkey == supplier.s_suppkey)
-    return rows.select(
-        *[(_slot(spark, sf_dir) if c == "slot" else _COLUMNS[c][0]()).alias(c) for c in wanted]
-    )
+    return rows.select(*[_COLUMNS[c][0]().alias(c) for c in wanted])
+
+
+# The columns windowed features and scores read; they are kept apart from the full copy, which is several times as wide.
+FEATURE_COLUMNS = [*TOTAL_ORDER, "period", "category", "region", "department", "ship_mode", "segment", "qty", "late", "sales", "product_price", "days_sched", "days_real"]
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide table with all columns and the slot, joined once per application and kept in the shared folder.
+def order_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The order lines with the named columns (all when none is named) and, among them, `slot`: joined and dealt into ranges of the total order once per
+    application and kept in the shared folder.
 
-    For jobs that read the lines many times (graph building, scoring); a job that reads them once should name its columns
-    in order_items instead and let the scan be pruned.
+    `slot` is the number of a row's range. Ranges hold about equally many rows and follow the total order, so (order_date, slot) cuts a crowded
+    day into pieces whatever its order ids are. For jobs that read the lines many times (graph building, scoring) or need slots; a job that reads them
+    once should name its columns in order_items instead and let the scan be pruned.
     """
-    return stored_table(spark, "order_lines", sf_dir, lambda: order_items(spark, sf_dir, *_COLUMNS, "slot"))
+    narrow = bool(columns) and set(columns) <= {*FEATURE_COLUMNS, "slot"}
+    kept = FEATURE_COLUMNS if narrow else list(_COLUMNS)
+    make = lambda: in_ranges(order_items(spark, sf_dir, *kept), TOTAL_ORDER, "slot")
+    lines = stored_table(spark, "feature_lines" if narrow else "order_lines", sf_dir, make)
+    return lines.select(*columns) if columns else lines
 
 
 _REAL = "CAST(((date_diff('day', o_orderdate::date, l_shipdate::date) % 7) + 7) % 7 AS INTEGER)"

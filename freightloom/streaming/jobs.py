@@ -6,12 +6,14 @@ in the shared folder, so a restarted job goes on where it stopped.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from freightloom.session import prepare, work_path
 
@@ -41,22 +43,48 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Process all available input; with a `checkpoint` folder of an earlier run, go on where that run stopped."""
     spark = prepare(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option(
-        "checkpointLocation", f"{work_path(spark, name)}/checkpoint").trigger(availableNow=True)
+        "checkpointLocation", checkpoint or f"{work_path(spark, name)}/checkpoint").trigger(availableNow=True)
     writer.start().awaitTermination()
 
 
-def ingest_increments(stream: DataFrame, target: str) -> DataFrame:
-    """Append arriving files once: a batch writes its own folder, which a repeated batch overwrites."""
+def ingest_increments(stream: DataFrame, target: str, period: str = "period", name: str = "ingest", checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Append each period of arriving files once. Returns the store and its manifest: period, delivery, n_rows, checksum, status, batch.
+
+    A delivery is the folder a file arrived in; a period's rows come whole in one delivery. The manifest guards the store: a period is accepted the first
+    time it is seen (of several deliveries in a batch the first by name); later deliveries are `replayed` if their rows are the same (their count and an
+    order-free checksum) and `conflict` otherwise, and neither is stored. A batch decides by the manifest rows of other batches and overwrites its own folders,
+    so a batch that runs again after a failure leaves the store and the manifest as they were. The manifest has a row for each period and delivery.
+    """
     spark = stream.sparkSession
+    rows_at, manifest_at = f"{target}/rows", f"{target}/manifest"
+    columns = stream.columns
+    arriving = stream.withColumn("_delivery", F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    run_batches(stream, "ingest", handle)
-    return spark.read.parquet(target).drop("batch")
+        digest = F.xxhash64(*columns).cast("decimal(20,0)")
+        found = batch.groupBy(F.col(period).alias("_period"), "_delivery").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest).cast("string").alias("checksum"))
+        schema = "_period string, _delivery string, n_rows long, checksum string, status string, batch int"
+        known = spark.read.schema(schema).parquet(manifest_at).where((F.col("batch") != batch_id) & (F.col("status") == "accepted")) if manifest_exists() else spark.createDataFrame([], schema)
+        first = found.groupBy("_period").agg(F.min("_delivery").alias("_first"), F.min_by(F.struct("n_rows", "checksum"), "_delivery").alias("_new"))
+        before = known.select("_period", F.struct("n_rows", "checksum").alias("_old"))
+        same = F.struct("n_rows", "checksum") == F.coalesce("_old", "_new")
+        status = F.when(F.col("_old").isNull() & (F.col("_delivery") == F.col("_first")), "accepted").when(same, "replayed").otherwise("conflict")
+        judged = found.join(first, "_period").join(before, "_period", "left").select("_period", "_delivery", "n_rows", "checksum", status.alias("status"))
+        # The manifest is written last: a batch that fails before it is repeated as if it had not run.
+        kept = batch.join(judged.where("status = 'accepted'").select(F.col("_period").alias(period), "_delivery"), [period, "_delivery"], "left_semi")
+        kept.select(*columns).write.mode("overwrite").parquet(f"{rows_at}/batch={batch_id}")
+        judged.write.mode("overwrite").parquet(f"{manifest_at}/batch={batch_id}")
+
+    def manifest_exists() -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(manifest_at)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    run_batches(arriving, name, handle, checkpoint=checkpoint)
+    return spark.read.parquet(rows_at).drop("batch"), spark.read.parquet(manifest_at).withColumnsRenamed({"_period": period, "_delivery": "delivery"})
 
 
 def dedup(stream: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
@@ -89,43 +117,122 @@ def deviation_join(forecasts: DataFrame, actuals: DataFrame, floor: float = 0.10
     return d.withColumn("pct", F.round(pct, 6)).where(pct >= floor).select("entity_type", "entity_id", "ts", "predicted", "actual", "pct")
 
 
-def sequence_join(a: DataFrame, b: DataFrame, lag_days: int = 7) -> DataFrame:
-    """A then B: the second event within (ts, ts + lag] of the first and of another entity.
+def sequence_join(a: DataFrame, b: DataFrame, network: DataFrame, lag_days: int = 7) -> DataFrame:
+    """A then B along the network: the second event within (ts, ts + lag] of the first, of an entity linked with it.
 
-    Time buckets as wide as the lag make it an equi-join, so its state is partitioned by bucket.
+    The first event is dealt to its entity's edges (a join with a static table) and to two time buckets as wide as the lag; so the streams are
+    joined on entity and bucket, by which their state is partitioned.
     """
     slot = F.floor(F.unix_seconds("ts") / (86400 * lag_days))
-    x = a.withColumn("slot", F.explode(F.array(slot, slot + 1))).withWatermark("ts", "7 days").select(
-        "slot", F.col("entity_id").alias("a_entity"), F.col("event").alias("a_event"), F.col("ts").alias("a_ts"))
+    swapped = network.select(F.col("y_type").alias("x_type"), F.col("y_id").alias("x_id"), F.col("x_type").alias("y_type"), F.col("x_id").alias("y_id"))
+    links = network.unionByName(swapped).withColumnsRenamed({"x_type": "entity_type", "x_id": "entity_id"})
+    x = a.join(links, ["entity_type", "entity_id"]).withColumn("slot", F.explode(F.array(slot, slot + 1))).withWatermark("ts", "7 days").select(
+        "slot", "y_type", "y_id", F.col("entity_id").alias("a_entity"), F.col("event").alias("a_event"), F.col("ts").alias("a_ts"))
     y = b.withColumn("bslot", slot).withWatermark("ts", "7 days").select(
-        "bslot", F.col("entity_id").alias("b_entity"), F.col("event").alias("b_event"), F.col("ts").alias("b_ts"))
+        "bslot", "entity_type", F.col("entity_id").alias("b_entity"), F.col("event").alias("b_event"), F.col("ts").alias("b_ts"))
     near = (
-        (F.col("slot") == F.col("bslot")) & (F.col("b_ts") > F.col("a_ts")) & (F.col("b_ts") <= F.col("a_ts") + F.expr(f"INTERVAL {lag_days} DAYS"))
-        & (F.col("a_entity") != F.col("b_entity"))
+        (F.col("slot") == F.col("bslot")) & (F.col("y_type") == F.col("entity_type")) & (F.col("y_id") == F.col("b_entity"))
+        & (F.col("b_ts") > F.col("a_ts")) & (F.col("b_ts") <= F.col("a_ts") + F.expr(f"INTERVAL {lag_days} DAYS"))
     )
-    return x.join(y, near).drop("slot", "bslot")
+    return x.join(y, near).select("a_event", "b_event", "a_entity", "b_entity", "a_ts", "b_ts")
 
 
-EDGE_OUT = "edge string, weight double, hits long, last_day long"
-EDGE_STATE = "weight double, hits long, last_day long"
+EDGE_LOG = "edge string, day long, action string, weight_before double, weight double, hits long"
+EDGE_STATE = "weight double, hits long, last long, late long"
+PASS_DAYS, CREATED = 30, 0.4  # days without a hit until an edge decays by itself; weight of a new edge, and share of a hit in a strengthened one
+DECAY, LEAST, SEASON, SEASON_FLOOR = 0.05, 0.1, (11, 12), 0.40
+_DAY_MS = 86_400_000
 
 
-def _edge_update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Decay an edge for the days without a hit, then strengthen it; days arrive counted, so a frame is small."""
-    weight, hits, last = state.get if state.exists else (0.0, 0, -1)
-    days = pd.concat([f[["day", "n"]] for f in frames]).groupby("day")["n"].sum().sort_index()
-    for day, n in days.items():
-        if last >= 0 and day > last:
-            weight *= 0.95 ** (day - last)
-        weight = min(weight * 0.6 + 0.4, 1.0)
-        hits, last = hits + int(n), max(int(day), last)
-    state.update((float(weight), int(hits), int(last)))
-    yield pd.DataFrame({"edge": [key[0]], "weight": [weight], "hits": [hits], "last_day": [last]})
+class EdgeLife(StatefulProcessor):
+    """Life of one edge: created or strengthened by a day with hits, decayed by event-time timers, removed when too light.
 
+    A pass is due 30 days after the last change. Passes due before a hit are made up when the hit arrives, and the timer makes them when no hit
+    does, so the log depends on the days of the hits and the watermark and not on how hits are cut into batches. A day not after the last change is late: it is
+    told apart in the log and changes nothing. Once an edge is removed its state is gone; a later hit creates it anew.
+    """
 
-def edge_state(hits: DataFrame) -> DataFrame:
-    """Edge weights kept per key across batches. `hits` has edge, day (number) and n (hits of the day)."""
-    return hits.groupBy("edge").applyInPandasWithState(_edge_update, EDGE_OUT, EDGE_STATE, "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.edge = handle.getValueState("edge", EDGE_STATE)
+
+    @staticmethod
+    def left(weight: float, last: int, day: int) -> float:
+        """Weight after the days since the last change; November and December decay at half the rate and not below a floor."""
+        season = (datetime.date(1970, 1, 1) + datetime.timedelta(days=day)).month in SEASON
+        rest = weight * (1.0 - (DECAY * 0.5 if season else DECAY)) ** (day - last)
+        return max(rest, SEASON_FLOOR) if season else rest
+
+    def passes(self, state: tuple | None, until: int, log: list) -> tuple | None:
+        """Make the passes due before `until` (a day)."""
+        while state is not None and state[2] + PASS_DAYS < until:
+            weight, hits, last, late = state
+            day = last + PASS_DAYS
+            rest = self.left(weight, last, day)
+            if rest < LEAST:
+                log.append((day, "edge_removed", weight, 0.0, hits))
+                state = None
+            else:
+                log.append((day, "edge_decayed", weight, rest, hits))
+                state = (rest, hits, day, late)
+        return state
+
+    def keep(self, before: tuple | None, state: tuple | None) -> None:
+        due = lambda s: (s[2] + PASS_DAYS) * _DAY_MS
+        if before is not None and (state is None or due(before) != due(state)):
+            self.handle.deleteTimer(due(before))
+        if state is None:
+            self.edge.clear()
+            return
+        self.edge.update(state)
+        if before is None or due(before) != due(state):
+            self.handle.registerTimer(due(state))
+
+    def rows(self, key: tuple, log: list) -> Iterator[pd.DataFrame]:
+        if log:
+            out = pd.DataFrame(log, columns=["day", "action", "weight_before", "weight", "hits"])
+            out.insert(0, "edge", key[0])
+            yield out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before = state = tuple(self.edge.get()) if self.edge.exists() else None
+        days = pd.concat([f[["day", "n"]] for f in rows]).groupby("day")["n"].sum().sort_index()
+        log: list = []
+        for day, n in ((int(d), int(k)) for d, k in days.items()):
+            if state is not None and day <= state[2]:
+                weight, hits, last, late = state
+                state = (weight, hits, last, late + n)
+                log.append((day, "late", weight, weight, hits))
+                continue
+            state = self.passes(state, day, log)
+            if state is None:
+                state = (CREATED, n, day, 0)
+                log.append((day, "edge_created", None, CREATED, n))
+            else:
+                weight, hits, last, late = state
+                stronger = min(self.left(weight, last, day) * (1.0 - CREATED) + CREATED, 1.0)
+                state = (stronger, hits + n, day, late)
+                log.append((day, "edge_strengthened", weight, stronger, hits + n))
+        self.keep(before, state)
+        yield from self.rows(key, log)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before = tuple(self.edge.get()) if self.edge.exists() else None
+        log: list = []
+        self.keep(before, self.passes(before, timerValues.getCurrentWatermarkInMs() // _DAY_MS, log))
+        yield from self.rows(key, log)
+
+    def close(self) -> None:
+        pass
+
+
+def edge_life(hits: DataFrame, delay: str) -> DataFrame:
+    """Log of all changes of edges. `hits` has edge, ts (timestamp of a day), day (number of that day) and n (hits of the day).
+
+    State is kept per edge in RocksDB, so it is not bounded by memory; edges without hits leave it.
+    """
+    hits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return hits.withWatermark("ts", delay).groupBy("edge").transformWithStateInPandas(EdgeLife(), EDGE_LOG, "Append", "EventTime")
 
 
 def memory_accuracy(predictions: DataFrame, actuals: DataFrame) -> DataFrame:

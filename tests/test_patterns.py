@@ -31,9 +31,62 @@ def test_pairs_against_loops(spark):
     got = P.interval_pairs(spark.createDataFrame(rows, EVENTS)).count()
     want = sum(1 for a in rows for b in rows if a[1] != b[1] and 0 < (b[3] - a[3]).days <= 7)
     assert got == want > 0
-    chains = P.interval_chains(spark.createDataFrame(rows, EVENTS), 3).count()
-    assert chains == sum(1 for a in rows for b in rows if a[1] != b[1] and 0 < (b[3] - a[3]).days <= 7
-                         for c in rows if c[1] not in (a[1], b[1]) and 0 < (c[3] - b[3]).days <= 7)
+
+
+def random_network(spark, seed=5):
+    """Suppliers and entities of the catalogue with weekly events, linked at random; no supplier is on the y side."""
+    import random
+
+    rnd = random.Random(seed)
+    entities = {t: [f"{t[0]}{k}" for k in range(3)] for t in P.ENTITY_TYPES}
+    links = [(x, i, y, j) for k, x in enumerate(P.ENTITY_TYPES) for y in P.ENTITY_TYPES[k + 1 :] for i in entities[x] for j in entities[y] if rnd.random() < 0.4]
+    events = [(t, i, rnd.choice("AB"), day(1) + datetime.timedelta(days=7 * w)) for t in entities for i in entities[t] for w in range(6) if rnd.random() < 0.7]
+    near = {(x, i): set() for x in entities for i in entities[x]}
+    for x, i, y, j in links:
+        near[x, i].add((y, j))
+        near[y, j].add((x, i))
+    steps = [(a, b) for a in events for b in events if b[:2] in near[a[:2]] and 0 < (b[3] - a[3]).days <= 7]
+    return spark.createDataFrame(events, EVENTS), spark.createDataFrame(links, "x_type string, x_id string, y_type string, y_id string"), steps, events
+
+
+def test_pairs_follow_the_network(spark):
+    events, network, steps, _ = random_network(spark)
+    got = sorted(tuple(x) for x in P.interval_pairs(events, network).select(*P.STEP).collect())
+    assert got == sorted(a + b for a, b in steps) and len(got) > 100
+
+
+def test_chain_states_count_every_chain(spark):
+    """Multiplicities of the states against chains joined one by one; no entity type twice in a chain."""
+    import collections
+
+    events, network, steps, rows = random_network(spark)
+    pairs = P.interval_pairs(events, network).cache()
+    chains = [list(s) for s in steps]
+    for length in (3, 4):
+        chains = [[*c, b] for c in chains for a, b in steps if a == c[-1] and b[0] not in {e[0] for e in c}]
+        want = collections.Counter((*c[-2], *c[-1], c[0][2]) for c in chains)
+        state = P.chain_states(pairs, length)
+        got = {tuple(x)[:-1]: x["n"] for x in state.groupBy(*P.STEP, "head_event").agg(F.sum("chains").alias("n")).collect()}
+        assert got == want and len(chains) > 1000
+        assert state.count() <= len(steps) * 2 * 10
+    counted = P.chain_counts(pairs, events).where("length = 4").agg(F.sum("frequency"), F.max("probability"), F.min("temporal_score")).first()
+    assert counted[0] == len(chains) and 0 < counted[1] <= 1 and counted[2] > 0
+
+
+def test_empty_weeks_between_first_and_last_are_filled(spark):
+    weeks = spark.createDataFrame([("Supplier", "s", day(1), 2.0), ("Supplier", "s", day(22), 4.0), ("Supplier", "t", day(8), 1.0)], "entity_type string, entity_id string, ts date, actual double")
+    got = [(x.entity_id, x.ts.day, x.actual) for x in P.fill_weeks(weeks).orderBy("entity_id", "ts").collect()]
+    assert got == [("s", 1, 2.0), ("s", 8, 0.0), ("s", 15, 0.0), ("s", 22, 4.0), ("t", 8, 1.0)]
+
+
+def test_network_links_a_supplier_with_its_main_partners(spark, lines):
+    d = lines.withColumns({"city": F.col("region"), "segment": F.lit("s")})
+    net = P.entity_network(d)
+    mine = net.where("x_type = 'Supplier'")
+    assert mine.groupBy("x_id").count().where("count <> 5").count() == 0
+    best = {x["department"]: x["category"] for x in d.groupBy("department", "category").count().orderBy("count", F.desc("category")).collect()}
+    assert {x.x_id: x.y_id for x in mine.where("y_type = 'Product'").collect()} == best
+    assert net.where("x_type = 'Product' and y_type = 'Shipment'").count() == d.select("category", "ship_mode").distinct().count()
 
 
 def test_same_entity_and_same_day_do_not_count(spark):

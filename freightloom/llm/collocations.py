@@ -1,12 +1,12 @@
 r"""Phrase collocations by SETM: relations of occurrences, mined one length at a time.
 
-The occurrence relation of length 1 says which word stands at which position of which piece; it is written in blocks, sorted by piece and position, with a
-gap between pieces. From then on each length k has a table with two kinds of rows: a block's occurrences (which of the block's phrases starts at each
-position) and the block's distinct phrases with their number there. One turn counts the groups (phrases) over all blocks, semi-joins each block's
-phrases with those that are frequent, drops the occurrences of the others, and merge-joins what is left with itself on piece and adjacent position:
-where a frequent phrase starts at p and another at p + 1, a phrase of k + 1 words starts at p. Words are counted in blocks before any shuffle, so a very frequent phrase
-is one row a block, and frequent phrases travel back to the blocks by a join: nothing is broadcast, and no table of phrases has to fit in one place.
-Each phrase carries the counts of its first and last words, so its score needs no further join.
+The occurrence relation says which word stands at which position of which piece; it is written in blocks of one language, sorted by piece and position, with
+a gap between pieces. For each length k it is kept down to the positions where a phrase of k words may start. One turn
+- counts the groups: a block's distinct phrases, as hashes with their number there, meet those of the other blocks by hash;
+- semi-joins: the hashes found often enough go back to their blocks, and the other occurrences are dropped;
+- merge-joins what is left with itself on piece and adjacent position: where a phrase stays at p and another at p + 1, one of k + 1 words may start at p.
+Phrases that stay are counted once more by their words, so the hashes only decide what is left out early and never a figure. A block sends a
+phrase once however often it holds it, and no phrase is sent to all: nothing is broadcast, and a very frequent phrase is one row a block.
 
 Texts are lower-cased in A-Z and split at [.,;:!?\x0A-\x0D] into pieces and those at space and tab into words. Null text is empty, and empty text or pieces have no words.
 A null lang is `und`. Repeated rows count each time. Long texts are read in stretches of whole pieces; memory follows the block size or the longest piece. Other
@@ -15,6 +15,7 @@ columns are ignored. An empty table gives no rows. Ties are settled to the end:
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -25,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freightloom.llm.common import documents, kept_table
+from freightloom.llm.common import documents, kept_table, mix, prefix_hash, substring_hash
 
-BLOCK = 700_000  # words of a block, about 4 MB of text
+BLOCK = 700_000  # words of a block, about 4 MB of text; a longer piece makes a longer block
 STRETCH = 1 << 20  # bytes of a text handled at once
 _TABLE = bytearray(range(256))
 _TABLE[65:91] = range(97, 123)
@@ -51,46 +52,38 @@ def piece_words(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def _table(block: int, lang: str, places: np.ndarray, phrases: list[bytes], counts: np.ndarray, sides: list[np.ndarray]) -> dict:
-    """Rows of one block: its occurrences first, then its phrases."""
-    n = len(phrases)
-    return {
-        "block": np.full(n + 1, block, np.int64), "lang": [lang] * (n + 1), "places": [places.astype("<i4").tobytes()] + [None] * n, "idx": [None, *range(n)],
-        "phrase": [None, *phrases], "n": [None, *counts.tolist()], **{f"s{k}": [None, *s.tolist()] for k, s in enumerate(sides)},
-    }
+def pack(numbers: np.ndarray) -> bytes:
+    """Compressed 32-bit integers; unpack reads them back."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(numbers.astype("<i4").tobytes(), "zstd", asbytes=True)
 
 
-def _fields(sides: int) -> list[tuple[str, pa.DataType, str]]:
-    return [
-        ("block", pa.int64(), "long"), ("lang", pa.string(), "string"), ("places", pa.binary(), "binary"), ("idx", pa.int32(), "int"), ("phrase", pa.string(), "string"),
-        ("n", pa.int64(), "long"), *[(f"s{k}", pa.int64(), "long") for k in range(sides)],
-    ]
+def unpack(data: bytes) -> np.ndarray:
+    size = 4 * int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, "zstd"), "<i4").astype(np.int64)
 
 
-def _schema(sides: int) -> str:
-    return ", ".join(f"{n} {t}" for n, _, t in _fields(sides))
+BLOCK_SCHEMA = "block long, lang string, words binary, places binary, starts binary"
+_BLOCK_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
 
 
-def _arrow(columns: dict, sides: int) -> pa.Table:
-    arrays = []
-    for name, kind, _ in _fields(sides):
-        values = columns[name]
-        arrays.append(pa.array(values, pa.binary()).cast(pa.string()) if name == "phrase" else pa.array(values, kind))
-    return pa.table(arrays, names=[n for n, _, _ in _fields(sides)])
+def _block_row(block: int, lang: str, words: bytes, places: np.ndarray, starts: np.ndarray) -> list:
+    return [block, lang, words, pack(places), pack(np.diff(starts, prepend=0))]
 
 
 def word_relation(docs: DataFrame) -> DataFrame:
-    """The relation of length 1. A block holds pieces of one language of one task, in order of rows and positions."""
+    """The relation of length 1, a row for each block: its distinct words, the number of the word at each position (-1 between pieces), and the positions
+    of words. A block holds pieces of one language of one task, in the order of rows and positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, held = TaskContext.get().partitionId() << 32, 0
+        made, held = TaskContext.get().partitionId() << 12, 0
         blocks: dict[str, tuple[dict, list]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made
             for lang, (ids, places) in blocks.items():
                 where = np.array(places, np.int32)
-                yield from _arrow(_table(made, lang, where, list(ids), np.bincount(where[where >= 0], minlength=len(ids)), []), 0).to_batches(4096)
+                row = _block_row(made, lang, b" ".join(ids), where, np.flatnonzero(where >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _BLOCK_KINDS, strict=True)], ["block", "lang", "words", "places", "starts"])
                 made += 1
             blocks.clear()
 
@@ -114,51 +107,76 @@ def word_relation(docs: DataFrame) -> DataFrame:
                         held = 0
         yield from flush()
 
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, _schema(0))
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK_SCHEMA)
 
 
-def extend(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
-    """The relation of phrases of `length` + 1 words from that of `length` words and the block's frequent phrases.
+def _hashes(lang: str, words: bytes, places: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the phrases at the starts; equal phrases of a language have equal ones in all blocks."""
+    data = np.frombuffer(words, np.uint8)
+    ends = np.append(np.flatnonzero(data == 32), len(data))
+    begins = np.append(0, ends[:-1] + 1)
+    of_word = substring_hash(prefix_hash(data), begins, ends)
+    acc = np.full(len(starts), int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"), np.uint64)
+    for k in range(length):
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + of_word[places[starts + k]] + np.uint64(k + 1))
+    return acc
 
-    A phrase of k words has the sides s0..s(k-2), the counts of its first 1..k-1 words, and s(k-1)..s(2k-3), those of its last 1..k-1 words.
+
+def frequent_in(relation: DataFrame, length: int, least: int) -> DataFrame:
+    """block, h: each block's phrases (hashes) that all blocks together hold at least `least` times.
+
+    A row is a hash and, in one number, block and count; the rows of a hash are at most one a block.
     """
-    heads = length - 1
-    sides = 2 * heads
-    names = ["block", "lang", "places", "idx", "phrase", "n", *[f"s{k}" for k in range(sides)]]
-    occurrences = relation.filter("places is not null").select("block", "lang", "places", *[F.lit(None).cast(t).alias(n) for n, _, t in _fields(sides)[3:]])
-    together = occurrences.unionByName(frequent.select("block", "lang", F.lit(None).cast("binary").alias("places"), *names[3:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                block, lang, words, places, starts = (b.column(c)[k].as_py() for c in ("block", "lang", "words", "places", "starts"))
+                h, n = np.unique(_hashes(lang, words, unpack(places), np.cumsum(unpack(starts)), length), return_counts=True)
+                at = (np.int64(block) << 20) | np.minimum(n, (1 << 20) - 1)
+                for i in range(0, len(h), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)].view(np.int64)), pa.array(at[i : i + (1 << 16)])], ["h", "at"])
+
+    rows = relation.mapInArrow(run, "h long, at long")
+    total = F.sum(F.col("at").bitwiseAND((1 << 20) - 1)).over(Window.partitionBy("h"))
+    return rows.withColumn("total", total).filter(F.col("total") >= least).select(F.shiftright("at", 20).alias("block"), "h")
+
+
+def extend(relation: DataFrame, frequent: DataFrame, length: int, last: bool) -> DataFrame:
+    """Two kinds of rows: lang, phrase, n of the phrases of `length` words that stay in a block, and the block as the relation of `length` + 1 words.
+
+    Semi-join: an occurrence stays if its phrase is frequent. Merge join of the sorted occurrences with themselves on adjacent positions; a gap stands between pieces.
+    """
+    none = lambda names: [F.lit(None).cast(t).alias(n) for n, t in names]
+    fields = [("lang", "string"), ("words", "binary"), ("places", "binary"), ("starts", "binary")]
+    together = relation.select("block", *[n for n, _ in fields], F.lit(None).cast("long").alias("h")).unionByName(frequent.select("block", *none(fields), "h"))
+    names = ["block", "lang", "words", "places", "starts", "phrase", "n"]
+    kinds = [*_BLOCK_KINDS, pa.string(), pa.int64()]
 
     def run(group: pa.Table) -> pa.Table:
-        idx = group.column("idx").to_numpy(zero_copy_only=False)
-        known = np.flatnonzero(~np.isnan(idx)) if idx.dtype.kind == "f" else np.arange(len(idx))
-        at = [i for i, p in enumerate(group.column("places").is_valid().to_pylist()) if p]
-        places = np.frombuffer(group.column("places")[at[0]].as_py(), "<i4")
-        local = idx[known].astype(np.int64)
-        phrases = group.column("phrase").take(pa.array(known)).cast(pa.binary()).to_pylist()
-        number = lambda name: group.column(name).take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64)
-        counts, side = number("n"), [number(f"s{k}") for k in range(sides)]
-        # Semi-join: an occurrence stays if its phrase is frequent, and gets that phrase's place among the frequent ones.
-        rank = np.full(int(max(places.max(initial=-1), local.max(initial=-1))) + 2, -1, np.int64)
-        rank[local] = np.arange(len(local))
-        here = rank[places]  # -1 reads the last entry, which is -1
-        # Merge join of the sorted relation with itself on piece and adjacent position; a gap of -1 stands between pieces.
-        start = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
-        keys, which, n = np.unique(here[start] * max(len(local), 1) + here[start + 1], return_inverse=True, return_counts=True)
-        left, right = np.divmod(keys, max(len(local), 1))
-        out = np.full(len(places), -1, np.int32)
-        out[start] = which
-        joined = [phrases[a] + b" " + phrases[b].rsplit(b" ", 1)[-1] for a, b in zip(left.tolist(), right.tolist(), strict=True)]
-        new_sides = [*[s[left] for s in side[:heads]], counts[left], *[s[right] for s in side[heads:]], counts[right]]
-        return _arrow(_table(group.column("block")[0].as_py(), group.column("lang")[0].as_py(), out, joined, n, new_sides), sides + 2)
-
-    return together.groupBy("block").applyInArrow(run, _schema(sides + 2))
-
-
-def group_counts(relation: DataFrame, sides: int, least: int) -> DataFrame:
-    """lang, phrase, a and the sides of the phrases found at least `least` times."""
-    return (
-        relation.filter("idx is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("a"), *[F.max(f"s{k}").alias(f"s{k}") for k in range(sides)]).filter(F.col("a") >= least)
-    )
+        at = next(i for i, ok in enumerate(group.column("words").is_valid().to_pylist()) if ok)
+        block, lang, words, packed, starts = (group.column(c)[at].as_py() for c in ("block", "lang", "words", "places", "starts"))
+        places, starts = unpack(packed), np.cumsum(unpack(starts))
+        wanted = np.sort(group.column("h").drop_null().to_numpy().astype(np.int64).view(np.uint64))
+        h = _hashes(lang, words, places, starts, length)
+        stays = starts[np.isin(h, wanted)]
+        text = words.split(b" ")
+        if length <= 3 and len(text) < 1 << 20:  # three numbers of words fit in one key
+            key = sum((places[stays + k] << (20 * (length - 1 - k)) for k in range(length)), np.zeros(len(stays), np.int64))
+            found, n = np.unique(key, return_counts=True)
+            found = np.stack([(found >> (20 * (length - 1 - k))) & ((1 << 20) - 1) for k in range(length)], 1)
+        else:
+            found, n = np.unique(places[stays[:, None] + np.arange(length)], axis=0, return_counts=True)
+        phrases = [b" ".join([text[i] for i in row]) for row in found.tolist()]
+        empty = [None] * len(phrases)
+        columns = [empty, [lang] * len(phrases), empty, empty, empty, phrases, n.tolist()]
+        if not last:
+            nxt = stays[:-1][np.diff(stays) == 1]
+            columns = [[v, *c] for v, c in zip([*_block_row(block, lang, words, places, nxt), None, None], columns, strict=True)]
+        arrays = [pa.array(c, pa.binary()).cast(pa.string()) if name == "phrase" else pa.array(c, k) for name, c, k in zip(names, columns, kinds, strict=True)]
+        return pa.table(arrays, names=names)
+
+    return together.groupBy("block").applyInArrow(run, BLOCK_SCHEMA + ", phrase string, n long")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -167,6 +185,26 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide(a) * wide(a) * F.lit(1000000).cast("decimal(7,0)"), wide(left) * wide(right))
 
 
+def _weakest_cuts(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """lang, phrase, a, size, score, l, r of the lowest-scoring cut, the first of several."""
+    words = F.split("phrase", " ", -1)
+    cuts = candidates.withColumn("words", words).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
+    side = lambda first, n: F.array_join(F.slice("words", first, n), " ")
+    cuts = cuts.select("lang", "phrase", "a", "size", "k", side(F.lit(1), F.col("k")).alias("head"), side(F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
+    known = lambda name, n: counts.select("lang", F.col("phrase").alias(name), F.col("a").alias(n))
+    scored = cuts.join(known("head", "l"), ["lang", "head"]).join(known("tail", "r"), ["lang", "tail"])
+    least = F.min(F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("cut")
+    return scored.groupBy("lang", "phrase", "a", "size").agg(least).select("lang", "phrase", "a", "size", "cut.score", "cut.l", "cut.r")
+
+
+def _outdone(candidates: DataFrame) -> DataFrame:
+    """lang, phrase, longer: the most occurrences of a longer candidate that holds the phrase."""
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda size: F.transform(
+        F.sequence(F.lit(1), F.col("size") - size + 1), lambda first: F.array_join(F.slice(F.col("words"), first, size), " "))))
+    held = candidates.filter("size > 2").withColumn("words", F.split("phrase", " ", -1))
+    return held.select("lang", "a", F.explode(F.array_distinct(inner)).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+
+
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `longest` words by score, count and bytes.
 
@@ -174,40 +212,28 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     score: floor(10^6 a a / (l r)). A phrase goes if a longer candidate that holds it has at least half its occurrences.
     """
     relation = kept_table(word_relation(docs), "collocations-1")
-    words = relation.filter("idx is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = relation.mapInArrow(_word_numbers, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     counted: list[DataFrame] = []
     for length in range(1, longest + 1):
-        sides = 2 * (length - 1)
-        found = kept_table(group_counts(relation, sides, least), f"collocations-frequent-{length}")
-        counted.append(found)
-        if length == longest:
-            break
-        mine = relation.filter("idx is not null").select("block", "lang", "idx", "phrase")
-        frequent = mine.join(found.withColumnRenamed("a", "n"), ["lang", "phrase"])
-        relation = kept_table(extend(relation, frequent, length), f"collocations-{length + 1}")
-
-    candidates = []
-    for length in range(2, longest + 1):
-        heads = length - 1
-        # Cut after k words: the first k words are side k - 1, the last length - k words are side heads + length - k - 1.
-        cuts = [F.struct(_score(F.col("a"), F.col(f"s{k - 1}"), F.col(f"s{heads + length - k - 1}")).alias("score"), F.lit(k).alias("k"),
-                         F.col(f"s{k - 1}").alias("l"), F.col(f"s{heads + length - k - 1}").alias("r")) for k in range(1, length)]
-        candidates.append(counted[length - 1].select("lang", "phrase", "a", F.lit(length).alias("size"), (F.least(*cuts) if len(cuts) > 1 else cuts[0]).alias("cut")))
-    every = reduce(DataFrame.unionByName, candidates)
+        turn = kept_table(extend(relation, frequent_in(relation, length, least), length, length == longest), f"collocations-{length + 1}")
+        exact = turn.filter("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        counted.append(kept_table(exact.withColumn("size", F.lit(length)), f"collocations-counts-{length}"))
+        relation = turn.filter("phrase is null").select("block", "lang", "words", "places", "starts")
+    candidates = reduce(DataFrame.unionByName, counted[1:])
+    every = _weakest_cuts(candidates, reduce(DataFrame.unionByName, counted))
     if longest > 2:
-        parts = F.split("phrase", " ", -1)
-        inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda size: F.transform(
-            F.sequence(F.lit(1), F.col("size") - size + 1), lambda first: F.array_join(F.slice(F.col("parts"), first, size), " "))))
-        held = (
-            every.filter("size > 2").select("lang", "a", "size", parts.alias("parts")).select("lang", "a", F.explode(F.array_distinct(inner)).alias("phrase"))
-            .groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-        )
-        every = every.join(held, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a")))
+        every = every.join(_outdone(candidates), ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = every.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def _word_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = [int.from_bytes(x.as_py()[:8], "little") for x in b.column("starts")]
+        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(n, pa.int64())], ["lang", "n"])
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 

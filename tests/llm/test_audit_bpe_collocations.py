@@ -15,7 +15,7 @@ from freightloom.llm import audit, byte_bpe, collocations
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-SCHEMA = "doc_id long, text string, lang string, source string, part string, cell string, ids string, starts string, block string, idx string, phrase string, n string, digest string"
+SCHEMA = "doc_id long, text string, lang string, source string, part string, cell string, ids string, starts string, block string, h string, phrase string, n string, digest string"
 CLASH = ("clash",) * 9
 
 

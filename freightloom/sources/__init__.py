@@ -1,4 +1,5 @@
 from freightloom.sources.canonical import (  # noqa: F401
+    FEATURE_COLUMNS,
     ORDER_ITEMS_SQL,
     TOTAL_ORDER,
     order_items,

@@ -89,7 +89,7 @@ def order_items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 # The columns windowed features and scores read; they are kept apart from the full copy, which is several times as wide.
-FEATURE_COLUMNS = [*TOTAL_ORDER, "period", "category", "region", "department", "ship_mode", "segment", "qty", "late", "sales", "product_price", "days_sched", "days_real"]
+FEATURE_COLUMNS = [*TOTAL_ORDER, "period", "category", "region", "city", "department", "ship_mode", "segment", "discount", "qty", "late", "sales", "product_price", "days_sched", "days_real"]
 
 
 def order_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from freightloom.llm.common import documents, kept_table, mix, prefix_hash, substring_hash
 
-BLOCK = 700_000  # words of a block, about 4 MB of text; a longer piece makes a longer block
+BLOCK = 3_000_000  # words of a task's open blocks together, about 19 MB of text; a longer piece makes a longer block
+HASH_BITS = 48  # of the hashes that phrases meet by; fewer bits are fewer bytes to shuffle, and equal hashes of different phrases only let more occurrences stay
 STRETCH = 1 << 20  # bytes of a text handled at once
 _TABLE = bytearray(range(256))
 _TABLE[65:91] = range(97, 123)
@@ -110,8 +111,13 @@ def word_relation(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK_SCHEMA)
 
 
+def _candidates(starts: np.ndarray, length: int) -> np.ndarray:
+    """Where a phrase of `length` words may start: all words, or, as a merge join on adjacent positions, where shorter phrases stay at p and p + 1."""
+    return starts if length == 1 else starts[:-1][np.diff(starts) == 1]
+
+
 def _hashes(lang: str, words: bytes, places: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of the phrases at the starts; equal phrases of a language have equal ones in all blocks."""
+    """Hashes of the phrases at the starts; equal phrases of a language have equal ones in all blocks."""
     data = np.frombuffer(words, np.uint8)
     ends = np.append(np.flatnonzero(data == 32), len(data))
     begins = np.append(0, ends[:-1] + 1)
@@ -119,64 +125,68 @@ def _hashes(lang: str, words: bytes, places: np.ndarray, starts: np.ndarray, len
     acc = np.full(len(starts), int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"), np.uint64)
     for k in range(length):
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + of_word[places[starts + k]] + np.uint64(k + 1))
-    return acc
+    return (acc >> np.uint64(64 - HASH_BITS)).view(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """block, lang, words, places, starts of each row, and its array of hashes if it has one."""
+    for b in batches:
+        for k in range(b.num_rows):
+            row = [b.column(c)[k].as_py() for c in ("block", "lang", "words", "places", "starts")]
+            kept = b.column("kept")[k].values if "kept" in b.schema.names else None
+            yield (*row[:3], unpack(row[3]), np.cumsum(unpack(row[4])), None if kept is None else kept.to_numpy())
 
 
 def frequent_in(relation: DataFrame, length: int, least: int) -> DataFrame:
-    """block, h: each block's phrases (hashes) that all blocks together hold at least `least` times.
+    """block, kept: the hashes of each block's phrases that all blocks together hold at least `least` times.
 
     A row is a hash and, in one number, block and count; the rows of a hash are at most one a block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                block, lang, words, places, starts = (b.column(c)[k].as_py() for c in ("block", "lang", "words", "places", "starts"))
-                h, n = np.unique(_hashes(lang, words, unpack(places), np.cumsum(unpack(starts)), length), return_counts=True)
-                at = (np.int64(block) << 20) | np.minimum(n, (1 << 20) - 1)
-                for i in range(0, len(h), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)].view(np.int64)), pa.array(at[i : i + (1 << 16)])], ["h", "at"])
+        for block, lang, words, places, starts, _ in _blocks(batches):
+            h, n = np.unique(_hashes(lang, words, places, _candidates(starts, length), length), return_counts=True)
+            at = (np.int64(block) << 20) | np.minimum(n, (1 << 20) - 1)
+            for i in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)]), pa.array(at[i : i + (1 << 16)])], ["h", "at"])
 
     rows = relation.mapInArrow(run, "h long, at long")
     total = F.sum(F.col("at").bitwiseAND((1 << 20) - 1)).over(Window.partitionBy("h"))
-    return rows.withColumn("total", total).filter(F.col("total") >= least).select(F.shiftright("at", 20).alias("block"), "h")
+    often = rows.withColumn("total", total).filter(F.col("total") >= least)
+    return often.groupBy(F.shiftright("at", 20).alias("block")).agg(F.collect_list("h").alias("kept"))
 
 
-def extend(relation: DataFrame, frequent: DataFrame, length: int, last: bool) -> DataFrame:
-    """Two kinds of rows: lang, phrase, n of the phrases of `length` words that stay in a block, and the block as the relation of `length` + 1 words.
+def semi_join(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
+    """The relation of phrases of `length` words: the occurrences whose phrase is frequent. A block without any goes."""
 
-    Semi-join: an occurrence stays if its phrase is frequent. Merge join of the sorted occurrences with themselves on adjacent positions; a gap stands between pieces.
-    """
-    none = lambda names: [F.lit(None).cast(t).alias(n) for n, t in names]
-    fields = [("lang", "string"), ("words", "binary"), ("places", "binary"), ("starts", "binary")]
-    together = relation.select("block", *[n for n, _ in fields], F.lit(None).cast("long").alias("h")).unionByName(frequent.select("block", *none(fields), "h"))
-    names = ["block", "lang", "words", "places", "starts", "phrase", "n"]
-    kinds = [*_BLOCK_KINDS, pa.string(), pa.int64()]
-
-    def run(group: pa.Table) -> pa.Table:
-        at = next(i for i, ok in enumerate(group.column("words").is_valid().to_pylist()) if ok)
-        block, lang, words, packed, starts = (group.column(c)[at].as_py() for c in ("block", "lang", "words", "places", "starts"))
-        places, starts = unpack(packed), np.cumsum(unpack(starts))
-        wanted = np.sort(group.column("h").drop_null().to_numpy().astype(np.int64).view(np.uint64))
-        h = _hashes(lang, words, places, starts, length)
-        stays = starts[np.isin(h, wanted)]
-        text = words.split(b" ")
-        if length <= 3 and len(text) < 1 << 20:  # three numbers of words fit in one key
-            key = sum((places[stays + k] << (20 * (length - 1 - k)) for k in range(length)), np.zeros(len(stays), np.int64))
-            found, n = np.unique(key, return_counts=True)
-            found = np.stack([(found >> (20 * (length - 1 - k))) & ((1 << 20) - 1) for k in range(length)], 1)
-        else:
-            found, n = np.unique(places[stays[:, None] + np.arange(length)], axis=0, return_counts=True)
-        phrases = [b" ".join([text[i] for i in row]) for row in found.tolist()]
-        empty = [None] * len(phrases)
-        columns = [empty, [lang] * len(phrases), empty, empty, empty, phrases, n.tolist()]
-        if not last:
-            nxt = stays[:-1][np.diff(stays) == 1]
-            columns = [[v, *c] for v, c in zip([*_block_row(block, lang, words, places, nxt), None, None], columns, strict=True)]
-        arrays = [pa.array(c, pa.binary()).cast(pa.string()) if name == "phrase" else pa.array(c, k) for name, c, k in zip(names, columns, kinds, strict=True)]
-        return pa.table(arrays, names=names)
-
-    return together.groupBy("block").applyInArrow(run, BLOCK_SCHEMA + ", phrase string, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, lang, words, places, starts, kept in _blocks(batches):
+            starts = _candidates(starts, length)
+            stays = starts[np.isin(_hashes(lang, words, places, starts, length), kept)]
+            row = _block_row(block, lang, words, places, stays)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _BLOCK_KINDS, strict=True)], ["block", "lang", "words", "places", "starts"])
+
+    return relation.join(frequent, "block").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
+    """lang, phrase, a, size: the phrases of `length` words of the relation found at least `least` times, counted by their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lang, words, places, starts, _ in _blocks(batches):
+            text = words.split(b" ")
+            if length <= 3 and len(text) < 1 << 20:  # three numbers of words fit in one key
+                key = sum((places[starts + k] << (20 * (length - 1 - k)) for k in range(length)), np.zeros(len(starts), np.int64))
+                found, n = np.unique(key, return_counts=True)
+                found = np.stack([(found >> (20 * (length - 1 - k))) & ((1 << 20) - 1) for k in range(length)], 1)
+            else:
+                found, n = np.unique(places[starts[:, None] + np.arange(length)], axis=0, return_counts=True)
+            for i in range(0, len(n), 1 << 16):
+                phrases = pa.array([b" ".join([text[w] for w in row]) for row in found[i : i + (1 << 16)].tolist()], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(n[i : i + (1 << 16)])], ["lang", "phrase", "n"])
+
+    counted = relation.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    return counted.filter(F.col("a") >= least).withColumn("size", F.lit(length))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -215,10 +225,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     words = relation.mapInArrow(_word_numbers, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     counted: list[DataFrame] = []
     for length in range(1, longest + 1):
-        turn = kept_table(extend(relation, frequent_in(relation, length, least), length, length == longest), f"collocations-{length + 1}")
-        exact = turn.filter("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-        counted.append(kept_table(exact.withColumn("size", F.lit(length)), f"collocations-counts-{length}"))
-        relation = turn.filter("phrase is null").select("block", "lang", "words", "places", "starts")
+        relation = semi_join(relation, frequent_in(relation, length, least), length)
+        if length < longest:
+            relation = kept_table(relation, f"collocations-{length + 1}")
+        counted.append(kept_table(group_counts(relation, length, least), f"collocations-counts-{length}"))
     candidates = reduce(DataFrame.unionByName, counted[1:])
     every = _weakest_cuts(candidates, reduce(DataFrame.unionByName, counted))
     if longest > 2:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from freightloom.functions.scalars import node_id, normalize_entity
 from freightloom.operators.ordered import bottom_k
+from freightloom.operators.patterns import DECAY_RATE, MIN_WEIGHT, decay_edges
 from freightloom.session import stored_table
 from freightloom.sources import TOTAL_ORDER, order_lines
 
@@ -235,3 +236,28 @@ def load_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         stored_table(spark, "nodes", sf_dir, lambda: all_nodes(lines())),
         stored_table(spark, "edges", sf_dir, lambda: all_edges(lines())),
     )
+
+
+INFERRED = "INFERRED"
+
+
+def inferred_edges(inferred: DataFrame, nodes: DataFrame, as_of: Column) -> DataFrame:
+    """Edges learned from events as they stand on a day, between nodes of the graph: weights decayed to the day, those too light by then or learned later left out.
+
+    `valid_from` is the day of the last pattern, `valid_to` the day from which the edge is too light, were it not seen again (outside the season).
+    """
+    name = lambda side: F.when(F.col(f"{side}_type").isin("Supplier", "Product", "Warehouse"), normalize_entity(f"{side}_id")).otherwise(F.col(f"{side}_id"))
+    known = decay_edges(inferred.where(F.col("last_updated") <= as_of), as_of).where("action <> 'edge_removed'")
+    days = F.floor(F.log(MIN_WEIGHT / F.col("weight_before")) / F.log(F.lit(1 - DECAY_RATE))) + 1
+    edges = known.select(
+        node_id(F.col("source_type"), name("source")).alias("src"), node_id(F.col("target_type"), name("target")).alias("dst"), F.lit(INFERRED).alias("rel_type"),
+        F.col("source_type").alias("src_label"), F.col("target_type").alias("dst_label"), F.col("weight").alias("strength"), "frequency", F.lit(None).cast("double").alias("avg_delay"),
+        "confidence", F.col("last_updated").alias("valid_from"), F.date_add("last_updated", days.cast("int")).alias("valid_to"))
+    ids = nodes.select("node_id")
+    return edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+
+
+def united_edges(edges: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Observed and inferred edges in one table; observed ones are valid throughout."""
+    none = F.lit(None).cast("date")
+    return edges.withColumns({"valid_from": none, "valid_to": none}).unionByName(inferred)

@@ -3,10 +3,18 @@
 from pyspark.sql import functions as F
 
 from freightloom.functions.scalars import risk_label
+from freightloom.operators import graph_build as B
 from freightloom.operators import graph_score as S
 from freightloom.operators import graph_walk as G
 from freightloom.operators.analytics import r
+from freightloom.plans import graph_views as V
 from freightloom.plans.graph_build import PICK, graph_query, pick
+from freightloom.plans.graph_views import title
+from freightloom.plans.patterns import BASE as EVENT_VIEWS
+from freightloom.plans.patterns import EDGES as INFERRED
+from freightloom.plans.patterns import load_edges, load_events
+from freightloom.plans.registry import register, with_views
+from freightloom.sources import order_lines
 
 TRUST = ("CASE rel_type " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in G.EDGE_TRUST.items())
          + " ELSE CAST(0.5 AS DOUBLE) END")
@@ -31,7 +39,58 @@ def reached(n, e, label, depth, direction="both"):
 
 
 _OUT = "SELECT node_id, label, depth, trust FROM rch JOIN nodes USING (node_id) WHERE depth > 0"
-graph_query("bfs", lambda n, e: reached(n, e, "Supplier", 3).select("node_id", "label", "depth", "trust"), _OUT, **reach_views("Supplier", 3))
+graph_query("bfs_observed", lambda n, e: reached(n, e, "Supplier", 3).select("node_id", "label", "depth", "trust"), _OUT, **reach_views("Supplier", 3))
+
+_NAME = "CASE WHEN {s}_type IN ('Supplier', 'Product', 'Warehouse') THEN {t} ELSE {s}_id END"
+_NID = {s: f"substr(md5({s}_type || ':' || {_NAME.format(s=s, t=title(s + '_id'))}), 1, 12)" for s in ("source", "target")}
+AS_OF = "(SELECT max(ts) + 7 FROM dev)"
+UNITED = {
+    "aged": f"""SELECT *, CASE WHEN old < 1 THEN weight WHEN month({AS_OF}) IN (11, 12) THEN round(greatest(weight * power(CAST(0.975 AS DOUBLE), old), 0.40), 6)
+        ELSE round(weight * power(CAST(0.95 AS DOUBLE), old), 6) END AS w FROM (SELECT *, date_diff('day', last_updated, {AS_OF}) AS old FROM ed) WHERE last_updated <= {AS_OF}""",
+    "infer": f"""SELECT * FROM (SELECT {_NID['source']} AS src, {_NID['target']} AS dst, 'INFERRED' AS rel_type, w AS strength, frequency, confidence, last_updated AS valid_from,
+        CAST(last_updated + CAST(floor(ln(0.1 / weight) / ln(0.95)) + 1 AS INTEGER) AS DATE) AS valid_to FROM aged WHERE w >= 0.1)
+        WHERE src IN (SELECT node_id FROM nodes) AND dst IN (SELECT node_id FROM nodes)""",
+    "united": """SELECT src, dst, rel_type, strength, frequency, confidence FROM edges UNION ALL SELECT src, dst, rel_type, strength, frequency, confidence FROM infer""",
+    "uadj": """SELECT src, dst, rel_type, strength, frequency, confidence FROM united UNION ALL SELECT dst, src, rel_type, strength, frequency, confidence FROM united""",
+}
+
+
+def united_query(name, run, sql, **views):
+    """Register a query over the nodes and the observed and inferred edges together, as they stand a week after the newest event."""
+    def call(spark, sf_dir):
+        n, e = B.load_graph(spark, sf_dir)
+        as_of = F.date_add(load_events(spark, sf_dir).agg(F.max("ts")).scalar(), 7)
+        return run(n, B.united_edges(e, B.inferred_edges(load_edges(spark, sf_dir), n, as_of)))
+
+    register(name, call, with_views(sql, **{**V.GRAPH, **EVENT_VIEWS, **INFERRED, **UNITED, **views}))
+
+
+united_query("bfs", lambda n, e: reached(n, e, "Supplier", 3).select("node_id", "label", "depth", "trust"), _OUT, **reach_views("Supplier", 3, "uadj"))
+united_query(
+    "united_relationships",
+    lambda n, e: G.orient(e.select("src", "dst", "rel_type", "strength", "confidence", "frequency", "valid_from", "valid_to")).where(F.col("rel_type") == B.INFERRED).join(
+        n.select(F.col("node_id").alias("dst"), "label", "name"), "dst").select("src", "dst", "label", "name", r(F.col("strength")).alias("strength"), "confidence", "frequency", "valid_from", "valid_to"),
+    """SELECT a.src, a.dst, label, name, round(strength, 6) AS strength, confidence, frequency, valid_from, valid_to
+       FROM (SELECT * FROM infer UNION ALL SELECT dst, src, rel_type, strength, frequency, confidence, valid_from, valid_to FROM infer) a JOIN nodes ON dst = node_id""",
+)
+
+
+def opened_paths(n, e):
+    """What inferred edges add: nodes nearer to a supplier with them than by observed edges alone, within three steps."""
+    me = n.where("label = 'Supplier'").join(e.where(F.col("rel_type") == B.INFERRED).select(F.col("src").alias("node_id")), "node_id", "left_semi").agg(F.min("node_id").alias("node_id"))
+    seen = G.reach(G.orient(e.where(F.col("rel_type") != B.INFERRED)), me, 3).select("node_id", F.col("depth").alias("observed_depth"))
+    both = G.reach(G.orient(e), me, 3).select("node_id", "depth", "trust")
+    d = both.join(seen, "node_id", "left").where(F.col("observed_depth").isNull() | (F.col("depth") < F.col("observed_depth")))
+    return d.join(n, "node_id").select("node_id", "label", "depth", "trust", "observed_depth")
+
+
+_ME = "SELECT min(node_id) AS node_id, 0 AS depth, CAST(1 AS DOUBLE) AS trust FROM nodes WHERE label = 'Supplier' AND node_id IN (SELECT src FROM infer)"
+united_query(
+    "opened_paths", opened_paths,
+    """SELECT node_id, label, b.depth, b.trust, o.depth AS observed_depth FROM bo b LEFT JOIN ob o USING (node_id) JOIN nodes USING (node_id)
+       WHERE o.depth IS NULL OR b.depth < o.depth""",
+    **{**reach_views("Supplier", 3, "uadj", "bo"), "bo0": _ME}, **{**reach_views("Supplier", 3, "adj", "ob"), "ob0": _ME},
+)
 graph_query(
     "dfs_deepest_first",
     lambda n, e: reached(n, e, "Product", 3).select("node_id", "label", "depth").orderBy(F.desc("depth"), "node_id").limit(100),
@@ -111,14 +170,19 @@ graph_query(
 def part_of_graph(n, e):
     """Components left when product and order-to-shipment links are taken away."""
     e = e.where("rel_type IN ('STORED_IN', 'DELIVERED_TO', 'SUPPLIES')")
-    n = n.where("label <> 'Order'")
-    c = G.connected_components(n, e)
+    c = G.connected_components(n.where("label <> 'Order'"), e)
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 _ROUNDS = 8
 graph_query(
-    "connected_components", part_of_graph,
+    "connected_components", lambda n, e: G.connected_components(n, e).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")),
+    "SELECT component, count(*) AS n_nodes FROM w8 GROUP BY component", w0="SELECT node_id, node_id AS component FROM nodes",
+    **{f"w{k}": f"""SELECT node_id, least(component, coalesce(m, component)) AS component FROM w{k - 1} LEFT JOIN (
+        SELECT src AS node_id, min(component) AS m FROM adj JOIN w{k - 1} ON dst = node_id GROUP BY src) USING (node_id)""" for k in range(1, 9)},
+)
+graph_query(
+    "connected_components_part", part_of_graph,
     f"SELECT component, count(*) AS n_nodes FROM c{_ROUNDS} GROUP BY component",
     cn="SELECT node_id FROM nodes WHERE label <> 'Order'",
     ca="SELECT src, dst FROM adj WHERE rel_type IN ('STORED_IN', 'DELIVERED_TO', 'SUPPLIES')",
@@ -255,10 +319,10 @@ graph_query(
 )
 graph_query(
     "relationship_weight_tiers",
-    lambda n, e: S.relationship_weights(e, pick(n, "Product"), n.where("label <> 'Order'").select("node_id", "label")),
+    lambda n, e: S.relationship_weights(e, pick(n, "Product"), n.select("node_id", "label")),
     f"""SELECT n.node_id, label, coalesce(direct, CASE WHEN depth = 2 THEN CAST(0.3 AS DOUBLE) END, CAST(0.1 AS DOUBLE)) AS rel_weight
         FROM nodes n LEFT JOIN (SELECT dst AS node_id, max(strength) AS direct FROM adj WHERE src = {PICK.format('Product')} GROUP BY dst) d
-          ON d.node_id = n.node_id LEFT JOIN rch ON rch.node_id = n.node_id WHERE label <> 'Order'""",
+          ON d.node_id = n.node_id LEFT JOIN rch ON rch.node_id = n.node_id""",
     **reach_views("Product", 2),
 )
 
@@ -306,15 +370,26 @@ def version_diff(n1, e1, n2, e2):
                       F.round(density("n2", "e2") - density("n1", "e1"), 12).alias("density_change"))
 
 
-def risk_factors(n, e):
-    """Risk figures of the nodes above 0.25 as labelled rows."""
-    d = n.select("node_id", "label", "risk").join(G.degrees(e), "node_id")
-    d = d.where("label <> 'Order'").select("node_id", F.col("risk").alias("overall_risk"), F.least(F.col("degree") / 15, F.lit(1.0)).alias("connectivity"))
-    d = d.unpivot("node_id", ["overall_risk", "connectivity"], "factor", "value").where("value > 0.25")
-    return d.select("node_id", "factor", r(F.col("value")).alias("value"), risk_label("value").alias("level"))
+def risk_factors(spark, sf_dir):
+    """Risk figures of the nodes above 0.25 as labelled rows: what each kind of node is measured by, and how connected it is."""
+    n, e = B.load_graph(spark, sf_dir)
+    d = B.named(order_lines(spark, sf_dir))
+    figures = (
+        (B.extract_suppliers(d), {"overall_risk": "risk_score", "late_delivery": "delay_rate", "supplier_delay": "delay_rate"}),
+        (B.extract_products(d), {"forecast_risk": "forecast_risk", "inventory_stress": "inventory_stress", "demand_volatility": "volatility"}),
+        (B.extract_warehouses(d), {"warehouse_risk": "risk", "inventory_stress": "stress"}), (B.extract_shipments(d), {"late_delivery": "late_rate"}),
+        (B.extract_orders(d), {"overall_risk": "risk_score"}),
+        (n.join(G.degrees(e), "node_id").withColumn("c", F.least(F.col("degree") / 15, F.lit(1.0))), {"connectivity": "c"}),
+    )
+    out = None
+    for table, names in figures:
+        rows = table.select("node_id", F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(c).cast("double").alias("value")) for k, c in names.items()])).alias("x")).select("node_id", "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out.where("value > 0.25").select("node_id", "factor", r(F.col("value")).alias("value"), risk_label("value").alias("level"))
 
 
-_FACTORS = """SELECT node_id, 'overall_risk' AS factor, risk AS v FROM nodes JOIN deg USING (node_id) WHERE label <> 'Order'
-  UNION ALL SELECT node_id, 'connectivity', least(degree / 15, 1.0) FROM nodes JOIN deg USING (node_id) WHERE label <> 'Order'"""
-graph_query("risk_factors", risk_factors,
-            f"SELECT node_id, factor, round(v, 6) AS value, {RISK.format(c='v')} AS level FROM f WHERE v > 0.25", f=_FACTORS)
+_FACTORS = " UNION ALL ".join(f"SELECT node_id, '{k}' AS factor, CAST({c} AS DOUBLE) AS v FROM {t}" for t, k, c in (
+    ("sup", "overall_risk", "risk_score"), ("sup", "late_delivery", "delay_rate"), ("sup", "supplier_delay", "delay_rate"), ("pro", "forecast_risk", "forecast_risk"),
+    ("pro", "inventory_stress", "inventory_stress"), ("pro", "demand_volatility", "volatility"), ("war", "warehouse_risk", "risk"), ("war", "inventory_stress", "stress"),
+    ("shi", "late_delivery", "late_rate"), ("ord", "overall_risk", "risk_score"), ("deg JOIN nodes USING (node_id)", "connectivity", "least(degree / 15, 1.0)")))
+register("risk_factors", risk_factors, with_views(f"SELECT node_id, factor, round(v, 6) AS value, {RISK.format(c='v')} AS level FROM f WHERE v > 0.25", **{**V.GRAPH, "f": _FACTORS}))

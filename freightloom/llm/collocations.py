@@ -16,6 +16,7 @@ columns are ignored. An empty table gives no rows. Ties are settled to the end:
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from freightloom.llm.common import documents, kept_table, mix, prefix_hash, substring_hash
 
-BLOCK = 3_000_000  # words of a task's open blocks together, about 19 MB of text; a longer piece makes a longer block
+BLOCK = 1_000_000  # words of a task's open blocks together, about 6 MB of text; a longer piece makes a longer block
 HASH_BITS = 48  # of the hashes that phrases meet by; fewer bits are fewer bytes to shuffle, and equal hashes of different phrases only let more occurrences stay
 STRETCH = 1 << 20  # bytes of a text handled at once
 _TABLE = bytearray(range(256))
@@ -60,7 +61,7 @@ def pack(numbers: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     size = 4 * int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size, "zstd"), "<i4").astype(np.int64)
+    return np.frombuffer(pa.decompress(memoryview(data)[8:], size, "zstd"), "<i4")
 
 
 BLOCK_SCHEMA = "block long, lang string, words binary, places binary, starts binary"
@@ -68,7 +69,7 @@ _BLOCK_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
 
 
 def _block_row(block: int, lang: str, words: bytes, places: np.ndarray, starts: np.ndarray) -> list:
-    return [block, lang, words, pack(places), pack(np.diff(starts, prepend=0))]
+    return [block, lang, words, pack(places), pack(np.diff(starts, prepend=np.int32(0)))]
 
 
 def word_relation(docs: DataFrame) -> DataFrame:
@@ -77,13 +78,13 @@ def word_relation(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held = TaskContext.get().partitionId() << 12, 0
-        blocks: dict[str, tuple[dict, list]] = {}
+        blocks: dict[str, tuple[dict, array]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made
             for lang, (ids, places) in blocks.items():
-                where = np.array(places, np.int32)
-                row = _block_row(made, lang, b" ".join(ids), where, np.flatnonzero(where >= 0))
+                where = np.frombuffer(places, np.int32)
+                row = _block_row(made, lang, b" ".join(ids), where, np.flatnonzero(where >= 0).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _BLOCK_KINDS, strict=True)], ["block", "lang", "words", "places", "starts"])
                 made += 1
             blocks.clear()
@@ -98,9 +99,9 @@ def word_relation(docs: DataFrame) -> DataFrame:
                     if name not in blocks:
                         ids: dict = defaultdict()
                         ids.default_factory = ids.__len__
-                        blocks[name] = (ids, [])
+                        blocks[name] = (ids, array("i"))
                     ids, places = blocks[name]
-                    places += [ids[w] for w in words]
+                    places.extend([ids[w] for w in words])
                     places.append(-1)
                     held += len(words)
                     if held >= BLOCK:
@@ -132,9 +133,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """block, lang, words, places, starts of each row, and its array of hashes if it has one."""
     for b in batches:
         for k in range(b.num_rows):
-            row = [b.column(c)[k].as_py() for c in ("block", "lang", "words", "places", "starts")]
+            block, lang, words, places, starts = (b.column(c)[k].as_py() for c in ("block", "lang", "words", "places", "starts"))
             kept = b.column("kept")[k].values if "kept" in b.schema.names else None
-            yield (*row[:3], unpack(row[3]), np.cumsum(unpack(row[4])), None if kept is None else kept.to_numpy())
+            yield block, lang, words, unpack(places), np.cumsum(unpack(starts), dtype=np.int32), None if kept is None else kept.to_numpy()
 
 
 def frequent_in(relation: DataFrame, length: int, least: int) -> DataFrame:
@@ -176,7 +177,9 @@ def group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
         for _, lang, words, places, starts, _ in _blocks(batches):
             text = words.split(b" ")
             if length <= 3 and len(text) < 1 << 20:  # three numbers of words fit in one key
-                key = sum((places[starts + k] << (20 * (length - 1 - k)) for k in range(length)), np.zeros(len(starts), np.int64))
+                key = np.zeros(len(starts), np.int64)
+                for k in range(length):
+                    key = (key << 20) | places[starts + k]
                 found, n = np.unique(key, return_counts=True)
                 found = np.stack([(found >> (20 * (length - 1 - k))) & ((1 << 20) - 1) for k in range(length)], 1)
             else:

@@ -8,7 +8,7 @@ from freightloom.operators import features as X
 from freightloom.operators.analytics import r
 from freightloom.operators.ordered import bottom_k, with_position
 from freightloom.plans.registry import over_items, over_lines
-from freightloom.plans.views import ORDER_BY
+from freightloom.plans.views import ORDER_BY, since, since_sql
 from freightloom.sources import TOTAL_ORDER
 
 KEY = ["order_id", "line_no", "product_id", "supplier_id", "l_shipdate"]
@@ -151,12 +151,11 @@ feature(
     "stressed",
     frames=FRAMES, stressed=f"SELECT *, greatest(least(qty / {SAFE14}, 3.0), 0.0) AS isi FROM frames",
 )
-CUT = "2001-05-01"
 feature(
     "anchored_features",
-    lambda d: X.anchored_features(d.where(F.col("order_date") < CUT), d.where(F.col("order_date") >= CUT)),
+    lambda d: X.anchored_features(d.where(F.col("order_date") < since(d, 3)), d.where(F.col("order_date") >= since(d, 3))),
     "category region qty", ["qty_roll_7", "qty_roll_30", "demand_volatility"],
-    ["m7", "m30", f"greatest(least(s30 / {SAFE30}, 5.0), 0.0)"], f"frames WHERE order_date >= '{CUT}'", frames=FRAMES,
+    ["m7", "m30", f"greatest(least(s30 / {SAFE30}, 5.0), 0.0)"], f"frames WHERE order_date >= {since_sql(3)}", frames=FRAMES,
 )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from freightloom.operators import graph_build as B
 from freightloom.operators.analytics import r
-from freightloom.operators.forecasts import matched_cells
+from freightloom.operators.forecasts import monthly_cells
 from freightloom.operators.quality import dedup_keep_last
 from freightloom.plans import graph_views as V
 from freightloom.plans.evaluate import SCORED, load_scores
@@ -14,25 +14,31 @@ from freightloom.plans.patterns import BASE as EVENT_VIEWS
 from freightloom.plans.patterns import COLS as EVENT_COLS
 from freightloom.operators import patterns as P
 from freightloom.plans.registry import over_items, register, with_views
-from freightloom.plans.views import CELLS
+from freightloom.plans.views import CELLS, RUNNING_SQL, running_month, since, since_sql
 
 KEY = ["order_id", "line_no", "product_id", "supplier_id", "l_shipdate"]
 KEYS = ", ".join(KEY)
-CUT = "2001-05-01"
+NEW_MONTHS = 3  # rows of the newest month and the three before it count as newly arrived
+CUT = since_sql(NEW_MONTHS)
 _MATCH = "order_id line_no product_id supplier_id l_shipdate order_date department ship_mode region late qty"
 
 
+def new_rows(d):
+    return d.where(F.col("order_date") >= since(d, NEW_MONTHS))
+
+
+def old_rows(d):
+    return d.where(F.col("order_date") < since(d, NEW_MONTHS))
+
+
 def anchors(history):
-    """Forecast anchors (entity type, id, value) from the rows before the cut; an entity needs a minimum of rows."""
+    """Forecast anchors (entity type, id, value) from the rows of the month before the cut."""
     keys = F.explode(F.array(
         F.struct(F.lit("Product").alias("t"), F.col("product_id").cast("string").alias("i"), F.col("qty").alias("v")),
         F.struct(F.lit("Supplier").alias("t"), F.col("department").alias("i"), F.col("late").cast("double").alias("v")),
         F.struct(F.lit("Route").alias("t"), F.concat_ws("|", "ship_mode", "region").alias("i"), F.col("late").cast("double").alias("v")),
     ))
-    g = history.select(keys.alias("k")).groupBy(F.col("k.t").alias("entity_type"), F.col("k.i").alias("entity_id")).agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("k.v")).alias("predicted"))
-    least = F.when(F.col("entity_type") == "Product", 32).when(F.col("entity_type") == "Supplier", 600).otherwise(2350)
-    return g.where(F.col("n") >= least).drop("n")
+    return history.select(keys.alias("k")).groupBy(F.col("k.t").alias("entity_type"), F.col("k.i").alias("entity_id")).agg(r(F.avg("k.v")).alias("predicted"))
 
 
 def match_exact(rows, forecast):
@@ -49,27 +55,29 @@ def match_exact(rows, forecast):
 _UNION = """SELECT {c} 'Product' AS entity_type, CAST(product_id AS VARCHAR) AS entity_id, qty AS v FROM {t}
  UNION ALL SELECT {c} 'Supplier', department, late FROM {t} UNION ALL SELECT {c} 'Route', ship_mode || '|' || region, late FROM {t}"""
 ANCHORS = {
-    "hist": f"SELECT * FROM oi WHERE order_date < '{CUT}'", "fresh": f"SELECT * FROM oi WHERE order_date >= '{CUT}'",
-    "anc": f"""SELECT entity_type, entity_id, round(avg(v), 6) AS predicted FROM ({_UNION.format(c='', t='hist')}) GROUP BY entity_type, entity_id
-      HAVING count(*) >= CASE entity_type WHEN 'Product' THEN 32 WHEN 'Supplier' THEN 600 ELSE 2350 END""",
+    "hist": f"SELECT * FROM oi WHERE order_date < {CUT} AND order_date >= {since_sql(NEW_MONTHS + 1)}", "fresh": f"SELECT * FROM oi WHERE order_date >= {CUT}",
+    "anc": f"SELECT entity_type, entity_id, round(avg(v), 6) AS predicted FROM ({_UNION.format(c='', t='hist')}) GROUP BY entity_type, entity_id",
     "mt": f"SELECT {KEYS}, entity_type, entity_id, predicted FROM ({_UNION.format(c=KEYS + ',', t='fresh')}) JOIN anc USING (entity_type, entity_id)",
 }
 
 
 def _matched(d):
-    return match_exact(d.where(F.col("order_date") >= CUT), anchors(d.where(F.col("order_date") < CUT)))
+    return match_exact(new_rows(d), anchors(old_rows(d).where(F.col("order_date") >= since(d, NEW_MONTHS + 1))))
 
 
 over_items("match_forecast_exact", lambda d: _matched(d).select(*KEY, "entity_type", "entity_id", "predicted"), _MATCH, "SELECT * FROM mt", **ANCHORS)
-over_items("except_unmatched", lambda d: d.where(F.col("order_date") >= CUT).join(_matched(d).select(*KEY).distinct(), KEY, "left_anti").select(*KEY),
-           _MATCH, f"SELECT {KEYS} FROM fresh EXCEPT ALL SELECT DISTINCT {KEYS} FROM mt", **ANCHORS)
+# New rows whose product had no forecast.
+over_items("except_unmatched", lambda d: new_rows(d).join(_matched(d).where("entity_type = 'Product'").select(*KEY).distinct(), KEY, "left_anti").select(*KEY),
+           _MATCH, f"SELECT {KEYS} FROM fresh EXCEPT ALL SELECT DISTINCT {KEYS} FROM mt WHERE entity_type = 'Product'", **ANCHORS)
 
 
 def compare_category_region(d):
-    """Forecast cells of the newest complete month against uploaded actuals; a cell without actuals gets an even share of the uploaded total."""
-    running = d.agg(F.date_format(F.date_add(F.max("order_date"), 1), "yyyy-MM")).scalar()
-    cells = matched_cells(d).where(F.col("period") == d.where(F.col("period") < running).agg(F.max("period")).scalar())
-    uploaded = cells.where("orders >= 25").select("category", "region", "actual")
+    """Forecast cells (the mean of the last three complete months) against what the running month has uploaded; a cell without actuals gets an even share of the uploaded total."""
+    running = running_month(d)
+    first = F.date_format(F.add_months(F.to_date(F.concat(running, F.lit("-01"))), -3), "yyyy-MM")
+    months = monthly_cells(d)
+    cells = months.where((F.col("period") < running) & (F.col("period") >= first)).groupBy("category", "region").agg(F.avg("actual").alias("forecast"), F.count(F.lit(1)).alias("n")).where("n = 3")
+    uploaded = months.where(F.col("period") == running).select("category", "region", "actual").join(cells, ["category", "region"], "left_semi")
     share = uploaded.agg(F.sum("actual")).scalar() / cells.agg(F.count(F.lit(1))).scalar()
     c = cells.select("category", "region", "forecast").join(uploaded, ["category", "region"], "left")
     act = F.coalesce("actual", share)
@@ -79,7 +87,9 @@ def compare_category_region(d):
 
 over_items(
     "compare_category_region", compare_category_region, "category region period qty late sales order_date",
-    """, c AS (SELECT * FROM cells WHERE forecast IS NOT NULL AND period = (SELECT max(period) FROM oi WHERE period < (SELECT strftime(max(order_date) + INTERVAL 1 DAY, '%Y-%m') FROM oi))), u AS (SELECT * FROM c WHERE orders >= 25)
+    f""", c AS (SELECT category, region, avg(actual) AS forecast FROM cells WHERE period < {RUNNING_SQL}
+           AND period >= (SELECT strftime(date_trunc('month', max(order_date) + INTERVAL 1 DAY) - INTERVAL 3 MONTH, '%Y-%m') FROM oi) GROUP BY category, region HAVING count(*) = 3),
+         u AS (SELECT category, region, actual FROM cells SEMI JOIN c USING (category, region) WHERE period = {RUNNING_SQL})
        SELECT c.category, c.region, round(c.forecast, 6) AS forecast, round(a, 6) AS actual, CASE WHEN u.actual IS NULL THEN 1 ELSE 0 END AS estimated,
          round((a - c.forecast) / c.forecast * 100, 4) AS variance_pct
        FROM c LEFT JOIN u ON c.category = u.category AND c.region = u.region,
@@ -126,7 +136,7 @@ over_items(
 
 def enrich(s):
     """Graph features per row from three lookups; a miss keeps the value known from earlier rows."""
-    sup = s.groupBy("department").agg((1 - F.avg("late")).alias("rel"), F.count(F.lit(1)).alias("n")).where("n >= 600").drop("n")
+    sup = s.groupBy("department").agg((1 - F.avg("late")).alias("rel"))
     reg = s.groupBy("region").agg(F.avg(F.least(F.col("qty") / F.greatest("p_qty30", F.lit(1.0)), F.lit(3.0))).alias("stress"))
     route = route_delays(s).select("ship_mode", "region", F.col("neighbour_delay").alias("delay"))
     d = s.join(sup, "department", "left").join(reg, "region", "left").join(route, ["ship_mode", "region"], "left")
@@ -137,7 +147,7 @@ def enrich(s):
 register(
     "enrich_lookup", lambda spark, sf_dir: enrich(load_scores(spark, sf_dir)),
     with_views(f"""SELECT {KEYS}, round(coalesce(rel, 1 - p_sup), 6) AS graph_supplier_reliability, round(stress, 6) AS graph_inventory_stress, delay AS graph_avg_shipping_delay
-        FROM scored LEFT JOIN (SELECT department, 1 - avg(late) AS rel FROM oi GROUP BY department HAVING count(*) >= 600) USING (department)
+        FROM scored LEFT JOIN (SELECT department, 1 - avg(late) AS rel FROM oi GROUP BY department) USING (department)
         LEFT JOIN (SELECT region, avg(least(qty / greatest(p_qty30, 1.0), 3.0)) AS stress FROM scored GROUP BY region) USING (region)
         LEFT JOIN (SELECT a.ship_mode, a.region, round(avg(b.own), 6) AS delay FROM g a JOIN g b ON (a.ship_mode = b.ship_mode) <> (a.region = b.region)
           GROUP BY a.ship_mode, a.region) USING (ship_mode, region)""",
@@ -154,7 +164,7 @@ def upsert(old, new, key):
 
 
 def node_upsert(d):
-    return upsert(B.extract_customers(d.where(F.col("order_date") < CUT)), B.extract_customers(d.where(F.col("order_date") >= CUT)), "node_id")
+    return upsert(B.extract_customers(old_rows(d)), B.extract_customers(new_rows(d)), "node_id")
 
 
 _CUS = V.CUSTOMERS.replace("FROM nm", "FROM {t}")
@@ -162,52 +172,54 @@ over_named(
     "node_upsert", node_upsert,
     """SELECT node_id, """ + ", ".join(f"coalesce(n.{c}, o.{c}) AS {c}" for c in ("customer_id", "segment", "region", "total_orders", "avg_order_value", "profit_margin")) + """,
        CASE WHEN o.customer_id IS NULL THEN 'created' WHEN n.customer_id IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL OUTER JOIN n USING (node_id)""",
-    a=f"SELECT * FROM nm WHERE order_date < '{CUT}'", b=f"SELECT * FROM nm WHERE order_date >= '{CUT}'", o=_CUS.format(t="a"), n=_CUS.format(t="b"),
+    a=f"SELECT * FROM nm WHERE order_date < {CUT}", b=f"SELECT * FROM nm WHERE order_date >= {CUT}", o=_CUS.format(t="a"), n=_CUS.format(t="b"),
 )
 
 
 def merge_master(d):
     """Old and new rows, the last one per item winning; new rows restate the sales of old ones."""
     old = d.withColumn("seq", F.lit(0))
-    new = d.where(F.col("order_date") >= CUT).withColumns({"seq": F.lit(1), "sales": F.col("sales") * 2})
+    new = new_rows(d).withColumns({"seq": F.lit(1), "sales": F.col("sales") * 2})
     order = ["seq", "l_shipdate", "product_id", "supplier_id"]
     return dedup_keep_last(old.unionByName(new), ["order_id", "line_no"], order).select("order_id", "line_no", "product_id", "sales", "seq")
 
 
 over_items(
     "merge_master", merge_master, "order_id line_no product_id supplier_id l_shipdate order_date sales",
-    f"""SELECT order_id, line_no, product_id, sales, seq FROM (SELECT *, 0 AS seq FROM oi UNION ALL SELECT * REPLACE (sales * 2 AS sales), 1 FROM oi WHERE order_date >= '{CUT}')
+    f"""SELECT order_id, line_no, product_id, sales, seq FROM (SELECT *, 0 AS seq FROM oi UNION ALL SELECT * REPLACE (sales * 2 AS sales), 1 FROM oi WHERE order_date >= {CUT})
         QUALIFY row_number() OVER (PARTITION BY order_id, line_no ORDER BY seq DESC, l_shipdate DESC, product_id DESC, supplier_id DESC) = 1""",
 )
-SCENARIOS = (("SCEN_1", 46.5, 0.14, 2.5), ("SCEN_2", 48.0, 0.10, 2.0), ("SCEN_3", 52.0, 0.08, 1.5), ("SCEN_4", 45.0, 0.38, 4.5))
-
-
-def scenario_scores(d, scenarios=SCENARIOS, volume=1000.0, unit_cost=45.0, lead_days=4.5):
-    """Score a parameter table of scenarios against the measured risk of every department and rank them."""
-    g = d.groupBy("department").agg(F.avg("late").alias("risk"))
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("scenario"), F.lit(c).alias("cost"), F.lit(x).alias("delay_risk"), F.lit(days).alias("lead")) for i, c, x, days in scenarios]))
-    d = g.select("department", "risk", table.alias("s")).select("department", "risk", "s.*")
-    cut = F.greatest(F.try_divide(F.col("risk") - F.col("delay_risk"), F.col("risk")) * 100, F.lit(0.0))
-    score = cut * 0.4 + F.greatest(lead_days - F.col("lead"), F.lit(0.0)) * 15.0 - (F.col("cost") - unit_cost) * volume / 1000.0 * 0.1
-    d = d.select("department", "scenario", r(cut, 8).alias("risk_reduction_pct"), r(score, 8).alias("score"))
+# Points for a percent of risk cut and for a day saved, and points lost for a unit of cost.
+RISK_POINTS, DAY_POINTS, COST_POINTS = 0.4, 15.0, 0.1
+
+
+def scenario_scores(d):
+    """What if a department sent everything by one shipping mode: every mode of the orders is a scenario, with the risk, lead time and unit cost its lines have had,
+    scored against the department's own and ranked. Modes and departments are both read off the table."""
+    figures = lambda key: d.groupBy(key).agg(F.avg("late").alias("risk"), F.avg("days_real").alias("lead"), F.try_divide(F.sum("sales"), F.sum("qty")).alias("cost"))
+    modes = figures("ship_mode").agg(F.collect_list(F.struct("ship_mode", "risk", "lead", "cost"))).scalar()  # a handful of rows: the modes
+    own = figures("department").withColumn("m", F.explode(modes))
+    cut = F.greatest(F.try_divide(F.col("risk") - F.col("m.risk"), F.col("risk")) * 100, F.lit(0.0))
+    score = cut * RISK_POINTS + F.greatest(F.col("lead") - F.col("m.lead"), F.lit(0.0)) * DAY_POINTS - (F.col("m.cost") - F.col("cost")) * COST_POINTS
+    scored = own.select("department", F.col("m.ship_mode").alias("scenario"), r(F.coalesce(cut, F.lit(0.0))).alias("risk_reduction_pct"), r(F.coalesce(score, F.lit(0.0))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("department").orderBy(F.desc("score"), "scenario"))
-    return d.withColumn("rank", rank)
+    return scored.withColumn("rank", rank)
 
 
 over_items(
-    "scenario_cross", scenario_scores, "department late",
-    """SELECT *, CAST(row_number() OVER (PARTITION BY department ORDER BY score DESC, scenario) AS INTEGER) AS rank FROM (
-         SELECT department, scenario, round(cut, 8) AS risk_reduction_pct,
-           round(cut * CAST(0.4 AS DOUBLE) + greatest(CAST(4.5 AS DOUBLE) - lead, 0.0) * 15 - (cost - 45) * 1000 / 1000 * CAST(0.1 AS DOUBLE), 8) AS score
-         FROM (SELECT *, greatest((risk - dr) / risk * 100, 0.0) AS cut FROM (SELECT department, avg(late) AS risk FROM oi GROUP BY department),
-           (VALUES ('SCEN_1', CAST(46.5 AS DOUBLE), CAST(0.14 AS DOUBLE), CAST(2.5 AS DOUBLE)), ('SCEN_2', 48.0, 0.10, 2.0), ('SCEN_3', 52.0, 0.08, 1.5), ('SCEN_4', 45.0, 0.38, 4.5)) s(scenario, cost, dr, lead)))""",
+    "scenario_cross", scenario_scores, "department ship_mode late days_real sales qty",
+    """, f AS (SELECT department, avg(late) AS risk, avg(days_real) AS lead, sum(sales) / sum(qty) AS cost FROM oi GROUP BY department),
+       m AS (SELECT ship_mode, avg(late) AS mr, avg(days_real) AS ml, sum(sales) / sum(qty) AS mc FROM oi GROUP BY ship_mode)
+       SELECT *, CAST(row_number() OVER (PARTITION BY department ORDER BY score DESC, scenario) AS INTEGER) AS rank FROM (
+         SELECT department, scenario, round(cut, 6) AS risk_reduction_pct, round(cut * CAST(0.4 AS DOUBLE) + greatest(lead - ml, 0.0) * 15 - (mc - cost) * CAST(0.1 AS DOUBLE), 6) AS score
+         FROM (SELECT *, ship_mode AS scenario, coalesce(greatest((risk - mr) / nullif(risk, 0) * 100, 0.0), 0.0) AS cut FROM f, m))""",
 )
 over_items(
     "union_history",
-    lambda d: d.where(F.col("order_date") < CUT).select("order_id", "line_no", "qty").unionByName(
-        d.where(F.col("order_date") >= CUT).select("line_no", "order_id", "qty", "late"), allowMissingColumns=True),
+    lambda d: old_rows(d).select("order_id", "line_no", "qty").unionByName(
+        new_rows(d).select("line_no", "order_id", "qty", "late"), allowMissingColumns=True),
     "order_id line_no qty late order_date",
-    f"""SELECT order_id, line_no, qty, CAST(NULL AS INTEGER) AS late FROM oi WHERE order_date < '{CUT}' UNION ALL SELECT order_id, line_no, qty, late FROM oi WHERE order_date >= '{CUT}'""",
+    f"""SELECT order_id, line_no, qty, CAST(NULL AS INTEGER) AS late FROM oi WHERE order_date < {CUT} UNION ALL SELECT order_id, line_no, qty, late FROM oi WHERE order_date >= {CUT}""",
 )
 over_items("distinct_anchor_keys", lambda d: d.select("ship_mode", "region", "department").distinct(), "ship_mode region department",
            "SELECT DISTINCT ship_mode, region, department FROM oi")

@@ -13,7 +13,7 @@ from freightloom.operators.analytics import r
 from freightloom.operators.forecasts import matched_cells, monthly_cells
 from freightloom.plans.features import KEY, KEYS, frame_sql, rate_sql
 from freightloom.plans.registry import over_items, register, with_views
-from freightloom.plans.views import CELLS, ORDER_BY
+from freightloom.plans.views import CELLS, ORDER_BY, cells_sql
 from freightloom.session import stored_table
 from freightloom.sources import TOTAL_ORDER, order_lines
 
@@ -178,7 +178,7 @@ over_scores(
         FROM (SELECT category, region, count(*) AS n, avg(least(abs(p_qty - p_qty30) / greatest(p_qty30, 1.0), 1.0)) AS dr, avg(p_sup) AS sr, avg(p_route) AS lr
           FROM scored WHERE period = (SELECT max(period) FROM scored) GROUP BY category, region)""",
 )
-_MC = "category region period qty late sales"
+_MC = "category region department city period qty late sales"
 over_items(
     "deviation_metrics", lambda d: E.deviation_metrics(matched_cells(d), "actual", "forecast"), _MC,
     """SELECT count(*) AS n, round(avg(p), 6) AS mape, round(sqrt(avg((actual - forecast) * (actual - forecast))) / (max(actual) - min(actual)), 6) AS nrmse,
@@ -240,19 +240,26 @@ SELECT agent || '|' || category || '|' || region || '|' || period AS record_id,
   greatest(1 - abs(prediction - actual) / greatest(abs(actual), 1.0), 0.0) AS accuracy FROM (
   SELECT 'demand' AS agent, category, region, period, forecast AS prediction, actual, 1 - 1 / sqrt(orders + 1) AS confidence FROM cells WHERE forecast IS NOT NULL
   UNION ALL SELECT 'logistics', category, region, period, p_late, late_rate, 1 - 1 / sqrt(orders + 1) FROM (
-    SELECT *, avg(late_rate) OVER (PARTITION BY category, region ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS p_late FROM cells) WHERE forecast IS NOT NULL)"""
+    SELECT *, avg(late_rate) OVER (PARTITION BY category, region ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS p_late FROM cells) WHERE forecast IS NOT NULL
+  UNION ALL SELECT 'supplier', department, '', period, p_late, late_rate, 1 - 1 / sqrt(orders + 1) FROM (
+    SELECT *, avg(late_rate) OVER (PARTITION BY department ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS p_late FROM (""" + cells_sql("department") + """)) WHERE forecast IS NOT NULL
+  UNION ALL SELECT 'inventory', city, '', period, forecast, actual, 1 - 1 / sqrt(orders + 1) FROM (""" + cells_sql("city") + """) WHERE forecast IS NOT NULL)"""
 
 
 def agent_memory(d):
     """Prediction history rows: record_id, agent, category, region, period, prediction, actual, confidence, accuracy."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("category", "region").orderBy("period").rowsBetween(-3, -1)
-    c = monthly_cells(d).withColumn("p_late", F.avg("late_rate").over(w)).where("forecast IS NOT NULL")
-    kinds = F.array(
-        F.struct(F.lit("demand").alias("agent"), F.col("forecast").alias("prediction"), F.col("actual").alias("actual")),
-        F.struct(F.lit("logistics").alias("agent"), F.col("p_late").alias("prediction"), F.col("late_rate").alias("actual")))
-    m = c.select("category", "region", "period", (1 - 1 / F.sqrt(F.col("orders") + 1)).alias("confidence"), F.explode(kinds).alias("k")).select("*", "k.*").drop("k")
+    def told(keys, *agents):
+        """Rows of agents that forecast the next month of a key by the mean of its last three."""
+        w = Window.partitionBy(*keys).orderBy("period").rowsBetween(-3, -1)
+        c = monthly_cells(d, keys).withColumn("p_late", F.avg("late_rate").over(w)).where("forecast IS NOT NULL")
+        kinds = F.array(*[F.struct(F.lit(a).alias("agent"), F.col(p).alias("prediction"), F.col(y).cast("double").alias("actual")) for a, p, y in agents])
+        ids = [F.col(k).alias(n) for k, n in zip(keys, ("category", "region"), strict=False)] + ([F.lit("").alias("region")] if len(keys) == 1 else [])
+        return c.select(*ids, "period", (1 - 1 / F.sqrt(F.col("orders") + 1)).alias("confidence"), F.explode(kinds).alias("k")).select("*", "k.*").drop("k")
+
+    m = told(("category", "region"), ("demand", "forecast", "actual"), ("logistics", "p_late", "late_rate"))
+    m = m.unionByName(told(("department",), ("supplier", "p_late", "late_rate"))).unionByName(told(("city",), ("inventory", "forecast", "actual")))
     return record_accuracy(m).withColumn("record_id", F.concat_ws("|", "agent", "category", "region", "period"))
 
 
@@ -311,11 +318,12 @@ over_memory(
     """, g AS (SELECT agent, avg(accuracy) AS s FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY period DESC, record_id) AS rn FROM memory) WHERE rn <= 100 GROUP BY agent)
        SELECT agent, round(s, 6) AS mean_score, round(s / (SELECT sum(s) FROM g), 6) AS weight FROM g""",
 )
-_WEIGHTS = {"demand": 0.35, "logistics": 0.65}
+# Weight of each agent before its accuracy is known.
+_WEIGHTS = {"demand": 0.30, "supplier": 0.35, "inventory": 0.20, "logistics": 0.15}
 over_memory(
     "consensus_weighting",
     lambda m: E.consensus(m.groupBy("agent").agg(F.avg("accuracy").alias("accuracy"), F.avg("confidence").alias("confidence"), (1 - F.avg("accuracy")).alias("risk")), _WEIGHTS),
-    """, a AS (SELECT agent, (CASE agent WHEN 'demand' THEN CAST(0.35 AS DOUBLE) ELSE CAST(0.65 AS DOUBLE) END) * avg(accuracy) * avg(confidence) AS e, 1 - avg(accuracy) AS k FROM memory GROUP BY agent)
+    """, a AS (SELECT agent, (CASE agent WHEN 'demand' THEN CAST(0.30 AS DOUBLE) WHEN 'supplier' THEN 0.35 WHEN 'inventory' THEN 0.20 ELSE 0.15 END) * avg(accuracy) * avg(confidence) AS e, 1 - avg(accuracy) AS k FROM memory GROUP BY agent)
        SELECT agent, round(e, 6) AS effective, round(e / (SELECT sum(e) FROM a), 6) AS weight, round(k, 6) AS risk, round((SELECT sum(e * k) / sum(e) FROM a), 6) AS overall_risk FROM a""",
 )
 over_memory(

@@ -249,13 +249,27 @@ over_edges(
     lambda d, e: d.groupBy("action").agg(F.count(F.lit(1)).alias("n"), r(F.avg("weight")).alias("avg_weight")),
     "SELECT action, count(*) AS n, round(avg(weight), 6) AS avg_weight FROM ed GROUP BY action",
 )
-over_edges(
-    "evolution_report",
-    lambda d, e: d.groupBy("source_type", "target_type").agg(
+
+
+def evolution_report(d, e):
+    """Per pair of entity types: edges created, strengthened, left as they were and promoted in the cycle, and decayed and removed in the pass after it."""
+    types = ["source_type", "target_type"]
+    cycle = d.groupBy(*types).agg(
         F.count_if(F.col("action") == "edge_created").alias("created"), F.count_if(F.col("action") == "edge_strengthened").alias("strengthened"),
-        F.count_if(F.col("action") == "unchanged").alias("unchanged"), r(F.max("weight")).alias("top_weight")),
+        F.count_if(F.col("action") == "unchanged").alias("unchanged"), F.sum("is_stable").alias("promoted"), r(F.max("weight")).alias("top_weight"))
+    later = decayed(d, e).groupBy(*types).agg(F.count_if(F.col("action") == "edge_decayed").alias("decayed"), F.count_if(F.col("action") == "edge_removed").alias("removed"))
+    return cycle.join(later, types)
+
+
+over_edges(
+    "evolution_report", evolution_report,
     """SELECT source_type, target_type, count(*) FILTER (action = 'edge_created') AS created, count(*) FILTER (action = 'edge_strengthened') AS strengthened,
-       count(*) FILTER (action = 'unchanged') AS unchanged, round(max(weight), 6) AS top_weight FROM ed GROUP BY source_type, target_type""",
+       count(*) FILTER (action = 'unchanged') AS unchanged, CAST(sum(is_stable) AS BIGINT) AS promoted, round(max(weight), 6) AS top_weight,
+       count(*) FILTER (new_action = 'edge_decayed') AS decayed, count(*) FILTER (new_action = 'edge_removed') AS removed FROM dc GROUP BY source_type, target_type""", dc=DECAY,
+)
+over_edges(
+    "top_patterns", lambda d, e: d.select(*KEYS, "source_event", "target_event", "weight", "confidence", "frequency").orderBy(F.desc("weight"), F.desc("confidence"), *KEYS).limit(10),
+    f"SELECT {K}, source_event, target_event, weight, confidence, frequency FROM ed ORDER BY weight DESC, confidence DESC, {K} LIMIT 10",
 )
 _A = "source_event"
 VALID = f"""SELECT *, CASE WHEN source_event NOT IN ('SUPPLIER_DELAY', 'DEMAND_SPIKE', 'INVENTORY_DROP', 'LATE_DELIVERY') THEN 'unknown_source_event'

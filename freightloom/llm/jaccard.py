@@ -35,6 +35,7 @@ FREQUENT = 1 << 18
 OFTEN = 8
 WINDOW = 2_000_000
 PARITY = 512
+SLICE = 1 << 20  # text bytes turned into sets at once
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +75,7 @@ def _seen_together(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         size = 0
 
         def out() -> pa.RecordBatch:
@@ -82,12 +83,12 @@ def _seen_together(docs: DataFrame) -> DataFrame:
             keep = counts >= 3
             return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["token", "n"])
 
-        for part, data, offsets in text_chunks(batches):
+        for part, data, offsets in text_chunks(batches, SLICE):
             h, r = sets_of(data, offsets)
             fresh = np.zeros(part.num_rows, bool)
-            for k, pair in enumerate(zip(*[x.tolist() for x in _signatures(h, r, part.num_rows)], strict=True)):
-                if pair not in seen:
-                    seen.add(pair)
+            for k, (a, b) in enumerate(zip(*[x.tolist() for x in _signatures(h, r, part.num_rows)], strict=True)):
+                if (a << 64) ^ b not in seen:
+                    seen.add((a << 64) ^ b)
                     fresh[k] = True
             held.append(h[fresh[r]])
             size += len(held[-1])
@@ -99,26 +100,43 @@ def _seen_together(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, n long")
 
 
+def _prefix_size(n: np.ndarray, share: float) -> np.ndarray:
+    return np.where(n > 0, np.minimum(n, (share * (n - (4 * n + 4) // 5 + 1)).astype(np.int64)), 0)
+
+
+def _early(docs: DataFrame, share: float) -> DataFrame:
+    """token: the shingles that stand first by hash in each document, `share` times a prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in text_chunks(batches, SLICE):
+            h, r = sets_of(data, offsets)
+            n = np.bincount(r, minlength=part.num_rows)
+            keep = np.arange(len(h)) - (np.cumsum(n) - n)[r] < _prefix_size(n, share)[r]
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64))], ["token"])
+
+    return docs.select("text").mapInArrow(run, "token long")
+
+
 def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
     """The shingles seen most often, rarest first.
 
     Two counts: exact ones of those that stand first by hash in a document (half as many again as a prefix has), and, for the rest, sums
     over windows. What both miss costs time, never a link.
     """
-    early = prefixes(docs, np.zeros(0, np.uint64), 1.5).select(F.explode("prefix").alias("token"))
+    early = _early(docs, 1.5)
     exact = early.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
     near = _seen_together(docs).groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     rows = exact.unionByName(near).groupBy("token").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
     return rows.column("token").to_numpy()[::-1].copy().view(np.uint64)
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, share: float = 1.0) -> DataFrame:
-    """doc_id, n, s1, s2 (signature of the set), bits (of parity), prefix (`share` times its needed length)."""
+def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """doc_id, n, s1, s2 (signature of the set), bits (of parity), prefix."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_chunks(batches):
+        for part, data, offsets in text_chunks(batches, SLICE):
             h, r = sets_of(data, offsets)
             n = np.bincount(r, minlength=part.num_rows)
             s1, s2 = _signatures(h, r, part.num_rows)
@@ -130,7 +148,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, share: float = 1.0) -> DataF
                 by = np.lexsort((h, late, r))
                 h, r = h[by], r[by]
             place = np.arange(len(h)) - (np.cumsum(n) - n)[r]
-            size = np.where(n > 0, np.minimum(n, (share * (n - (4 * n + 4) // 5 + 1)).astype(np.int64)), 0)
+            size = _prefix_size(n, 1.0)
             keep = place < size[r]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -145,7 +163,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """rep, n, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_chunks(batches):
+        for part, data, offsets in text_chunks(batches, SLICE):
             h, r = sets_of(data, offsets)
             n = np.bincount(r, minlength=part.num_rows)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -278,7 +296,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one with the smallest doc_id. Rows with a null doc_id stay, repeated rows stay once."""
-    keep = linked(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id") == F.col("_keep"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """docs with one document of each class: the one with the smallest doc_id. Rows with a null doc_id stay, repeated rows stay once; of rows with one doc_id
+    and different texts all texts stay if the document does. doc_id has to be an integer."""
+    keep = linked(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("__kept_id"), "left_semi")
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))

@@ -63,18 +63,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return hashes[p[first]], p[first], s[first], s[last], r[first]
 
 
-PIECE = 8 << 20  # longer texts are anchored in pieces that overlap by length - 1
+SLICE = 1 << 20  # text bytes anchored at once; the arrays of a slice take about 120 bytes a byte
+PIECE = 1 << 20  # longer texts are anchored in pieces that overlap by length - 1
 BATCH = 1500 << 10  # bytes of contexts sorted together
 CROWD = 4096
 _SEED = 7  # symbols compared at once by the first sort
 
 
 def anchor_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """hash, ch (hash of the context), _id, _th, start, n: one row for each context. `_id` and `_th` name a text."""
+    """hash, ch (hash of the context), _repeats_id, _repeats_th, start, n: one row for each context. `_repeats_id` and `_repeats_th` name a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_chunks(batches):
-            ids, th = part.column("_id").to_numpy(zero_copy_only=False), part.column("_th").to_numpy(zero_copy_only=False)
+        for part, data, offsets in text_chunks(batches, SLICE):
+            ids, th = part.column("_repeats_id").to_numpy(zero_copy_only=False), part.column("_repeats_th").to_numpy(zero_copy_only=False)
             step = PIECE if part.num_rows == 1 and len(data) > PIECE + length else len(data)
             for at in range(0, max(len(data) - length + 1, 0), max(step, 1)):
                 piece = data[at : at + step + length - 1]
@@ -83,10 +84,10 @@ def anchor_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ch = substring_hash(prefix_hash(piece), first, last + length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(ids[row]), pa.array(th[row]), pa.array(first - offsets[row] + at), pa.array((last - first + 1).astype(np.int32))],
-                    ["hash", "ch", "_id", "_th", "start", "n"],
+                    ["hash", "ch", "_repeats_id", "_repeats_th", "start", "n"],
                 )
 
-    return docs.select("_id", "_th", "text").mapInArrow(run, "hash long, ch long, _id long, _th long, start long, n int")
+    return docs.select("_repeats_id", "_repeats_th", "text").mapInArrow(run, "hash long, ch long, _repeats_id long, _repeats_th long, start long, n int")
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,19 +241,19 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """_id, _th, spans (array of start, end): the bytes to remove, for texts that have some. docs: _id, _th, text."""
+    """_repeats_id, _repeats_th, spans (array of start, end): the bytes to remove, for texts that have some. docs: _repeats_id, _repeats_th, text."""
     found = kept_table(anchor_table(docs, length), "op9-anchors")
     again = kept_table(found.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash"), "op9-hashes")
     occurrences = kept_table(found.join(again, "hash"), "op9-again")
-    first = F.min(F.struct("_id", "_th", "start", "n")).alias("at")
+    first = F.min(F.struct("_repeats_id", "_repeats_th", "start", "n")).alias("at")
     distinct = kept_table(occurrences.groupBy("hash", "ch").agg(F.count(F.lit(1)).alias("weight"), first), "op9-contexts")
     variety = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("variety"))
     grouped = distinct.join(variety, "hash")
     alone = grouped.filter("variety = 1").select("hash", "ch", F.array(F.lit(0)).alias("lo"), F.array(F.col("at.n") - 1).alias("hi"))
-    asked = grouped.filter("variety > 1").select("hash", "ch", "weight", "variety", "at._id", "at._th", "at.start", "at.n")
-    texts = docs.select("_id", "_th", "text")
-    wanted = asked.groupBy("_id", "_th").agg(F.collect_list(F.struct("hash", "ch", "weight", "variety", "start", "n")).alias("asked"))
-    contexts = _cut(texts.join(wanted, ["_id", "_th"]), length)
+    asked = grouped.filter("variety > 1").select("hash", "ch", "weight", "variety", "at._repeats_id", "at._repeats_th", "at.start", "at.n")
+    texts = docs.select("_repeats_id", "_repeats_th", "text")
+    wanted = asked.groupBy("_repeats_id", "_repeats_th").agg(F.collect_list(F.struct("hash", "ch", "weight", "variety", "start", "n")).alias("asked"))
+    contexts = _cut(texts.join(wanted, ["_repeats_id", "_repeats_th"]), length)
     if variety.filter(F.col("variety") > crowd).limit(1).count():
         contexts = kept_table(contexts, "op9-cut")
         runs = alone.unionByName(_counted(contexts.filter(F.col("variety") > crowd).dropDuplicates(["hash", "ch"]), length))
@@ -260,8 +261,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     else:
         runs = alone
     runs = runs.unionByName(_search(contexts.repartition("hash").sortWithinPartitions("hash", "ch"), length))
-    spans = occurrences.join(runs, ["hash", "ch"]).select("_id", "_th", F.explode(F.arrays_zip("lo", "hi")).alias("x"), "start")
-    return spans.groupBy("_id", "_th").agg(F.collect_set(F.struct((F.col("start") + F.col("x.lo")).alias("a"), (F.col("start") + F.col("x.hi") + length).alias("b"))).alias("spans"))
+    spans = occurrences.join(runs, ["hash", "ch"]).select("_repeats_id", "_repeats_th", F.explode(F.arrays_zip("lo", "hi")).alias("x"), "start")
+    return spans.groupBy("_repeats_id", "_repeats_th").agg(F.collect_set(F.struct((F.col("start") + F.col("x.lo")).alias("a"), (F.col("start") + F.col("x.hi") + length).alias("b"))).alias("spans"))
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
@@ -282,8 +283,8 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """docs with _id and _th, which name a text."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64("text", F.length("text"))})
+    """docs with _repeats_id and _repeats_th, which name a text."""
+    return docs.withColumns({"_repeats_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_repeats_th": F.xxhash64("text", F.length("text"))})
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -297,10 +298,10 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """docs with _spans, null where nothing is to be removed."""
+    """docs with _repeats_spans, null where nothing is to be removed."""
     marked = named(docs)
-    found = repeated_spans(marked, length, crowd).withColumnRenamed("spans", "_spans")
-    return marked.join(found, ["_id", "_th"], "left").drop("_id", "_th")
+    found = repeated_spans(marked, length, crowd).withColumnRenamed("spans", "_repeats_spans")
+    return marked.join(found, ["_repeats_id", "_repeats_th"], "left").drop("_repeats_id", "_repeats_th")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -310,7 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, spans in zip(b.column("text"), b.column("_spans"), strict=True):
+            for text, spans in zip(b.column("text"), b.column("_repeats_spans"), strict=True):
                 t = text.as_py()
                 if t is not None and spans.as_py():
                     data, kept, at = t.encode(), [], 0
@@ -321,7 +322,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
-    cut = marked.select(*names, "_spans").mapInArrow(run, docs.schema)
+    cut = marked.select(*names, "_repeats_spans").mapInArrow(run, docs.schema)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
@@ -331,7 +332,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, spans in zip(b.column("text"), b.column("_spans"), strict=True):
+            for text, spans in zip(b.column("text"), b.column("_repeats_spans"), strict=True):
                 data, gone, kept, at = (text.as_py() or "").encode(), 0, hashlib.sha256(), 0
                 found = _union(spans.as_py() or [])
                 for x, y in found:
@@ -342,4 +343,4 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs).select("doc_id", "text", "_spans").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).select("doc_id", "text", "_repeats_spans").mapInArrow(run, f"doc_id {kind(docs, 'doc_id')}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -92,6 +92,12 @@ def counter(path: str) -> Counter:
     return Counter(unigram_pieces(path))
 
 
+def marked_words(text: str) -> list[str]:
+    """What stands behind each mark once spaces are marks: the library puts one before a text unless it starts with a space or the mark itself."""
+    text = text.replace(MARK, " ")
+    return (text[1:] if text[0] == " " else text).split(" ")
+
+
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens."""
     path = model
@@ -99,7 +105,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path).__getitem__
         for batch in batches:
-            counts = [sum(map(of, text.split(" "))) if (text := t.as_py()) else 0 for t in batch.column("text")]
+            counts = [sum(map(of, marked_words(text))) if (text := t.as_py()) else 0 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long")

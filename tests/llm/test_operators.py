@@ -85,7 +85,9 @@ def test_viterbi_counts_equal_library(docs, rows, empty):
     library = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
     library.pre_tokenizer = pre_tokenizers.Metaspace("▁", prepend_scheme="always", split=True)
     got = by_id(viterbi.token_counts(docs, PIECES))
-    assert all(got[i]["n_tokens"] == len(library.encode(t, add_special_tokens=False).ids) for i, t, *_ in rows if t and "▁" not in t and not re.search("^ |  | $", t))
+    assert all(got[i]["n_tokens"] == len(library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in rows)
+    for t in (" a", "  ", " ", "a ", "a  b", "▁a", "▁", "a▁b", " ▁", "▁ b", "   lead", "trail   "):
+        assert sum(map(viterbi.counter(PIECES).__getitem__, viterbi.marked_words(t))) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
     assert got[rows[-13][0]]["n_tokens"] >= 0 and viterbi.token_counts(empty, PIECES).count() == 0
 
 
@@ -174,7 +176,7 @@ def test_jaccard_join(docs, rows, empty, often, monkeypatch):
 @pytest.mark.parametrize("crowd", [4096, 1])
 def test_repeats(docs, rows, empty, crowd):
     count = collections.Counter(b[k : k + 400] for _, t, *_ in rows for b in [(t or "").encode()] for k in range(len(b) - 399))
-    got = {r["doc_id"]: r["_spans"] or [] for r in repeats.with_spans(docs, crowd=crowd).select("doc_id", "_spans").collect()}
+    got = {r["doc_id"]: r["_repeats_spans"] or [] for r in repeats.with_spans(docs, crowd=crowd).select("doc_id", "_repeats_spans").collect()}
     for i, t, *_ in rows:
         b = (t or "").encode()
         want = np.zeros(len(b), bool)
@@ -325,7 +327,7 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, long, "en"), (None, None, None), (5, long, "en"), (5, long, "en"), (7, "a b", None)], "doc_id long, text string, lang string")
     got = collections.Counter((r["doc_id"], r["component_id"]) for r in jaccard.linked(df).collect())
     assert got == {(None, 5): 1, (None, None): 1, (5, 5): 2, (7, 7): 1}
-    assert sum(r["_spans"] is not None for r in repeats.with_spans(df).collect()) == 3
+    assert sum(r["_repeats_spans"] is not None for r in repeats.with_spans(df).collect()) == 3
     assert simhash.with_next(df, 3).count() == 5 and rules.statistics(df).count() == 5
     assert bpe.round_trip(df, BYTE_BPE).count() == 5 and language.identify(df, language.prototypes(df)).count() == 5
     assert lm.score(df.withColumn("train", F.lit(True))).count() == 5
@@ -348,3 +350,20 @@ def test_components_extended_by_links(spark):
     label = jaccard.extended(None, spark.createDataFrame([(1, 2), (3, 2), (7, 8), (20, 21)], "a long, b long"))
     got = jaccard.extended(label, spark.createDataFrame([(8, 3), (9, 10), (21, 20), (10, 11)], "a long, b long")).collect()
     assert sorted((r["node"], r["label"]) for r in got) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (9, 9), (10, 9), (11, 9), (20, 20), (21, 20)]
+
+
+def test_helper_columns_do_not_clash(spark):
+    """Callers' columns named like helpers stay as they are."""
+    passage = " ".join(f"word{k}" for k in range(90))
+    rows = [(k, f"{k} start of text {passage} end {k}", "mine", "mine", "mine", "mine", "mine", "mine") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _th string, _spans string, _keep string, spans string, start string")
+    out = repeats.remove_repeats(df)
+    assert out.columns == df.columns and all(set(r[2:]) == {"mine"} and "word40" not in r["text"] for r in out.collect())
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and [tuple(r)[2:] for r in kept.collect()] == [("mine",) * 6]
+
+
+def test_one_doc_id_with_two_texts_keeps_both(spark):
+    texts = ["one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0])], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.one_of_each(df).collect()) == sorted([(1, texts[0]), (1, texts[1])])

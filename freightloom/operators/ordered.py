@@ -24,12 +24,15 @@ from freightloom.session import written
 CHUNK_ROWS = 65536
 
 
-def in_ranges(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[str], name: str, ranges: int | None = None) -> DataFrame:
     """df dealt into ranges of `order` of about equal row count, with the number of its range; ranges follow the order.
 
+    `ranges` fixes their number; by itself it follows the shuffle partitions, small ones put together.
+
     Bounds come from a sample, so the result has to be written before it is used twice. Rows equal in all of `order` stay together: end it with a key.
     """
-    return df.repartitionByRange(*order).withColumn(name, F.spark_partition_id())
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return dealt.withColumn(name, F.spark_partition_id())
 
 
 def ranked(df: DataFrame, order: Sequence[str], measures: dict[str, Column]) -> DataFrame:

@@ -455,6 +455,7 @@ over_forecasts(
     """SELECT entity_type, entity_id, period, alert, CASE WHEN alert = 'Late Delivery Risk' THEN 'Critical' ELSE 'High' END AS severity FROM (
          SELECT *, CASE WHEN entity_type = 'Product' AND predicted > 25.5 THEN 'Demand Spike'
            WHEN entity_type = 'Shipment' AND (risk_flag = 1 OR confidence < 0.65) THEN 'Late Delivery Risk'
-           WHEN entity_type = 'Supplier' AND (risk_flag = 1 OR confidence < 0.70) THEN 'Supplier Reliability Drop' END AS alert FROM fc) f
-       WHERE alert IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fc d WHERE d.predicted < 0.2 AND d.entity_type = f.entity_type AND d.entity_id = f.entity_id)""",
+           WHEN entity_type = 'Supplier' AND (risk_flag = 1 OR confidence < 0.70) THEN 'Supplier Reliability Drop' END AS alert,
+           min(predicted) OVER (PARTITION BY entity_type, entity_id) AS lowest FROM fc)
+       WHERE alert IS NOT NULL AND NOT lowest < 0.2""",
 )

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from freightloom.operators.ordered import fill_gaps, modes, quantiles, rolling, running_before, with_position
+from freightloom.operators.ordered import _between, bottom_k, fill_gaps, in_ranges, modes, quantiles, ranked, rolling, running_before, with_position
+from freightloom.session import written
 from freightloom.sources import TOTAL_ORDER
 
 KEYS, SEGMENT = ["category", "region"], ["order_date", "slot"]
@@ -64,8 +65,63 @@ def test_fill_gaps(lines, pdf):
 def test_quantiles_and_modes(spark):
     rows = [("a", float(v)) for v in [1, 1, 1, 2, 3, 10, 50]] + [("b", 4.0)] + [("c", None)]
     df = spark.createDataFrame(rows, "name string, value double")
-    got = {r["name"]: r for r in quantiles(df, "name", "value", [0.25, 0.5, 0.9], slots=4).collect()}
+    got = {r["name"]: r for r in quantiles(df, "name", "value", [0.25, 0.5, 0.9]).collect()}
     want = np.quantile([1, 1, 1, 2, 3, 10, 50], [0.25, 0.5, 0.9])
     assert np.allclose([got["a"].q0, got["a"].q1, got["a"].q2], want) and got["b"].q1 == 4.0 and "c" not in got
     ties = spark.createDataFrame([("x", "b"), ("x", "a"), ("x", None)], "name string, value string")
     assert modes(ties, "name", "value").first()["mode"] == "a"
+
+
+def task_sizes(df, key):
+    return np.sort([r["count"] for r in df.groupBy(key).count().collect()])
+
+
+def test_ranges_cut_a_crowded_day_with_rising_ids(spark):
+    """Half of the rows on one day, ids rising with time: pieces of about equal size, and positions that follow the order."""
+    rows = spark.range(40_000).select(F.when(F.col("id") < 20_000, 0).otherwise(F.col("id") % 50 + 1).alias("day"), F.col("id"))
+    cut = written(in_ranges(rows.repartition(8), ["day", "id"], "slot", 8), "test-ranges")
+    sizes = task_sizes(cut, "slot")
+    assert len(sizes) >= 4 and sizes[-1] <= 3 * np.median(sizes)
+    got = with_position(cut, [], ["day", "id"], ["day", "slot"]).toPandas().sort_values("pos")
+    assert (got.pos.values == np.arange(40_000)).all() and got[["day", "id"]].apply(tuple, axis=1).is_monotonic_increasing
+
+
+def test_ranked_over_crowded_scores(spark):
+    df = spark.range(5000).select((1 - 1 / (F.col("id") + 1)).alias("s"), (F.col("id") % 7).alias("n"))
+    got = ranked(df, ["s"], {"below": F.col("n")}).toPandas().sort_values("s")
+    assert (got.below.values == np.cumsum(got.n) - got.n).all()
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50, 3])
+def test_quantiles_of_a_long_tail_with_an_outlier(spark, accuracy):
+    """Bounds by rank: an outlier does not crowd the values into one place, and bounds that miss a rank are widened."""
+    rnd = np.random.default_rng(3)
+    values = [*rnd.lognormal(0, 3, 20_001).tolist(), 1e300, *[1.5] * 3000]
+    df = spark.createDataFrame([("x", v) for v in values] + [("y", float(v % 10)) for v in range(999)], "name string, value double").repartition(8)
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    got = {r["name"]: r for r in quantiles(df, "name", "value", probs, accuracy=accuracy).collect()}
+    for name, mine in (("x", values), ("y", [v % 10 for v in range(999)])):
+        assert np.allclose([got[name][f"q{i}"] for i in range(5)], np.quantile(mine, probs), rtol=1e-12), name
+
+
+def test_only_values_near_the_ranks_are_counted_one_by_one(spark):
+    df = spark.range(200_000).select(F.lit("x").alias("name"), F.exp(F.col("id") / 500).alias("value"))
+    b = spark.createDataFrame([("x", 200_000, [(float(np.exp(199.9)), float(np.exp(200.1)))])], "name string, n long, _b array<struct<lo: double, hi: double>>")
+    assert _between(df, "name", "value", b).count() < 200
+
+
+def test_bottom_k_takes_the_smallest_digests(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2900, "hot").otherwise(F.concat(F.lit("m"), F.col("id") % 9)).alias("month"))
+    digest = F.md5(F.col("id").cast("string").cast("binary"))
+    got = bottom_k(df, ["month"], F.lit(20), digest)
+    assert got.columns == ["id", "month"]
+    pdf = df.withColumn("d", digest).toPandas()
+    want = pdf.sort_values("d").groupby("month").head(20)
+    assert sorted(r["id"] for r in got.collect()) == sorted(want.id)
+
+
+def test_fill_gaps_across_many_segments_of_a_day(spark):
+    """A value is carried over whole segments without one."""
+    df = spark.range(400).select("id", (F.col("id") / 8).cast("int").alias("slot"), F.when(F.col("id").isin(13, 200), F.col("id")).alias("v"), F.lit(1).alias("day"))
+    got = [r["f"] for r in fill_gaps(df, ["day"], ["id"], ["slot"], "v", "f").orderBy("id").collect()]
+    assert got == [13] * 200 + [200] * 200

@@ -31,6 +31,7 @@ from freightloom.llm.common import documents, kept_table, mix, prefix_hash, subs
 
 BLOCK = 1_000_000  # words of a task's open blocks together, about 6 MB of text; a longer piece makes a longer block
 HASH_BITS = 48  # of the hashes that phrases meet by; fewer bits are fewer bytes to shuffle, and equal hashes of different phrases only let more occurrences stay
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 STRETCH = 1 << 20  # bytes of a text handled at once
 _TABLE = bytearray(range(256))
 _TABLE[65:91] = range(97, 123)
@@ -224,14 +225,21 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     a: occurrences of the phrase (`least` or more); l, r: those of its two parts at the lowest-scoring cut, the first such cut; n: words of the language;
     score: floor(10^6 a a / (l r)). A phrase goes if a longer candidate that holds it has at least half its occurrences.
     """
+    spark = docs.sparkSession
     relation = kept_table(word_relation(docs), "collocations-1")
-    words = relation.mapInArrow(_word_numbers, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = relation.select("lang", F.substring("starts", 1, 8).alias("starts")).mapInArrow(_word_numbers, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     counted: list[DataFrame] = []
-    for length in range(1, longest + 1):
-        relation = semi_join(relation, frequent_in(relation, length, least), length)
-        if length < longest:
-            relation = kept_table(relation, f"collocations-{length + 1}")
-        counted.append(kept_table(group_counts(relation, length, least), f"collocations-counts-{length}"))
+    # A row is a block of some MB, so a task may hold few of them at once.
+    batch = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, "2")
+    try:
+        for length in range(1, longest + 1):
+            relation = semi_join(relation, frequent_in(relation, length, least), length)
+            if length < longest:
+                relation = kept_table(relation, f"collocations-{length + 1}")
+            counted.append(kept_table(group_counts(relation, length, least), f"collocations-counts-{length}"))
+    finally:
+        spark.conf.set(BATCH, batch)
     candidates = reduce(DataFrame.unionByName, counted[1:])
     every = _weakest_cuts(candidates, reduce(DataFrame.unionByName, counted))
     if longest > 2:

@@ -109,11 +109,23 @@ register(
 )
 
 
+_CUT = """(SELECT min(order_date) FROM (SELECT order_date, sum(count(*)) OVER (ORDER BY order_date) AS u FROM oi GROUP BY order_date) WHERE u >= 0.8 * (SELECT count(*) FROM oi))"""
+
+
 @query("batch_predict")
 def batch_predict(spark, sf_dir):
     return scored_test(spark, sf_dir, "logistics").select(*KEY, r(F.col("p")).alias("probability"), (F.col("p") >= 0.5).cast("int").alias("predicted_late"), risk_label("p").alias("risk_level"))
 
 
+@query("batch_predict_bounds", sql=with_views(f"SELECT {KEYS}, 1 AS possible, 1 AS label_agrees FROM oi WHERE order_date >= {_CUT}"))
+def batch_predict_bounds(spark, sf_dir):
+    """The rows predicted, and for each whether its probability is one and its label and level follow from it."""
+    p = batch_predict(spark, sf_dir)
+    level = F.when(F.col("probability") >= 0.75, "critical").when(F.col("probability") >= 0.5, "high").when(F.col("probability") >= 0.25, "medium").otherwise("low")
+    agrees = (F.col("predicted_late") == (F.col("probability") >= 0.5).cast("int")) & (F.col("risk_level") == level)
+    return p.select(*KEY, F.col("probability").between(0, 1).cast("int").alias("possible"), agrees.cast("int").alias("label_agrees"))
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     d = None
@@ -139,9 +151,6 @@ def tautology_guard(spark, sf_dir):
     return a.unionByName(M.tautology_guard(frame(spark, sf_dir, "logistics"), "logistics"))
 
 
-_CUT = """(SELECT min(order_date) FROM (SELECT order_date, sum(count(*)) OVER (ORDER BY order_date) AS u FROM oi GROUP BY order_date) WHERE u >= 0.8 * (SELECT count(*) FROM oi))"""
-
-
 @query("model_checks", sql=with_views(f"""
     SELECT m AS model, count(*) AS test_rows, 1 AS within_bounds, 1 AS holds_against_trivial FROM oi, (VALUES ('demand'), ('supplier'), ('logistics')) t(m) WHERE order_date >= {_CUT} GROUP BY m"""))
 def model_checks(spark, sf_dir):

@@ -90,7 +90,12 @@ def stream_sliding_window(spark, sf_dir):
     return J.run_to_table(J.windowed_kpis(J.event_stream(spark, sf_dir), "ts", "1 day", "30 days", "1 day"), "sliding")
 
 
-@query("stream_sessions")
+@query("stream_sessions", sql="""
+SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events, max(n) AS longest FROM (
+  SELECT user_id, s, count(*) AS n, max(ts) + INTERVAL 6 HOUR AS until FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s)
+WHERE until <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY user_id""")
 def stream_sessions(spark, sf_dir):
     got = J.run_to_table(J.session_kpis(J.event_stream(spark, sf_dir), "ts", "1 day", "6 hours"), "sessions")
     return got.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("longest"))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from freightloom.llm.common import documents, kept_table, mix, prefix_hash, substring_hash
 
 BLOCK = 1_000_000  # words of a task's open blocks together, about 6 MB of text; a longer piece makes a longer block
+PART = 1 << 17  # phrases, or bytes of words, hashed at once
 HASH_BITS = 48  # of the hashes that phrases meet by; fewer bits are fewer bytes to shuffle, and equal hashes of different phrases only let more occurrences stay
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 STRETCH = 1 << 20  # bytes of a text handled at once
@@ -123,11 +124,22 @@ def _hashes(lang: str, words: bytes, places: np.ndarray, starts: np.ndarray, len
     data = np.frombuffer(words, np.uint8)
     ends = np.append(np.flatnonzero(data == 32), len(data))
     begins = np.append(0, ends[:-1] + 1)
-    of_word = substring_hash(prefix_hash(data), begins, ends)
-    acc = np.full(len(starts), int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"), np.uint64)
-    for k in range(length):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + of_word[places[starts + k]] + np.uint64(k + 1))
-    return (acc >> np.uint64(64 - HASH_BITS)).view(np.int64)
+    of_word = np.empty(len(ends), np.uint64)
+    at = 0
+    while at < len(ends):  # some words at a time, which keeps the arrays small
+        upto = max(at + 1, int(np.searchsorted(ends, begins[at] + PART, "right")))
+        part = prefix_hash(data[begins[at] : ends[upto - 1]])
+        of_word[at:upto] = substring_hash(part, begins[at:upto] - begins[at], ends[at:upto] - begins[at])
+        at = upto
+    salt = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    out = np.empty(len(starts), np.int64)
+    for at in range(0, len(starts), PART):
+        some = starts[at : at + PART]
+        acc = np.full(len(some), salt, np.uint64)
+        for k in range(length):
+            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + of_word[places[some + k]] + np.uint64(k + 1))
+        out[at : at + PART] = (acc >> np.uint64(64 - HASH_BITS)).view(np.int64)
+    return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -164,7 +176,9 @@ def semi_join(relation: DataFrame, frequent: DataFrame, length: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, lang, words, places, starts, kept in _blocks(batches):
             starts = _candidates(starts, length)
-            stays = starts[np.isin(_hashes(lang, words, places, starts, length), kept)]
+            kept = np.sort(kept)
+            h = _hashes(lang, words, places, starts, length)
+            stays = starts[kept[np.minimum(np.searchsorted(kept, h), len(kept) - 1)] == h]
             row = _block_row(block, lang, words, places, stays)
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _BLOCK_KINDS, strict=True)], ["block", "lang", "words", "places", "starts"])
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,15 +111,12 @@ class Fragments(dict):
     def __missing__(self, fragment: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids: list[int] = []
-        for word in self.split(self.lead + fragment):
-            ids += self.word(word.encode())
-        out = np.array(ids, "<u4").tobytes()
+        out = b"".join([self.word(word.encode()) for word in self.split(self.lead + fragment)])
         if len(fragment) < 100:
             self[fragment] = out
         return out
 
-    def word(self, word: bytes) -> list[int]:
+    def word(self, word: bytes) -> bytes:
         known = self.words.get(word)
         if known is not None:
             return known
@@ -128,11 +126,12 @@ class Fragments(dict):
                 ids += merged(word[start:i], self.v)
                 start = i
         ids += merged(word[start:], self.v)
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         if len(word) < 64:
-            self.words[word] = ids
-        return ids
+            self.words[word] = out
+        return out
 
 
 class Codec:

@@ -53,7 +53,11 @@ def load_model(spark, sf_dir, kind):
 
 
 def scored_test(spark, sf_dir, kind):
-    return M.predict(load_model(spark, sf_dir, kind), split(frame(spark, sf_dir, kind))[1], kind)
+    """The later rows with the model's prediction, scored once per application: the metrics read them several times."""
+    def make():
+        return M.predict(load_model(spark, sf_dir, kind), split(frame(spark, sf_dir, kind))[1], kind).drop("features", "rawPrediction", "probability", "prediction")
+
+    return stored_table(spark, f"scored_{kind}", sf_dir, make)
 
 
 for _kind in M.FEATURES:

@@ -66,9 +66,14 @@ def _matched(d):
 
 
 over_items("match_forecast_exact", lambda d: _matched(d).select(*KEY, "entity_type", "entity_id", "predicted"), _MATCH, "SELECT * FROM mt", **ANCHORS)
-# New rows whose product had no forecast.
-over_items("except_unmatched", lambda d: new_rows(d).join(_matched(d).where("entity_type = 'Product'").select(*KEY).distinct(), KEY, "left_anti").select(*KEY),
-           _MATCH, f"SELECT {KEYS} FROM fresh EXCEPT ALL SELECT DISTINCT {KEYS} FROM mt WHERE entity_type = 'Product'", **ANCHORS)
+
+
+def unmatched(d):
+    """New rows without a forecast anchor of any kind; the anchors come from all rows before the cut."""
+    return new_rows(d).join(match_exact(new_rows(d), anchors(old_rows(d))).select(*KEY).distinct(), KEY, "left_anti").select(*KEY)
+
+
+over_items("except_unmatched", unmatched, _MATCH, f"SELECT {KEYS} FROM fresh EXCEPT ALL SELECT DISTINCT {KEYS} FROM mt", **{**ANCHORS, "hist": f"SELECT * FROM oi WHERE order_date < {CUT}"})
 
 
 def compare_category_region(d):

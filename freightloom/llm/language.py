@@ -23,8 +23,8 @@ from freightloom.llm.common import documents, fold, kind, text_chunks
 
 WIDTH = 512
 CHUNK = 1 << 20
-SPREAD_TEXTS = 2_000  # texts of a language from which the spread of its scores is taken
-OPENINGS = (1, 2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64)  # words of such a text
+CHUNK_ROWS = 1_024  # short texts have many trigrams between them
+OPENINGS = (1, 2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64)  # words of the openings from which the spread of a language's scores is taken
 MAX_LANGUAGES = 10_000  # more values than that are no language codes
 
 
@@ -116,7 +116,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], width: int = WIDTH
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_chunks(batches, CHUNK):
+        for part, data, offsets in text_chunks(batches, CHUNK, rows=CHUNK_ROWS):
             pred, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
             if names:
                 counts, vectors, has = trigram_counts(data, offsets, width)
@@ -136,15 +136,13 @@ def size_class(text: Column) -> Column:
     return (F.floor(2 * F.log2(F.greatest(trigrams, F.lit(1)))) + 1).cast("int")
 
 
-def least_likeness(docs: DataFrame, learned: dict[str, np.ndarray], most: float, texts: int = SPREAD_TEXTS) -> DataFrame:
+def least_likeness(docs: DataFrame, learned: dict[str, np.ndarray], most: float) -> DataFrame:
     """lang, limits: for each size class the score below which text of that size is clearly not of the language, at most `most`.
 
-    The limit is four standard deviations below the mean score of openings of that size, taken from about `texts` texts of the language chosen by
-    a hash (a documented bound). A class with fewer than 30 openings has the limit of the next shorter one, or 0: scores grow with the size."""
-    known = docs.filter("lang is not null and text is not null").select("lang", "text")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = known.join(F.broadcast(sizes.limit(MAX_LANGUAGES)), "lang").filter(F.pmod(F.xxhash64("text", F.lit("spread")), F.lit(1_000_000)) * F.col("n") < F.lit(texts * 1_000_000))
-    words = chosen.select("lang", F.split(F.trim(F.substring("text", 1, 2_000)), r"\s+", OPENINGS[-1] + 1).alias("w"))
+    The limit is four standard deviations below the mean score of openings of that size, taken from all texts of the language. A class with
+    fewer than 30 openings has the limit of the next shorter one, or 0: scores grow with the size."""
+    known = docs.filter("lang is not null and text is not null")
+    words = known.select("lang", F.split(F.trim(F.substring("text", 1, 2_000)), r"\s+", OPENINGS[-1] + 1).alias("w"))
     cut = words.select("lang", "w", F.explode(F.array(*[F.lit(n) for n in OPENINGS])).alias("n")).filter("size(w) >= n")
     openings = cut.select("lang", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("text"))
     scored = identify(openings, learned).filter("lang_pred != 'und'").withColumn("size", size_class(F.col("text")))

@@ -125,3 +125,9 @@ def test_fill_gaps_across_many_segments_of_a_day(spark):
     df = spark.range(400).select("id", (F.col("id") / 8).cast("int").alias("slot"), F.when(F.col("id").isin(13, 200), F.col("id")).alias("v"), F.lit(1).alias("day"))
     got = [r["f"] for r in fill_gaps(df, ["day"], ["id"], ["slot"], "v", "f").orderBy("id").collect()]
     assert got == [13] * 200 + [200] * 200
+
+
+def test_fill_gaps_reads_no_frame_to_the_end(lines):
+    """A frame that ends with the partition is evaluated anew for each row."""
+    plan = fill_gaps(lines, [], TOTAL_ORDER, SEGMENT, "qty", "filled")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from freightloom.operators.ordered import _between, bottom_k, fill_gaps, in_ranges, modes, quantiles, ranked, rolling, running_before, with_position
+from freightloom.operators.ordered import _between, bottom_k, fill_gaps, in_ranges, modes, quantiles, ranked, rolling, running, running_before, with_position
 from freightloom.session import written
 from freightloom.sources import TOTAL_ORDER
 
@@ -127,6 +127,37 @@ def test_fill_gaps_across_many_segments_of_a_day(spark):
     assert got == [13] * 200 + [200] * 200
 
 
+@pytest.mark.parametrize("few, rows", [(10**9, 10**9), (0, 10**9), (0, 0)])
+def test_running_is_the_same_by_each_way(lines, pdf, monkeypatch, few, rows):
+    """Totals sent to all tasks, keys sorted whole, totals joined by a shuffle."""
+    from freightloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "FEW_GROUPS", few)
+    monkeypatch.setattr(ordered, "KEY_ROWS", rows)
+    sets = [(KEYS, {"s": F.col("qty"), "n": F.lit(1).cast("long")}), (["department", "ship_mode"], {"l": F.col("late")})] + ([([], {"whole": F.col("qty")})] if few else [])
+    got = by_line(running(lines, TOTAL_ORDER, SEGMENT, sets))
+    g, d = pdf.groupby(KEYS)["qty"], pdf.groupby(["department", "ship_mode"])["late"]
+    want = pd.DataFrame({"line_no": pdf.line_no, "s": g.cumsum() - pdf.qty, "n": g.cumcount(), "l": d.cumsum() - pdf.late, "whole": pdf.qty.cumsum() - pdf.qty}).set_index("line_no").sort_index()
+    assert len(got) == len(want) and all(np.allclose(got[c], want[c]) for c in want if c in got)
+    assert set(got.columns) >= {"s", "n", "l"}
+
+
+def test_partitions_follow_the_rows(spark, tmp_path, monkeypatch):
+    """A large table raises the number of shuffle partitions above the cores, and preparing the session again leaves it."""
+    from freightloom import session
+
+    monkeypatch.setattr(session, "_ROWS", {})
+    monkeypatch.setattr(session, "ROWS_A_PARTITION", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.range(2050).write.parquet(f"{tmp_path}/t")
+        session.sized(spark.read.parquet(f"{tmp_path}/t"), "t")
+        session.prepare(spark)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "21"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_fill_gaps_reads_no_frame_to_the_end(lines):
     """A frame that ends with the partition is evaluated anew for each row."""
     plan = fill_gaps(lines, [], TOTAL_ORDER, SEGMENT, "qty", "filled")._jdf.queryExecution().optimizedPlan().toString()

@@ -81,3 +81,46 @@ def test_names(spark):
         normalize_entity("x").alias("n"), slugify("x").alias("s"), node_id("Warehouse", "x").alias("i")).collect()
     assert (r[0].n, r[0].s, r[1].n) == ("New York City", "new_york_city", None)
     assert r[0].i == hashlib.md5(b"Warehouse: NEW_york  city ").hexdigest()[:12]
+
+
+def test_components_against_union_find(spark):
+    import random
+
+    rnd = random.Random(5)
+    ids = [f"{i:04d}" for i in range(400)]
+    rnd.shuffle(ids)
+    pairs = [(ids[i], ids[i + 1]) for i in range(0, 150)] + [tuple(rnd.sample(ids[160:], 2)) for _ in range(170)] + [(ids[200], ids[200]), (ids[399], "absent"), ("absent", ids[398])]
+    root = {x: x for x in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a in root and b in root:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    n, e = spark.createDataFrame([(i,) for i in ids], "node_id string"), spark.createDataFrame(pairs, "src string, dst string")
+    got = [(r.node_id, r.component) for r in G.connected_components(n, e).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in ids)
+
+
+def test_repeated_edges_do_not_change_paths(graph):
+    n, e = graph
+    twice = G.orient(e.unionByName(e))
+    once = G.orient(e)
+    for walk in (lambda a: G.shortest_paths(a, start(n, "a"), 4), lambda a: G.risky_paths(a, start(n, "d"), n.select("node_id", "risk"), 3)):
+        assert sorted(map(str, walk(twice).collect())) == sorted(map(str, walk(once).collect()))
+
+
+def test_marked_first_lines_are_those_found_by_sorting(spark, tmp_path):
+    from freightloom.operators import graph_build as B
+    from freightloom.sources import canonical
+
+    rows = [(o, 9 - i, i, 1, "2000-01-0%d" % (i + 1), float(i), "c%d" % i) for o in range(20) for i in range(o % 4 + 1)]
+    d = spark.createDataFrame(rows, "order_id long, line_no int, product_id long, supplier_id long, l_shipdate string, qty double, category string")
+    marked = canonical.with_first_lines(d)
+    key = lambda x: sorted((r.order_id, r.qty, r.category) for r in x.collect())
+    assert key(B.first_lines(marked)) == key(B.first_lines(d))
+    assert "SortAggregate" not in B.first_lines(marked)._jdf.queryExecution().toString()

@@ -162,3 +162,45 @@ def test_fill_gaps_reads_no_frame_to_the_end(lines):
     """A frame that ends with the partition is evaluated anew for each row."""
     plan = fill_gaps(lines, [], TOTAL_ORDER, SEGMENT, "qty", "filled")._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedfollowing" not in plan.lower()
+
+
+def laid(spark, lines, slots):
+    """The lines in buckets by ranges of their order."""
+    from freightloom.session import setting, stored_buckets
+    from freightloom.sources.canonical import in_slots
+
+    with setting(spark, "spark.sql.shuffle.partitions", "3"):
+        cut = in_slots(lines.drop("slot"), lines.select("order_date", "order_id"), slots)
+        return stored_buckets(spark, f"laid-{slots}", "test", "slot", lambda: cut)
+
+
+@pytest.mark.parametrize("slots", [1, 9])
+def test_laid_rows_are_rolled_and_summed_without_being_dealt(spark, lines, pdf, slots):
+    d = laid(spark, lines, slots)
+    # Ranges follow the order, and the crowded day is cut.
+    assert d.select("slot").distinct().count() >= min(slots, 5)
+    placed = [r.slot for r in d.orderBy(*TOTAL_ORDER).collect()]
+    assert placed == sorted(placed)
+    rolled = rolling(d, KEYS, TOTAL_ORDER, SEGMENT, 30, {
+        "m7": lambda s: F.avg("qty").over(s.rowsBetween(-7, -1)), "m30": lambda s: F.avg("qty").over(s.rowsBetween(-30, -1)), "lag30": lambda s: F.lag("qty", 30).over(s)}, laid=["slot"], values=["qty"])
+    got = by_line(rolled)
+    g = pdf.groupby(KEYS)["qty"]
+    want = pd.DataFrame({
+        "line_no": pdf.line_no, "m7": g.transform(lambda x: x.shift(1).rolling(7, min_periods=1).mean()),
+        "m30": g.transform(lambda x: x.shift(1).rolling(30, min_periods=1).mean()), "lag30": g.shift(30)}).set_index("line_no").sort_index()
+    assert len(got) == len(want)
+    for c in want:
+        assert np.allclose(got[c].astype(float), want[c], equal_nan=True), c
+    sets = [([], {"a": F.col("qty")}), (["department"], {"b": F.col("late")}, F.col("ship_mode") == "m"), (["department", "ship_mode"], {"c": F.lit(1).cast("long")})]
+    summed, dealt = by_line(running(d, TOTAL_ORDER, SEGMENT, sets, laid=["slot"])), by_line(running(d, TOTAL_ORDER, SEGMENT, sets))
+    for c in "abc":
+        assert np.allclose(summed[c], dealt[c]), c
+    with setting_of(spark):
+        plan = running(d, TOTAL_ORDER, SEGMENT, sets, laid=["slot"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(order_date" not in plan and "RepartitionByExpression" not in plan
+
+
+def setting_of(spark):
+    from freightloom.session import setting
+
+    return setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")

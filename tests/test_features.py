@@ -54,3 +54,22 @@ def test_anchored_features_equal_those_of_the_whole(lines):
     pick = lambda d: {r["line_no"]: (r["qty_roll_7"], r["demand_volatility"]) for r in d.collect()}
     whole = pick(X.demand_signals(X.demand_frames(lines)).where(F.col("order_date") >= F.lit(cut)))
     assert pick(X.anchored_features(old, new)) == whole and whole
+
+
+def test_network_columns_of_suppliers_by_hand(spark, lines):
+    from freightloom.operators import network_features as N
+
+    steps = spark.createDataFrame([], "a_entity_type string, a_entity_id string, b_entity_type string, b_entity_id string, b_ts date")
+    for slots in (1, 7):
+        d = lines.withColumns({"city": F.col("region"), "slot": F.floor(F.datediff("order_date", F.lit("2000-01-01").cast("date")) * slots / 61).cast("int")})
+        got = {r.line_no: r for r in N.with_network(d, steps, d, ["slot"]).collect()}
+        rows = d.withColumn("week", F.date_trunc("week", "order_date").cast("date")).collect()
+        assert len(got) == len(rows)
+        for r in rows[:80]:
+            before = [x for x in rows if x.week < r.week]
+            others = [x.late for x in before if x.category == r.category and x.department != r.department]
+            want = 1 - sum(others) / len(others) if others else 0.5
+            known = {x.category for x in before}
+            own = {x.category for x in before if x.department == r.department}
+            assert abs(got[r.line_no].graph_supplier_reliability - want) < 1e-9
+            assert abs(got[r.line_no].supplier_category_diversity - (len(own) / len(known) if known else 0.0)) < 1e-9

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from freightloom.operators.ordered import _between, bottom_k, fill_gaps, in_ranges, modes, quantiles, ranked, rolling, running, running_before, with_position
@@ -204,3 +205,26 @@ def setting_of(spark):
     from freightloom.session import setting
 
     return setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def test_a_task_gets_few_slots_and_small_partitions(spark):
+    from freightloom.session import prepare, stored_buckets
+
+    rows = spark.range(4000).withColumn("slot", (F.col("id") / 100).cast("int"))
+    d = stored_buckets(spark, "few-slots", "test", "slot", lambda: rows, lambda: 40)
+    placed = d.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("slot"))).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).collect()
+    assert sum(r["rows"] for r in placed) == 4000 and all(r["least"] == 100 for r in placed)
+    assert max(r["rows"] for r in placed) <= 500 and len(placed) > 20
+    # Partitions put together stay small enough to be sorted in memory.
+    assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_many_keys_in_a_range_are_rolled_without_copies(spark):
+    rows = spark.range(3000).select("id", F.pmod(F.xxhash64("id"), F.lit(400)).alias("k"), (F.col("id") / 300).cast("int").alias("slot"), (F.col("id") % 7).alias("v"))
+    rows = written(rows.unionByName(rows.where("id % 100 = 0")).unionByName(rows.limit(5).withColumn("k", F.lit(None).cast("long"))), "many-keys")
+    mean = lambda w: F.sum("v").over(w.rowsBetween(-30, -1))
+    got = rolling(rows, ["k"], ["id", "v"], ["slot"], 30, {"m": mean}, laid=["slot"], values=["v"])
+    want = rows.where("k is not null").withColumn("m", mean(Window.partitionBy("k").orderBy("id", "v")))
+    seen = lambda d: sorted((r["id"], r["k"], -1 if r["m"] is None else r["m"]) for r in d.select("id", "k", "m").collect())
+    assert seen(got) == seen(want)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row is copied

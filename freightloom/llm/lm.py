@@ -1,18 +1,20 @@
 """LM scoring: online logistic context mixing.
 
-A text is a sequence of words and an end. A word comes from the counts of the training words, or, with the share that Good and Turing's estimate leaves
-for unseen words, it is spelled bit by bit: several predictors look up the bit's odds under a hashed context (the last bytes, the place in
-the word), a mixer adds their log odds with weights chosen by a gate (how much the longest context has been seen), and a last table refines the mixed
-odds by what came true so far. Mixer and table learn online, word by word, each task on its own words, each word left out of its own counts;
-the tasks' weights are averaged and their tables added. Over the document, a second gate mixes classes of training documents (their lang, if there
-is such a column): each word shifts the weights of the classes. All parts are normalised, so the score is a log10 probability.
-
-How it runs: tasks turn slices of text into distinct words with counts, kept by hash bucket, and (word, document, count) postings, kept by slice. Buckets sum
-the words over all slices, spell them once, and send scores back to the slices that asked, where they are added per document. A frequent word
+A text is its words in order, each followed by a space, and an end mark. Every bit of it is predicted: several predictors look up the bit's odds under a
+hashed context (the last one to five bytes, across words, and the bytes of the word so far), a mixer adds their log odds with weights chosen by two gates
+(how much the longest context has been seen, and the bits so far in the byte), and a last table refines the mixed odds by what came true so far, with a
+share that grows where it predicted better. Mixer and table learn online, each task on its own training texts in small steps, each bit left out of its own
+counts; the tasks' weights are averaged and their tables added. All parts are normalised, so the score is a log10 probability.
+
+How it runs: three passes over the texts. The first counts bits by context in tables of hashed slots, whose number follows the size of the training texts
+(`SLOTS` to `MOST_SLOTS`; beyond, contexts share slots), the second learns online, the third scores. No context reaches back further than five bytes, so
+a byte with its contexts is one of few distinct values in a slice of text: each is worked out once and counted as often as it occurs.
+For the base, the third pass also turns slices into distinct words with counts, kept by hash bucket, and (word, document, count) postings, kept by slice.
+Buckets sum the words over all slices and send counts back to the slices that asked, where they are added per document. A frequent word
 is one entry per slice, so no bucket grows with it; the number of buckets follows the input's size.
 
-Null text is empty: an end alone. A null doc_id is a training document. Repeated rows count each time. Documents without lang teach no class.
-Without training documents all counts are 0. Long texts are a slice of their own. Other columns are ignored.
+Null text is empty: an end alone. A null doc_id is a training document. Repeated rows count each time. Without training documents all counts are 0.
+Long texts are a slice of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +28,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightloom.llm.common import LOWER, documents, fold, kept_table, kind, mix, prefix_hash, substring_hash, text_chunks, words_of
+from freightloom.llm.common import IS_SPACE, LOWER, documents, fold, kept_table, kind, mix, prefix_hash, substring_hash, text_chunks, words_of
 
 SLICE = 4 << 20
+SLICE_ROWS = 1 << 16  # a row's number in its slice takes 16 bits
 BUCKET_BYTES = 16 << 20  # text bytes to a bucket of words
-MAX_CLASSES = 8
-SLOTS = 1 << 18
-ORDERS = (1, 2, 3, 4)  # and one predictor of the place in the word with the last byte
+TASK_BYTES = 48 << 20  # text bytes to a task that learns
+SLOTS, MOST_SLOTS = 1 << 18, 1 << 20
+RANGE = 1 << 16  # slots whose counts are summed together
+ORDERS = (1, 2, 3, 4, 5)  # and one predictor of the bytes of the word so far
 PREDICTORS = len(ORDERS) + 1
+REACH = max(ORDERS)
+STEP = 2_000  # distinct bytes with contexts to a step of the online run
+BLOCK = 8_000  # and to a block that is scored
 GATES = 16
 CELLS = 24
 PRIOR = 0.4
+END = 10  # no byte of a word, nor the space after it
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -48,314 +56,325 @@ def unpack(b: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(_CODEC.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True), dtype)
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices start .. start + size - 1 of each stretch, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
-
-
-def gather(docs: DataFrame, classes: list[str], buckets: int) -> DataFrame:
-    """Rows of two kinds. bucket >= 0: part, hashes, lengths, bytes and class counts of the bucket's words in the slice. bucket = -1: the slice's documents and postings.
-
-    docs: doc_id, train, lang (null without), text.
-    """
-    k = len(classes) + 1  # the last one counts words of documents without a class
-    number = {c: i for i, c in enumerate(classes)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        part = (task.partitionId() if task else 0) << 24
-        for rows, raw, offsets in text_chunks(batches, SLICE):
-            data = LOWER[raw]
-            n = rows.num_rows
-            train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            cls = np.array([number.get(x, k - 1) for x in rows.column("lang").to_pylist()])
-            start, end, doc = words_of(data, offsets)
-            hashes, first, word = np.unique(substring_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
-            posting, count = np.unique(word.astype(np.int64) * n + doc, return_counts=True)
-            word, doc = posting // n, posting % n
-            counts = np.bincount(word * k + cls[doc], weights=np.where(train[doc], count, 0), minlength=len(hashes) * k).reshape(-1, k).astype(np.uint32)
-            size = (end - start)[first]
-            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in range(buckets):
-                x, y = cut[b], cut[b + 1]
-                if x < y:
-                    text = data[ragged(start[first[x:y]], size[x:y])]
-                    out.append((b, part, pack(hashes[x:y]), pack(size[x:y].astype(np.uint32)), pack(text), pack(counts[x:y])))
-            docs_of = pa.BufferOutputStream()
-            ids = pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("train")], ["doc_id", "train"])
-            with pa.ipc.new_stream(docs_of, ids.schema) as w:
-                w.write_batch(ids)
-            per_word = np.bincount(word, minlength=len(hashes)).astype(np.uint32)
-            out.append((-1, part, docs_of.getvalue().to_pybytes(), pack(per_word), pack(doc.astype(np.uint32)), pack(count.astype(np.uint32))))
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["bucket", "part", "a", "b", "c", "d"])
-            part += 1
-
-    return docs.mapInArrow(run, "bucket int, part long, a binary, b binary, c binary, d binary")
-
-
-def bucket_words(words: DataFrame, k: int) -> DataFrame:
-    """bucket, hashes, lengths, bytes, counts: each word of a bucket once, counts summed over the slices."""
-
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")
-        hashes, sizes = (np.concatenate([unpack(x, t) for x in rows[c]]) for c, t in (("a", "<u8"), ("b", "<u4")))
-        text = np.concatenate([unpack(x, "u1") for x in rows["c"]])
-        counts = np.concatenate([unpack(x, "<u4") for x in rows["d"]]).reshape(-1, k)
-        every, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.stack([np.bincount(at, weights=counts[:, j], minlength=len(every)) for j in range(k)], axis=1)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        size = sizes[first].astype(np.int64)
-        chars = text[ragged((ends - sizes)[first], size)]
-        return pd.DataFrame({"bucket": [int(rows["bucket"].iloc[0])], "a": [pack(every)], "b": [pack(size.astype("<u4"))], "c": [pack(chars)], "d": [pack(total.astype("<f8"))]})
-
-    return words.groupBy("bucket").applyInPandas(merged, "bucket int, a binary, b binary, c binary, d binary")
+def stream_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the rows' words, each with a space behind it, and their number by row."""
+    start, end, row = words_of(data, offsets)
+    after = np.cumsum(end - start + 1)
+    chars = np.full(int(after[-1]) if len(after) else 0, 32, np.uint8)
+    letter = np.ones(len(chars), bool)
+    letter[after - 1] = False
+    chars[letter] = data[~IS_SPACE[data]]
+    return chars, np.bincount(row, weights=end - start + 1, minlength=len(offsets) - 1).astype(np.int64)
+
+
+def keys_of(chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each byte, the rows' end marks included, with the REACH bytes before it in its row (0 before the first) in one number."""
+    ends = np.cumsum(sizes + 1)
+    n = int(ends[-1]) if len(ends) else 0
+    text = np.full(7 + n, END, np.uint8)
+    letter = np.ones(n, bool)
+    letter[ends - 1] = False
+    text[7:][letter] = chars
+    key = np.ndarray((n,), ">u8", text, strides=(1,)).astype(np.uint64)  # the eight bytes up to each one, the byte itself lowest
+    key &= np.uint64((1 << (8 * (REACH + 1))) - 1)
+    for j in range(REACH):  # no context reaches into the row before
+        at = (ends - sizes - 1)[sizes >= j] + j
+        key[at] &= np.uint64((1 << (8 * (j + 1))) - 1)
+    return key
+
+
+def distinct(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a new value starts in an ordered array, and the lengths of the stretches."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(ordered)))
 
 
 class Bits:
-    """The bits of a run of words with their end marks: slots of each predictor, the bit, its word, and the bits so far in the byte."""
-
-    def __init__(self, chars: np.ndarray, sizes: np.ndarray):
-        n = len(sizes)
-        ends = np.cumsum(sizes + 1)
-        text = np.full(int(ends[-1]) if n else 0, 32, np.uint64)
-        text[ragged(ends - sizes - 1, sizes)] = chars
-        word = np.repeat(np.arange(n), sizes + 1)
-        place = np.arange(len(text)) - (ends - sizes - 1)[word]
-        context, contexts = np.zeros(len(text), np.uint64), []
-        for j in range(1, max(ORDERS) + 1):
-            before = np.zeros(len(text), np.uint64)
-            before[j:] = text[:-j]
-            context = context | (np.where(place >= j, before + np.uint64(1), 0).astype(np.uint64) << np.uint64(9 * (j - 1)))
-            if j in ORDERS:
-                contexts.append(mix(context + np.uint64(j << 56)))
-        contexts.append(mix((np.minimum(place, 40).astype(np.uint64) << np.uint64(9)) | (context & np.uint64(511)) | np.uint64(99 << 56)))
+    """The bits of some bytes with their contexts: slots of each predictor, the bit, its word (row or key), and the bits so far in the byte."""
+
+    def __init__(self, chars: np.ndarray, sizes: np.ndarray, slots: int = SLOTS):
+        self._expand(keys_of(chars, sizes), np.repeat(np.arange(len(sizes)), sizes + 1), slots)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, slots: int) -> Bits:
+        bits = cls.__new__(cls)
+        bits._expand(keys, np.arange(len(keys)), slots)
+        return bits
+
+    def _expand(self, keys: np.ndarray, word: np.ndarray, slots: int) -> None:
+        byte, before = (keys & np.uint64(255)).astype(np.uint32), keys >> np.uint64(8)
+        contexts = [(before & np.uint64((1 << (8 * j)) - 1)) + np.uint64(j << 56) for j in ORDERS]
+        inside, in_word = np.zeros(len(keys), np.uint64), np.ones(len(keys), bool)
+        for j in range(REACH):
+            c = (before >> np.uint64(8 * j)) & np.uint64(255)
+            in_word &= (c != 32) & (c != 0)
+            inside |= np.where(in_word, c, np.uint64(0)) << np.uint64(8 * j)
+        contexts.append(inside + np.uint64(99 << 56))
         self.word = np.repeat(word, 8)
-        shifts = np.arange(7, -1, -1, dtype=np.uint64)
-        self.bit = ((text[:, None] >> shifts) & np.uint64(1)).astype(np.int64).ravel()
-        so_far = ((text[:, None] | np.uint64(256)) >> (shifts + np.uint64(1)))
+        shifts = np.arange(7, -1, -1, dtype=np.uint32)
+        self.bit = ((byte[:, None] >> shifts) & np.uint32(1)).astype(np.int64).ravel()
+        so_far = (byte[:, None] | np.uint32(256)) >> (shifts + np.uint32(1))
         self.so_far = so_far.astype(np.int64).ravel()
-        self.slots = [(mix(c[:, None] ^ (so_far << np.uint64(48))) & np.uint64(SLOTS - 1)).astype(np.int64).ravel() for c in contexts]
-
-
-def runs_of(chars: np.ndarray, sizes: np.ndarray, words: int) -> Iterator[tuple[int, int, Bits]]:
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    for x in range(0, len(sizes), words):
-        y = min(x + words, len(sizes))
-        yield x, y, Bits(chars[ends[x] : ends[y]], sizes[x:y])
+        node = so_far * np.uint32(0x9E3779B1)
+        self.slots = [(((mix(c) >> np.uint64(32)).astype(np.uint32)[:, None] + node) & np.uint32(slots - 1)).astype(np.int64).ravel() for c in contexts]
 
 
 class Model:
-    """Counts of the predictors (slot, bit), the mixer's weights by gate, and the refining table's counts (cell, bit)."""
+    """Counts of the predictors (slot, bit), the mixer's weights by gate, and the refining table: counts (cell, bit) and the share it earned.
+
+    To score, `looked_up` (log odds of every slot, gate of the longest context's) does instead of the counts.
+    """
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
+    def __init__(self, counts: np.ndarray | None, weights: np.ndarray | None = None, refined: np.ndarray | None = None, looked_up: tuple[np.ndarray, np.ndarray] | None = None):
         self.counts = counts  # predictor, slot, bit
-        self.weights = np.full((GATES, PREDICTORS), 0.4) if weights is None else weights
-        self.refined = np.zeros((256 * CELLS, 2)) if refined is None else refined
+        self.weights = np.concatenate([np.full((GATES, PREDICTORS), 0.25), np.zeros((256, PREDICTORS))]) if weights is None else weights
+        self.refined = np.zeros((256 * CELLS, 3)) if refined is None else refined
+        self._looked_up = looked_up
+
+    @property
+    def looked_up(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._looked_up is None:
+            logs = np.empty(self.counts.shape[:2], np.float16)
+            for j, n in enumerate(self.counts):
+                logs[j] = np.log((n[:, 1] + np.float32(PRIOR)) / (n[:, 0] + np.float32(PRIOR)))
+            self._looked_up = logs, self.gate(self.counts[len(ORDERS) - 1].sum(axis=1, dtype=np.float32)).astype(np.uint8)
+        return self._looked_up
+
+    @staticmethod
+    def gate(seen: np.ndarray) -> np.ndarray:
+        return np.minimum(np.log2(seen + 1), GATES - 1).astype(np.int64)
 
     def odds(self, bits: Bits, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of a one from each predictor, and the gate. leave_out: without the word's own count."""
-        x = np.empty((len(bits.bit), PREDICTORS))
-        gate = None
+        """Log odds of a one from each predictor, and the gate. leave_out: without one occurrence of the bit itself."""
+        x = np.empty((PREDICTORS, len(bits.bit)), np.float32)
+        if not leave_out:
+            logs, gates = self.looked_up
+            for j, slots in enumerate(bits.slots):
+                x[j] = logs[j].take(slots)
+            return x, gates.take(bits.slots[len(ORDERS) - 1])
+        gate, bit = None, bits.bit.astype(np.float32)
         for j, slots in enumerate(bits.slots):
-            n0, n1 = self.counts[j, slots, 0], self.counts[j, slots, 1]
-            if leave_out:
-                n0, n1 = np.maximum(n0 - (1 - bits.bit), 0), np.maximum(n1 - bits.bit, 0)
-            x[:, j] = np.log((n1 + PRIOR) / (n0 + PRIOR))
+            n = self.counts[j].take(slots, axis=0).astype(np.float32)
+            n0, n1 = np.maximum(n[:, 0] - (1 - bit), 0), np.maximum(n[:, 1] - bit, 0)
+            x[j] = np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
             if j == len(ORDERS) - 1:
-                gate = np.minimum(np.log2(n0 + n1 + 1), GATES - 1).astype(np.int64)
+                gate = self.gate(n0 + n1)
         return x, gate
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -11.9, 11.9)
+    def mixed(self, x: np.ndarray, gate: np.ndarray, bits: Bits) -> np.ndarray:
+        z = np.zeros(x.shape[1])
+        for j in range(PREDICTORS):
+            z += (self.weights[:GATES, j].take(gate) + self.weights[GATES:, j].take(bits.so_far)) * x[j]
+        return np.clip(z, -11.9, 11.9)
 
     def cell(self, z: np.ndarray, bits: Bits) -> np.ndarray:
         return bits.so_far * CELLS + ((z + 12) * (CELLS / 24)).astype(np.int64)
 
-    def learn(self, bits: Bits, rate: float) -> None:
-        """One online step: the mixer moves against its error, the refining table counts what came true."""
+    def refine(self, p: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The refined probability and its share against the mixed one."""
+        n0, n1, earned = (self.refined[:, i].take(cell) for i in range(3))
+        return (n1 + 8 * p) / (n0 + n1 + 8), (earned + 1) / (n0 + n1 + 2)
+
+    def learn(self, bits: Bits, times: np.ndarray, rate: float) -> None:
+        """One online step: the mixer moves against its error, the refining table counts what came true and how well it foretold it. times: occurrences by byte."""
+        times = np.repeat(times, 8).astype(float)
         x, gate = self.odds(bits, True)
-        z = self.mixed(x, gate)
-        error = bits.bit - 1 / (1 + np.exp(-z))
-        seen = np.maximum(np.bincount(gate, minlength=GATES), 1)
-        for j in range(PREDICTORS):
-            self.weights[:, j] += rate * np.bincount(gate, weights=error * x[:, j], minlength=GATES) / seen
-        np.add.at(self.refined, (self.cell(z, bits), bits.bit), 1)
+        z = self.mixed(x, gate, bits)
+        p, cell = 1 / (1 + np.exp(-z)), self.cell(z, bits)
+        q, share = self.refine(p, cell)
+        hit, miss = np.where(bits.bit == 1, q, 1 - q) * share, np.where(bits.bit == 1, p, 1 - p) * (1 - share)
+        error = (bits.bit - p) * times
+        for rows, at in ((slice(0, GATES), gate), (slice(GATES, None), bits.so_far)):
+            n = GATES if rows.start == 0 else 256
+            seen = np.maximum(np.bincount(at, weights=times, minlength=n), 1)
+            for j in range(PREDICTORS):
+                self.weights[rows, j] += rate * np.bincount(at, weights=error * x[j], minlength=n) / seen
+        self.refined[:, :2] += np.bincount(cell * 2 + bits.bit, weights=times, minlength=len(self.refined) * 2).reshape(-1, 2)
+        self.refined[:, 2] += np.bincount(cell, weights=times * hit / (hit + miss), minlength=len(self.refined))
 
     def word_scores(self, bits: Bits, words: int) -> np.ndarray:
-        """log10 probability of each word's spelling."""
+        """log10 probability of each word's (row's, key's) bytes."""
         x, gate = self.odds(bits, False)
-        z = self.mixed(x, gate)
+        z = self.mixed(x, gate, bits)
         p = 1 / (1 + np.exp(-z))
-        seen = self.refined[self.cell(z, bits)]
-        refined = (seen[:, 1] + 8 * p) / (seen.sum(axis=1) + 8)
-        p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
+        q, share = self.refine(p, self.cell(z, bits))
+        p = np.clip(p + share * (q - p), 1e-6, 1 - 1e-6)
         return np.bincount(bits.word, weights=np.log10(np.where(bits.bit == 1, p, 1 - p)), minlength=words)
 
+    def row_scores(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each row with its end mark: each distinct byte with its contexts is worked out once."""
+        key = keys_of(chars, sizes)
+        key <<= np.uint64(16)
+        key |= np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes + 1)
+        key.sort()
+        first, times = distinct(key >> np.uint64(16))
+        keys = key[first] >> np.uint64(16)
+        row = key.astype(np.uint16)
+        del key
+        slots = self.looked_up[0].shape[1]
+        blocks = [keys[x : x + BLOCK] for x in range(0, len(keys), BLOCK)]
+        score = np.concatenate([np.zeros(0), *[self.word_scores(Bits.of(b, slots), len(b)) for b in blocks]])
+        return np.bincount(row, weights=np.repeat(score, times), minlength=len(sizes))
+
+
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct bytes with their contexts and how often they occur, for each slice of the texts."""
+    for _, raw, offsets in text_chunks(batches, SLICE):
+        key = keys_of(*stream_of(LOWER[raw], offsets))
+        key.sort()
+        first, times = distinct(key)
+        yield key[first], times
+
+
+def fit(docs: DataFrame, slots: int, tasks: int) -> Model:
+    """Context counts of every bit of the training texts, then the mixer and refining table of each task's online run, averaged and added."""
+    spark = docs.sparkSession
 
-def _training(row: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and lengths of the bucket's training words."""
-    sizes, chars = unpack(row["b"], "<u4").astype(np.int64), unpack(row["c"], "u1")
-    known = unpack(row["d"], "<f8").reshape(-1, k).sum(axis=1) > 0
-    return chars[np.repeat(known, sizes)], sizes[known]
-
-
-def fit(buckets: DataFrame, k: int) -> Model:
-    """Context counts over all training words (each word once), then the mixer and refining table of every bucket's online run, averaged and added."""
-    spark = buckets.sparkSession
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(PREDICTORS * SLOTS * 2, np.float32)
-        for frame in frames:
-            for _, row in frame.iterrows():
-                for _, _, bits in runs_of(*_training(row, k), 5_000):
-                    for j, slots in enumerate(bits.slots):
-                        at = slots * 2 + bits.bit
-                        counts[j * SLOTS * 2 : (j + 1) * SLOTS * 2] += np.bincount(at, minlength=SLOTS * 2).astype(np.float32)
-        yield pd.DataFrame({"j": range(PREDICTORS), "v": [pack(c) for c in counts.reshape(PREDICTORS, -1)]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((PREDICTORS, slots * 2), np.uint32)
+        seen = False
+        for keys, times in _training(batches):
+            seen = True
+            for x in range(0, len(keys), 16 * BLOCK):
+                bits = Bits.of(keys[x : x + 16 * BLOCK], slots)
+                n = np.repeat(times[x : x + 16 * BLOCK], 8).astype(float)
+                for j, at in enumerate(bits.slots):
+                    counts[j] += np.bincount(at * 2 + bits.bit, weights=n, minlength=slots * 2).astype(np.uint32)
+        if seen:
+            for j in range(PREDICTORS):
+                pieces = np.split(counts[j], slots // RANGE)
+                yield pa.RecordBatch.from_arrays([pa.array([j] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array([pack(c) for c in pieces], pa.binary())], ["j", "r", "v"])
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"j": [int(rows["j"].iloc[0])], "v": [pack(sum(unpack(v, "<f4").astype(np.float64) for v in rows["v"]).astype("<f4"))]})
-
-    few = buckets.select("b", "c", "d").coalesce(max(1, spark.sparkContext.defaultParallelism))
-    parts = few.mapInPandas(count, "j int, v binary").groupBy("j").applyInPandas(total, "j int, v binary").collect()
-    counts = np.zeros((PREDICTORS, SLOTS, 2), np.float32)
-    for r in parts:
-        counts[r["j"]] = unpack(bytes(r["v"]), "<f4").reshape(SLOTS, 2)
-    shared = spark.sparkContext.broadcast(counts)  # of fixed size
-
-    def online(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, words = Model(shared.value), 0
-        for frame in frames:
-            for _, row in frame.iterrows():
-                for x, y, bits in runs_of(*_training(row, k), 4_000):
-                    model.learn(bits, 0.5 / (1 + words / 400_000))
-                    words += y - x
-        yield pd.DataFrame({"n": [float(words)], "w": [model.weights.ravel().tolist()], "r": [model.refined.ravel().tolist()]})
-
-    learned = few.mapInPandas(online, "n double, w array<double>, r array<double>").filter("n > 0")
+        sums = np.zeros((RANGE, 2))
+        for v in rows["v"]:
+            sums += unpack(v, "<u4").reshape(-1, 2)
+        sums /= np.maximum(sums.max(axis=1, keepdims=True) / 65535, 1)  # 16 bits hold the odds of frequent contexts as well
+        return pd.DataFrame({"j": [int(rows["j"].iloc[0])], "r": [int(rows["r"].iloc[0])], "v": [pack(np.ceil(sums).astype("<u2"))]})
+
+    few = docs.select("text").coalesce(tasks)
+    counts = np.zeros((PREDICTORS, slots, 2), np.uint16)
+    for row in few.mapInArrow(count, "j int, r int, v binary").groupBy("j", "r").applyInPandas(total, "j int, r int, v binary").toLocalIterator():
+        counts[row["j"], row["r"] * RANGE : (row["r"] + 1) * RANGE] = unpack(bytes(row["v"]), "<u2").reshape(RANGE, 2)
+    shared = spark.sparkContext.broadcast(counts)  # of bounded size
+
+    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, steps, n = Model(shared.value), 0, 0.0
+        for keys, times in _training(batches):
+            parts = -(-len(keys) // STEP)
+            for part in range(parts):  # every `parts`-th key: a step sees all kinds of contexts
+                model.learn(Bits.of(keys[part::parts], slots), times[part::parts], 0.1 / (1 + steps / 800))
+                steps += 1
+            n += float(times.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n]), *[pa.array([a.ravel().tolist()], pa.list_(pa.float64())) for a in (model.weights, model.refined)]], ["n", "w", "r"],
+        )
+
+    learned = kept_table(few.mapInArrow(online, "n double, w array<double>, r array<double>").filter("n > 0"), "op3-learned")
     weights = learned.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).collect()
     refined = learned.select(F.posexplode("r").alias("i", "x")).filter("x > 0").groupBy("i").agg(F.sum("x").alias("x")).collect()
     model = Model(counts)
-    for r in weights:
-        model.weights.ravel()[r["i"]] = r["x"]
-    for r in refined:
-        model.refined.ravel()[r["i"]] = r["x"]
+    for found, table in ((weights, model.weights), (refined, model.refined)):
+        for r in found:
+            table.ravel()[r["i"]] = r["x"]
     return model
 
 
-def spelled(buckets: DataFrame, model: Model) -> DataFrame:
-    """bucket, hashes, counts, log10 spelling scores."""
-    shared = buckets.sparkSession.sparkContext.broadcast((model.counts, model.weights, model.refined))
+def gather(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """Rows of two kinds. bucket >= 0: part, hashes and training counts of the bucket's words in the slice. bucket = -1: the slice's documents with scores, and postings.
+
+    docs: doc_id, train, text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.refined, model.looked_up))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part = (task.partitionId() if task else 0) << 24
+        m = Model(None, *shared.value)
+        for rows, raw, offsets in text_chunks(batches, SLICE, rows=SLICE_ROWS):
+            data = LOWER[raw]
+            n = rows.num_rows
+            lm = m.row_scores(*stream_of(data, offsets))
+            train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            start, end, doc = words_of(data, offsets)
+            hashes, word = np.unique(substring_hash(prefix_hash(data), start, end), return_inverse=True)
+            posting, count = np.unique(word.astype(np.int64) * n + doc, return_counts=True)
+            word, doc = posting // n, posting % n
+            counts = np.bincount(word, weights=np.where(train[doc], count, 0), minlength=len(hashes)).astype(np.uint32)
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            out = [(b, part, pack(hashes[x:y]), pack(counts[x:y]), None) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+            docs_of = pa.BufferOutputStream()
+            ids = pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("train"), pa.array(lm)], ["doc_id", "train", "score"])
+            with pa.ipc.new_stream(docs_of, ids.schema) as w:
+                w.write_batch(ids)
+            per_word = np.bincount(word, minlength=len(hashes)).astype(np.uint32)
+            out.append((-1, part, docs_of.getvalue().to_pybytes(), pack(per_word), pack(np.stack([doc, count]).astype(np.uint32))))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["bucket", "part", "a", "b", "c"])
+            part += 1
+
+    return docs.mapInArrow(run, "bucket int, part long, a binary, b binary, c binary")
+
+
+def bucket_words(words: DataFrame) -> DataFrame:
+    """bucket, hashes, counts: each word of a bucket once, counts summed over the slices; n, v: their sum and the number of training words."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model(*shared.value)
-        for frame in frames:
-            for _, row in frame.iterrows():
-                sizes, chars = unpack(row["b"], "<u4").astype(np.int64), unpack(row["c"], "u1")
-                score = np.zeros(len(sizes))
-                for x, y, bits in runs_of(chars, sizes, 4_000):
-                    score[x:y] = m.word_scores(bits, y - x)
-                yield pd.DataFrame({"bucket": [row["bucket"]], "a": [row["a"]], "d": [row["d"]], "s": [pack(score)]})
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        hashes, counts = (np.concatenate([unpack(x, t) for x in rows[c]]) for c, t in (("a", "<u8"), ("b", "<u4")))
+        every, at = np.unique(hashes, return_inverse=True)
+        total = np.bincount(at, weights=counts, minlength=len(every))
+        return pd.DataFrame({"bucket": [int(rows["bucket"].iloc[0])], "a": [pack(every)], "b": [pack(total.astype("<f8"))], "n": [float(total.sum())], "v": [float((total > 0).sum())]})
 
-    return buckets.mapInPandas(run, "bucket int, a binary, d binary, s binary")
+    return words.groupBy("bucket").applyInPandas(merged, "bucket int, a binary, b binary, n double, v double")
 
 
 def score(docs: DataFrame, train: str = "train") -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score. docs: doc_id, text, lang (may be missing) and the boolean column `train`."""
-    spark = docs.sparkSession
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    docs = docs.select("doc_id", F.col(train).alias("train"), lang.alias("lang"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score. docs: doc_id, text and the boolean column `train`."""
+    docs = docs.select("doc_id", F.col(train).alias("train"), "text")
+    learning = docs.filter("train")
+    size, n_docs, taught = docs.agg(
+        F.sum(F.octet_length("text")), F.count(F.when(F.col("train"), 1)), F.sum(F.when(F.col("train"), F.octet_length("text"))),
+    ).first()
+    size, taught = size or 0, taught or 0
     n_buckets = max(4, -(-size // BUCKET_BYTES))
-    shares = docs.filter("train and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_CLASSES).collect()
-    classes = [r["lang"] for r in shares]
-    k = len(classes) + 1
-    rows = kept_table(gather(docs, classes, n_buckets), "op3-gathered")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    model = fit(learning, min(max(SLOTS, 1 << (taught // 32).bit_length()), MOST_SLOTS), cores * max(1, -(-taught // (TASK_BYTES * cores))))
+    rows = kept_table(gather(docs, model, n_buckets), "op3-gathered")
     words = rows.filter("bucket >= 0")
-    buckets = kept_table(bucket_words(words, k), "op3-words")
-    table = kept_table(spelled(buckets, fit(buckets, k)), "op3-spelled")
-
-    def totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                c = unpack(row["d"], "<f8").reshape(-1, k)
-                all_ = c.sum(axis=1)
-                yield pd.DataFrame({"n": [all_.sum()], "v": [float((all_ > 0).sum())], "once": [float((all_ == 1).sum())], "per": [c[:, :-1].sum(axis=0).tolist()]})
-
-    sums = table.select("d").mapInPandas(totals, "n double, v double, once double, per array<double>")
-    found = sums.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("once").alias("once"), *[F.sum(F.col("per")[j]).alias(f"c{j}") for j in range(k - 1)]).first()
-    n_words, n_types, once = found["n"] or 0.0, found["v"] or 0.0, found["once"] or 0.0
-    n_docs = docs.filter("train").count()
-    per = np.array([found[f"c{j}"] or 0.0 for j in range(k - 1)])
-    prior = (per + 1) / (per + 1).sum() if k > 1 else np.zeros(0)
-    doc_prior = np.array([r["n"] for r in shares], float) / max(sum(r["n"] for r in shares), 1)
-    unseen, p_end = (once + 1) / (n_words + 2), (n_docs + 0.5) / (n_words + n_docs + 1)
-    big_n, big_v = n_words + n_docs, n_types + (n_docs > 0)
-    alpha = 0.5
-
-    def word_terms(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """counts, log10 probability of the word (known and spelled part added as logs: long words have no smallest one), share of each class in it."""
-        c = unpack(row["d"], "<f8").reshape(-1, k)
-        total = c.sum(axis=1)
-        with np.errstate(divide="ignore"):
-            known = np.log((1 - unseen) * total / max(n_words, 1))
-        p = np.logaddexp(known, np.log(unseen) + unpack(row["s"], "<f8") * np.log(10)) / np.log(10)
-        given = (c[:, :-1] + alpha * prior) / (c[:, :-1].sum(axis=1, keepdims=True) + alpha)
-        return total, p, given
-
-    def masses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                _, logs, given = word_terms(row)
-                p = 10.0**logs
-                yield pd.DataFrame({"p": [p.sum()], "z": [(p @ given).tolist()]})
-
-    found = table.select("d", "s").mapInPandas(masses, "p double, z array<double>").agg(F.sum("p").alias("p"), *[F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(k - 1)]).first()
-    z = np.array([found[f"z{j}"] or 0.0 for j in range(k - 1)]) + max(0.0, 1 - (found["p"] or 0.0)) * prior
-
-    def answer(asked: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
-        row = scored.iloc[0]
-        total, logs, given = word_terms(row)
-        hashes = unpack(row["a"], "<u8")
-        speak = np.log(given / z).astype("<f4")
-        logs = logs.astype("<f4")
-        out = []
-        for part, a in zip(asked["part"], asked["a"], strict=True):
-            at = np.searchsorted(hashes, unpack(a, "<u8"))
-            out.append((part, int(row["bucket"]), pack(total[at].astype("<u4")), pack(logs[at]), pack(speak[at])))
-        return pd.DataFrame(out, columns=["part", "bucket", "a", "b", "c"])
-
-    answers = words.select("bucket", "part", "a").groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(answer, "part long, bucket int, a binary, b binary, c binary")
+    table = kept_table(bucket_words(words), "op3-words")
+    found = table.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    big_n, big_v = (found["n"] or 0.0) + n_docs, (found["v"] or 0.0) + (n_docs > 0)
+
+    def answer(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        row = counted.iloc[0]
+        hashes, total = unpack(row["a"], "<u8"), unpack(row["b"], "<f8")
+        out = [(part, int(row["bucket"]), pack(total[np.searchsorted(hashes, unpack(a, "<u8"))])) for part, a in zip(asked["part"], asked["a"], strict=True)]
+        return pd.DataFrame(out, columns=["part", "bucket", "a"])
+
+    answers = words.select("bucket", "part", "a").groupBy("bucket").cogroup(table.select("bucket", "a", "b").groupBy("bucket")).applyInPandas(answer, "part long, bucket int, a binary")
     doc_kind = kind(docs, "doc_id")
 
     def add_up(slices: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("bucket")
-        join = lambda c, t: np.concatenate([unpack(x, t) for x in got[c]]) if len(got) else np.zeros(0, t)
-        total, logs, speak = join("a", "<u4"), join("b", "<f4").astype(float), join("c", "<f4").reshape(-1, k - 1).astype(float)
+        total = np.concatenate([unpack(x, "<f8") for x in got["a"]]) if len(got) else np.zeros(0)
         row = slices.iloc[0]
         ids = pa.ipc.open_stream(row["a"]).read_pandas()
-        n = len(ids)
-        word, doc, count = np.repeat(np.arange(len(total)), unpack(row["b"], "<u4")), unpack(row["c"], "<u4").astype(np.int64), unpack(row["d"], "<u4").astype(float)
-        summed = lambda x: np.bincount(doc, weights=count * x, minlength=n)
+        word = np.repeat(np.arange(len(total)), unpack(row["b"], "<u4"))
+        doc, count = unpack(row["c"], "<u4").reshape(2, -1).astype(np.int64)
+        summed = lambda x: np.bincount(doc, weights=count * x, minlength=len(ids))
         tokens = summed(np.ones(len(doc))) + 1
         base = summed(np.log10(total + 0.5)[word]) + np.log10(n_docs + 0.5) - tokens * np.log10(big_n + 0.5 * (big_v + 1))
         known = summed((total > 0)[word].astype(float)) + (n_docs > 0)
-        lm = summed(logs[word]) + (tokens - 1) * np.log10(1 - p_end) + np.log10(p_end)
-        if k > 1:
-            for_class = np.stack([summed(speak[word, j]) for j in range(k - 1)], axis=1) + np.log(doc_prior)
-            top = for_class.max(axis=1, keepdims=True)
-            lm += (top[:, 0] + np.log(np.exp(for_class - top).sum(axis=1))) / np.log(10)
         return pd.DataFrame({
             "doc_id": ids["doc_id"], "train": ids["train"], "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.int64(big_n),
-            "base_score": base, "score": lm,
+            "base_score": base, "score": ids["score"],
         })
 
     schema = f"doc_id {doc_kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.filter("bucket = -1").select("part", "a", "b", "c", "d").groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(add_up, schema)
+    return rows.filter("bucket = -1").select("part", "a", "b", "c").groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(add_up, schema)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,6 +268,20 @@ def test_lm_spelling_is_a_probability():
     assert abs((10.0 ** model.word_scores(bits, 512)[::2]).sum() - 1) < 1e-9
 
 
+def test_lm_mixes_the_bits_of_known_words_across_words(spark):
+    """Known words cost less in an order that was learned than in another, and probabilities of all next bytes add to one after any words."""
+    rows = [(i, "red fox jumps over lazy dog", True) for i in range(60)] + [(100, "red fox jumps over lazy dog", False), (101, "dog over red lazy jumps fox", False)]
+    got = by_id(lm.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean")))
+    assert got[100]["base_score"] == pytest.approx(got[101]["base_score"]) and got[100]["score"] > got[101]["score"] + 3
+    model = lm.Model(np.random.default_rng(2).integers(0, 9, (lm.PREDICTORS, lm.SLOTS, 2)).astype(np.uint16))
+    before = np.frombuffer(b"red fox j", np.uint8)
+    keys = lm.keys_of(np.concatenate([np.append(before, np.uint8(c)) for c in range(256)]), np.full(256, len(before) + 1))
+    last = keys.reshape(256, -1)[:, len(before)]
+    assert abs((10.0 ** model.word_scores(lm.Bits.of(last, lm.SLOTS), 256)).sum() - 1) < 1e-9
+    chars, sizes = lm.stream_of(before, np.array([0, 4, 9]))
+    assert np.allclose(model.row_scores(chars, sizes), model.word_scores(lm.Bits(chars, sizes), 2))
+
+
 def test_lm_long_words_cost_all_their_bytes(spark):
     """An unseen run without spaces is spelled to its end: twice the bytes, about twice the cost, and never dearer prose."""
     rnd = random.Random(4)

@@ -159,6 +159,12 @@ class Codec:
         parts = self.after_text(text)
         return b"".join(self.rest[p[1:]] if p[0] == " " else self.first[p] for p in parts if p)
 
+    def forget(self) -> None:
+        """Workers are used again by later stages, which need the memory."""
+        for f in (self.first, self.rest):
+            f.clear()
+            f.words.clear()
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -219,6 +225,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        c.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from freightloom.llm.common import documents, fold, kind, text_chunks
 
 WIDTH = 512
-CHUNK = 1 << 20
-CHUNK_ROWS = 1_024  # short texts have many trigrams between them
+CHUNK = 1 << 18
+CHUNK_ROWS = 256  # short texts have many trigrams between them
 OPENINGS = (1, 2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64)  # words of the openings from which the spread of a language's scores is taken
 MAX_LANGUAGES = 10_000  # more values than that are no language codes
 
@@ -65,7 +65,7 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     s, k = dense[padded], len(used)
     same = owner[2:] == owner[:-2]
     code, at = ((s[:-2] * k + s[1:-1]) * k + s[2:])[same], owner[2:][same]
-    if k**3 <= 1 << 24:
+    if k**3 <= 1 << 21:
         some = np.flatnonzero(np.bincount(code, minlength=1))
         place = np.zeros(k**3, np.int64)
         place[some] = np.arange(len(some))

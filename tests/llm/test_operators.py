@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -241,6 +242,21 @@ def test_rules_learn_a_planted_rule(spark):
     assert rules.learn(df.limit(0), ["x", "y"]) == [] and rules.learn(df.filter("bad = 0"), ["x", "y"]) == []
 
 
+def test_bpe_workers_forget_and_language_needs_little_memory():
+    """What a stage remembers does not stay in a worker that later stages use; a slice of texts with many letters takes no table of all their triples."""
+    codec = bpe.Codec(BYTE_BPE)
+    before = codec.encode("some words and some more words")
+    assert codec.rest and codec.rest.words
+    codec.forget()
+    assert not (codec.first or codec.first.words or codec.rest or codec.rest.words) and codec.encode("some words and some more words") == before
+    data = "".join(chr(0x4E00 + i) for i in range(200)).encode()
+    tracemalloc.start()
+    counts, vectors, _ = language.trigram_counts(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == 200 and len(vectors) == 200 and most < 50 << 20
+
+
 def test_lm_base_and_score(docs, rows, empty):
     got = by_id(lm.score(docs.withColumn("train", F.col("doc_id") % 75 != 0)))
     counts, total, n_docs = collections.Counter(), 0, 0

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from freightloom.llm.common import documents, fold, kind, text_chunks
 
 WIDTH = 512
-CHUNK = 1 << 18
-CHUNK_ROWS = 256  # short texts have many trigrams between them
+CHUNK = 1 << 20
+CHUNK_ROWS = 1_024  # short texts have many trigrams between them
+SMALL = 4  # a corpus pipeline's workers hold other stages' memory as well: slices so many times smaller
 OPENINGS = (1, 2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64)  # words of the openings from which the spread of a language's scores is taken
 MAX_LANGUAGES = 10_000  # more values than that are no language codes
 
@@ -90,7 +91,7 @@ def prototypes(docs: DataFrame, width: int = WIDTH) -> dict[str, np.ndarray]:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
-        for part, data, offsets in text_chunks(batches, CHUNK):
+        for part, data, offsets in text_chunks(batches, CHUNK // SMALL):
             counts, vectors, _ = trigram_counts(data, offsets, width)
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in set(langs):
@@ -109,14 +110,14 @@ def prototypes(docs: DataFrame, width: int = WIDTH) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array([c["x"] for c in r["v"]]) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
-def identify(docs: DataFrame, learned: dict[str, np.ndarray], width: int = WIDTH) -> DataFrame:
-    """The columns of docs with lang_pred and score; columns of these names are replaced."""
+def identify(docs: DataFrame, learned: dict[str, np.ndarray], width: int = WIDTH, part_of: int = 1) -> DataFrame:
+    """The columns of docs with lang_pred and score; columns of these names are replaced. Slices are `part_of` times smaller, which may round the last digits otherwise."""
     names = sorted(n for n, v in learned.items() if np.any(v))
     table = np.stack([learned[n] / np.linalg.norm(learned[n]) for n in names]).astype(np.float32) if names else np.zeros((0, width), np.float32)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_chunks(batches, CHUNK, rows=CHUNK_ROWS):
+        for part, data, offsets in text_chunks(batches, CHUNK // part_of, rows=CHUNK_ROWS // part_of):
             pred, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
             if names:
                 counts, vectors, has = trigram_counts(data, offsets, width)
@@ -145,7 +146,7 @@ def least_likeness(docs: DataFrame, learned: dict[str, np.ndarray], most: float)
     words = known.select("lang", F.split(F.trim(F.substring("text", 1, 2_000)), r"\s+", OPENINGS[-1] + 1).alias("w"))
     cut = words.select("lang", "w", F.explode(F.array(*[F.lit(n) for n in OPENINGS])).alias("n")).filter("size(w) >= n")
     openings = cut.select("lang", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("text"))
-    scored = identify(openings, learned).filter("lang_pred != 'und'").withColumn("size", size_class(F.col("text")))
+    scored = identify(openings, learned, part_of=SMALL).filter("lang_pred != 'und'").withColumn("size", size_class(F.col("text")))
     spread = scored.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), (F.avg("score") - 4 * F.stddev_pop("score")).alias("limit")).filter("n >= 30")
     found: dict[str, dict[int, float]] = {}
     for r in spread.collect():

@@ -89,6 +89,21 @@ def test_network_links_a_supplier_with_its_main_partners(spark, lines):
     assert net.where("x_type = 'Product' and y_type = 'Shipment'").count() == d.select("category", "ship_mode").distinct().count()
 
 
+def test_pairs_with_every_partner_of_a_supplier(spark):
+    """interval_join_lag follows the links to all partners that share order lines, not to the main one of each type alone."""
+    from freightloom.plans import ORACLE
+    from freightloom.plans import patterns as plans
+
+    rows = [(day(1), "S", c, city, "m", "g", 1.0, 1) for c, city in [("A", "x"), ("A", "x"), ("B", "y"), ("C", "y")]]
+    d = spark.createDataFrame(rows, "order_date date, department string, category string, city string, ship_mode string, segment string, qty double, late int")
+    net = P.entity_network(d, every=True).where("x_type = 'Supplier'")
+    links = sorted((x.y_type, x.y_id) for x in net.collect())
+    assert links == [("Customer", "g"), ("Order", "all"), ("Product", "A"), ("Product", "B"), ("Product", "C"), ("Shipment", "m"), ("Warehouse", "x"), ("Warehouse", "y")]
+    events = spark.createDataFrame([("Supplier", "S", "A", day(1)), ("Product", "B", "B", day(8))], EVENTS)
+    assert P.interval_pairs(events, net).count() == 1 and P.interval_pairs(events, P.entity_network(d)).count() == 0
+    assert plans.EVERY_LINK in ORACLE["interval_join_lag"]
+
+
 def test_same_entity_and_same_day_do_not_count(spark):
     e = spark.createDataFrame([("T", "x", "A", day(1)), ("T", "x", "B", day(2)), ("T", "y", "B", day(1))], EVENTS)
     assert {(r.a_entity_id, r.b_entity_id) for r in P.interval_pairs(e).collect()} == {("y", "x")}

@@ -43,3 +43,24 @@ def test_unlisted_partition_is_not_read(spark, store):
     assert held(store) == {"2020-01": 10}
     store.append(month(spark, "2020-03", range(2)))
     assert held(store) == {"2020-01": 10, "2020-03": 2}
+
+
+def test_uploads_are_told_apart_by_the_hash_of_their_bytes(spark, tmp_path):
+    """Each file has the SHA-256 of its bytes, and files of the same bytes count as copies."""
+    import hashlib
+    import shutil
+
+    from freightloom.plans import QUERIES
+    from freightloom.plans.store import uploads
+
+    for name, n in (("lineitem", 5), ("documents", 7)):
+        spark.range(n).coalesce(1).write.parquet(f"{tmp_path}/made/{name}")
+        shutil.copy(next((tmp_path / "made" / name).glob("*.parquet")), tmp_path / f"{name}.parquet")
+    shutil.copy(tmp_path / "lineitem.parquet", tmp_path / "orders.parquet")
+    got = {r.file_name: r for r in uploads(spark, str(tmp_path), ("lineitem", "orders", "documents")).collect()}
+    assert set(got) == {"lineitem.parquet", "orders.parquet", "documents.parquet"}
+    for name, r in got.items():
+        content = (tmp_path / name).read_bytes()
+        assert (r.sha256, r.file_size, r.n_columns) == (hashlib.sha256(content).hexdigest(), len(content), 1)
+    copies = {r.file_name: (r.n_rows, r.has_size, r.hash_digits, r.copies) for r in QUERIES["upload_metadata"](spark, str(tmp_path)).collect()}
+    assert copies == {"lineitem.parquet": (5, 1, 64, 2), "orders.parquet": (5, 1, 64, 2), "documents.parquet": (7, 1, 64, 1)}

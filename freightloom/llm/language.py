@@ -25,7 +25,7 @@ WIDTH = 512
 CHUNK = 1 << 20
 CHUNK_ROWS = 1_024  # short texts have many trigrams between them
 SMALL = 4  # a corpus pipeline's workers hold other stages' memory as well: slices so many times smaller
-OPENINGS = (1, 2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64)  # words of the openings from which the spread of a language's scores is taken
+OPENINGS = (1, 2, 3, 4, *(round(2 ** (k / 2)) for k in range(5, 61)))  # words of the openings from which the spread of a language's scores is taken: two to a doubling, however long the text
 MAX_LANGUAGES = 10_000  # more values than that are no language codes
 
 
@@ -140,12 +140,12 @@ def size_class(text: Column) -> Column:
 def least_likeness(docs: DataFrame, learned: dict[str, np.ndarray], most: float) -> DataFrame:
     """lang, limits: for each size class the score below which text of that size is clearly not of the language, at most `most`.
 
-    The limit is four standard deviations below the mean score of openings of that size, taken from all texts of the language. A class with
-    fewer than 30 openings has the limit of the next shorter one, or 0: scores grow with the size."""
+    The limit is four standard deviations below the mean score of openings of that size, taken from all texts of the language, each from its first word to its
+    whole. A class with fewer than 30 openings has the limit of the next shorter one, or 0: scores grow with the size."""
     known = docs.filter("lang is not null and text is not null")
-    words = known.select("lang", F.split(F.trim(F.substring("text", 1, 2_000)), r"\s+", OPENINGS[-1] + 1).alias("w"))
-    cut = words.select("lang", "w", F.explode(F.array(*[F.lit(n) for n in OPENINGS])).alias("n")).filter("size(w) >= n")
-    openings = cut.select("lang", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("text"))
+    words = known.select("lang", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t")).withColumn("w", F.regexp_count("t", F.lit(" ")) + 1)
+    lengths = F.filter(F.array(*[F.lit(n) for n in OPENINGS]), lambda n: n < F.col("w"))
+    openings = words.select("lang", "t", F.explode(F.concat(lengths, F.array("w"))).alias("n")).select("lang", F.expr("substring_index(t, ' ', n)").alias("text"))
     scored = identify(openings, learned, part_of=SMALL).filter("lang_pred != 'und'").withColumn("size", size_class(F.col("text")))
     spread = scored.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), (F.avg("score") - 4 * F.stddev_pop("score")).alias("limit")).filter("n >= 30")
     found: dict[str, dict[int, float]] = {}

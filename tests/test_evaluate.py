@@ -40,3 +40,46 @@ def test_banned_features_are_refused():
         M.check_features(kind, names)
         with pytest.raises(ValueError):
             M.check_features(kind, [*names, next(iter(M.BANNED[kind]))])
+
+
+def model_rows(spark, kind, n):
+    """Rows with the features of a model, a day and a target that follows from the first feature."""
+    value = lambda k: (F.abs(F.xxhash64("id", F.lit(k))) % 1000 / 1000).alias(M.FEATURES[kind][k])
+    d = spark.range(n).select("id", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 100).cast("int")).alias("order_date"), *[value(k) for k in range(len(M.FEATURES[kind]))])
+    return d.withColumn("target", (F.col(M.FEATURES[kind][0]) > 0.4).cast("int"))
+
+
+def test_models_are_fitted_on_all_rows(spark, monkeypatch):
+    """No row is left out, however many there are."""
+    import pytest
+
+    class Seen(Exception):
+        pass
+
+    def stop(d, name):
+        raise Seen(d.count())
+
+    monkeypatch.setattr(M, "written", stop)
+    for kind in M.FEATURES:
+        with pytest.raises(Seen) as seen:
+            M.train(model_rows(spark, kind, 400_000), kind)
+        assert seen.value.args == (400_000,)
+
+
+def test_forest_grown_in_groups_is_one_forest(spark, monkeypatch, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    assert M.tree_groups(10, 300) == [300] and M.tree_groups(0, 300) == [300]
+    assert sum(M.tree_groups(29_000_000, 300)) == 300 and max(M.tree_groups(29_000_000, 300)) * 29_000_000 <= M.FOREST_CELLS
+    monkeypatch.setattr(M, "TREES", 7)
+    monkeypatch.setattr(M, "FOREST_CELLS", 6000)
+    d = model_rows(spark, "supplier", 2000)
+    assert M.tree_groups(2000, 7) == [3, 2, 2]
+    M.train(d, "supplier").write().save(f"{tmp_path}/model")
+    model = PipelineModel.load(f"{tmp_path}/model")
+    trees = model.stages[-1].trees
+    assert len(trees) == model.stages[-1].getNumTrees == 7 and len({t.toDebugString.split(":", 1)[1] for t in trees}) == 7
+    s = M.predict(model, d, "supplier")
+    assert s.where("p < 0 OR p > 1").count() == 0 and s.where((F.col("p") >= 0.5) == (F.col("target") == 1)).count() > 1900
+    shares = [r.importance for r in M.importances(model, "supplier", spark).collect()]
+    assert abs(sum(shares) - 1) < 1e-9 and max(shares) == shares[0]

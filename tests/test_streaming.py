@@ -97,3 +97,22 @@ def test_dedup_drops_repeats(spark):
     df = spark.createDataFrame([(i % 5, t) for i in range(20)], "k long, ts timestamp")
     got = J.run_to_table(J.dedup(as_stream(df, 1), ["k"], "ts", "1 hour"), "dedup-test")
     assert sorted(r.k for r in got.collect()) == list(range(5))
+
+
+def test_sequence_join_keeps_an_event_once_an_edge(spark):
+    """Both orders of linked events are found over parts by time, and an event many suppliers are linked with is not kept once for each."""
+    schema, suppliers = "entity_type string, entity_id string, event string, ts timestamp", 200
+    week = lambda w: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=7 * w)
+    parts = [[*[("Supplier", f"s{k}", "A", week(w)) for k in range(suppliers) for w in ws], *[("Order", "all", "B", week(w)) for w in ws]] for ws in ((0, 1, 2), (3, 4, 5))]
+    network = spark.createDataFrame([("Supplier", f"s{k}", "Order", "all") for k in range(suppliers)], "x_type string, x_id string, y_type string, y_id string")
+    arriving = lambda: J.stream_table(spark, f"{path}/*", spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    path = in_parts(spark, parts, schema)
+    writer = J.sequence_join(arriving(), arriving(), network).writeStream.format("memory").queryName("sequences").option(
+        "checkpointLocation", work_path(spark, "sequences")).trigger(availableNow=True)
+    query = writer.start()
+    query.awaitTermination()
+    got = {(r.a_event, r.b_event): r.n for r in spark.table("sequences").groupBy("a_event", "b_event").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("A", "B"): 5 * suppliers, ("B", "A"): 5 * suppliers}
+    assert spark.table("sequences").where("a_ts >= b_ts OR (a_event = 'A') <> (a_entity <> 'all')").count() == 0
+    kept = sum(o.numRowsUpdated for p in query.recentProgress for o in p.stateOperators)
+    assert 6 * suppliers <= kept < 2 * 6 * suppliers

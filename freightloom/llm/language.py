@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightloom.llm.common import documents, fold, kind, text_chunks
+from freightloom.llm.common import documents, fold, kind, text_chunks, words_of
 
 WIDTH = 512
 CHUNK = 1 << 20
@@ -110,10 +110,22 @@ def prototypes(docs: DataFrame, width: int = WIDTH) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array([c["x"] for c in r["v"]]) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
+def profile_table(learned: dict[str, np.ndarray], width: int) -> tuple[list[str], np.ndarray]:
+    """The languages something was learned of, and their profiles as unit vectors."""
+    names = sorted(n for n, v in learned.items() if np.any(v))
+    return names, np.stack([learned[n] / np.linalg.norm(learned[n]) for n in names]).astype(np.float32) if names else np.zeros((0, width), np.float32)
+
+
+def nearest(counts: np.ndarray, vectors: np.ndarray, has: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The profile most like each row, and its cosine; 0 without a letter."""
+    sums = counts @ vectors
+    cosine = (sums @ table.T) / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
+    return cosine.argmax(axis=1), np.where(has, np.clip(cosine.max(axis=1), 0, 1), 0).astype(np.float64)
+
+
 def identify(docs: DataFrame, learned: dict[str, np.ndarray], width: int = WIDTH, part_of: int = 1) -> DataFrame:
     """The columns of docs with lang_pred and score; columns of these names are replaced. Slices are `part_of` times smaller, which may round the last digits otherwise."""
-    names = sorted(n for n, v in learned.items() if np.any(v))
-    table = np.stack([learned[n] / np.linalg.norm(learned[n]) for n in names]).astype(np.float32) if names else np.zeros((0, width), np.float32)
+    names, table = profile_table(learned, width)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +133,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], width: int = WIDTH
             pred, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
             if names:
                 counts, vectors, has = trigram_counts(data, offsets, width)
-                sums = counts @ vectors
-                cosine = (sums @ table.T) / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
-                best = cosine.argmax(axis=1)
-                score = np.where(has, np.clip(cosine.max(axis=1), 0, 1), 0).astype(np.float64)
+                best, score = nearest(counts, vectors, has, table)
                 pred = [names[b] if h else "und" for b, h in zip(best, has, strict=True)]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
@@ -133,20 +142,47 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], width: int = WIDTH
 
 def size_class(text: Column) -> Column:
     """1 and up by the number of trigrams: two classes to a doubling."""
-    trigrams = F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", " ")))
+    return class_of(F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", " "))))
+
+
+def class_of(trigrams: Column) -> Column:
     return (F.floor(2 * F.log2(F.greatest(trigrams, F.lit(1)))) + 1).cast("int")
 
 
+def opening_scores(docs: DataFrame, learned: dict[str, np.ndarray], width: int = WIDTH) -> DataFrame:
+    """lang, trigrams and score of the openings of each text that have a letter. Openings are cut in the workers: only texts go there and only numbers come back."""
+    names, table = profile_table(learned, width)
+    steps, limit, most = np.array(OPENINGS), CHUNK // SMALL, CHUNK_ROWS // SMALL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in text_chunks(batches, limit, rows=most):
+            start, end, row = words_of(data, offsets)
+            n = np.bincount(row, minlength=part.num_rows)
+            first = np.cumsum(n) - n
+            words = [np.append(steps[steps < k], k) if k else steps[:0] for k in n]
+            owner = np.repeat(np.arange(part.num_rows), [len(w) for w in words])
+            if not len(owner) or not names:
+                continue
+            lo, hi = start[first[owner]], end[first[owner] + np.concatenate(words) - 1]
+            size, at = np.cumsum(hi - lo), 0
+            while at < len(owner):
+                to = min(max(int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")), at + 1), at + most, len(owner))
+                cut = [data[i:j] for i, j in zip(lo[at:to], hi[at:to], strict=True)]
+                counts, vectors, has = trigram_counts(np.concatenate(cut), np.concatenate([[0], np.cumsum(hi[at:to] - lo[at:to])]), width)
+                _, score = nearest(counts, vectors, has, table)
+                lang = part.column("lang").take(pa.array(owner[at:to][has]))
+                yield pa.RecordBatch.from_arrays([lang, pa.array(counts.sum(axis=1)[has].astype(np.int64)), pa.array(score[has])], ["lang", "trigrams", "score"])
+                at = to
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, trigrams long, score double")
+
+
 def least_likeness(docs: DataFrame, learned: dict[str, np.ndarray], most: float) -> DataFrame:
     """lang, limits: for each size class the score below which text of that size is clearly not of the language, at most `most`.
 
     The limit is four standard deviations below the mean score of openings of that size, taken from all texts of the language, each from its first word to its
     whole. A class with fewer than 30 openings has the limit of the next shorter one, or 0: scores grow with the size."""
-    known = docs.filter("lang is not null and text is not null")
-    words = known.select("lang", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t")).withColumn("w", F.regexp_count("t", F.lit(" ")) + 1)
-    lengths = F.filter(F.array(*[F.lit(n) for n in OPENINGS]), lambda n: n < F.col("w"))
-    openings = words.select("lang", "t", F.explode(F.concat(lengths, F.array("w"))).alias("n")).select("lang", F.expr("substring_index(t, ' ', n)").alias("text"))
-    scored = identify(openings, learned, part_of=SMALL).filter("lang_pred != 'und'").withColumn("size", size_class(F.col("text")))
+    scored = opening_scores(docs.filter("lang is not null and text is not null"), learned).withColumn("size", class_of(F.col("trigrams")))
     spread = scored.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), (F.avg("score") - 4 * F.stddev_pop("score")).alias("limit")).filter("n >= 30")
     found: dict[str, dict[int, float]] = {}
     for r in spread.collect():
